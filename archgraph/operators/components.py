@@ -9,29 +9,78 @@ idea of in- and out-signatures with pointer jumping is published: Alabandi,
 Sands, Biros, Burtscher, "A High-Performance MPI/OpenMP and CUDA
 Strongly-Connected Components code", SC 2023.)
 
-Per round the work is one join of arcs with the signatures that changed and
-one maximum per vertex, which combines on the map side. Arcs are numbered
-once, so rounds shuffle pairs of longs.
+Components never cross repositories. A repository with few arcs is solved in
+one grouped task, after its arcs have been counted; all such repositories
+together cost one shuffle. The others, of any size, are solved by rounds over
+tables: per round one join of arcs with the signatures that changed and one
+maximum per vertex, which combines on the map side. Their vertices are
+numbered once, so rounds shuffle pairs of longs.
 """
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.session import materialize
 
+# Most arcs of a repository that one task may hold (some 100 MB at most).
+LOCAL_ARCS = 200_000
+
 FORWARD, BACKWARD = 0, 1
 
 # Trimming goes on while a pass removes at least one arc in this many.
 TRIM_WORTHWHILE = 10
 
 
-def strongly_connected_components(edges: DataFrame) -> DataFrame:
-    """(src, dst) -> (uid, component); component is the least uid of its members.
+def strongly_connected_components(edges: DataFrame, local_arcs: int = LOCAL_ARCS) -> DataFrame:
+    """(repo_id, src, dst) -> (uid, component); component is the least uid of its members.
 
     Singletons are included, also vertices known only as targets.
     """
+    arcs = edges.select("repo_id", "src", "dst")
+    sizes = materialize(arcs.groupBy("repo_id").agg(F.count("*").alias("arcs")), "scc-sizes")
+    large = sizes.filter(F.col("arcs") > local_arcs).select("repo_id")
+    small = arcs.join(sizes.filter(F.col("arcs") <= local_arcs).select("repo_id"), "repo_id", "left_semi")
+    solved = small.groupBy("repo_id").applyInPandas(_grouped_components, "uid string, component string")
+    if large.isEmpty():
+        return solved
+    return solved.unionByName(distributed_components(arcs.join(large, "repo_id", "left_semi")))
+
+
+def _grouped_components(arcs: pd.DataFrame) -> pd.DataFrame:
+    """The same propagation on the arcs of one small repository, as arrays."""
+    uids, ends = np.unique(arcs[["src", "dst"]].to_numpy().astype(str), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    root = np.arange(len(uids))
+    while len(a):
+        reached_by, reaches = _propagate(a, b, len(uids)), _propagate(b, a, len(uids))
+        done = reached_by == reaches
+        finished = np.unique(np.concatenate([a, b]))
+        finished = finished[done[finished]]
+        root[finished] = reaches[finished]
+        within = (reached_by[a] == reached_by[b]) & (reaches[a] == reaches[b]) & ~done[a]
+        a, b = a[within], b[within]
+    least = np.full(len(uids), len(uids))
+    np.minimum.at(least, root, np.arange(len(uids)))
+    return pd.DataFrame({"uid": uids, "component": uids[least[root]]})
+
+
+def _propagate(origin: np.ndarray, vertex: np.ndarray, n: int) -> np.ndarray:
+    mark = np.arange(n)
+    while True:
+        heard = mark.copy()
+        np.maximum.at(heard, vertex, mark[origin])
+        heard = np.maximum(heard, heard[heard])
+        if np.array_equal(heard, mark):
+            return mark
+        mark = heard
+
+
+def distributed_components(edges: DataFrame) -> DataFrame:
+    """Components by rounds over tables, for repositories of any size."""
     pairs = edges.select("src", "dst").distinct()
     vertices = materialize(
         pairs.select(F.explode(F.array("src", "dst")).alias("uid")).distinct()

@@ -92,7 +92,8 @@ def neighbourhood(edges: DataFrame, uids: DataFrame, outgoing=OUTGOING_LIMIT, in
         ).join(asked, "uid", "left_semi")
         order = [F.col("confidence").desc(), F.col("qualified_name"), F.col("source_line"),
                  F.col("other_uid"), F.col("relationship_type")]
-        return top_k(seen, ["uid"], order, limit, rank="position").drop("other_uid", "source_line")
+        best = top_k(seen, ["uid"], order, limit, rank="position", salted=True)
+        return best.drop("other_uid", "source_line")
 
     between = edges.filter(F.col("src_type") != REPOSITORY_NODE)
     return towards(between, "src", "dst", "outgoing", outgoing).unionByName(

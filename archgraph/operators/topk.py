@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 GROUP_LIMIT = 1000
 
 
-def top_k(df: DataFrame, keys, order, k: int, rank="rank", spread=64) -> DataFrame:
+def top_k(df: DataFrame, keys, order, k: int, rank="rank", salted=False, spread=64) -> DataFrame:
     """The first k rows of every key under a total order, numbered in ``rank``.
 
-    For a larger k the rows of a key are first cut to k in each of ``spread``
-    hashed parts, so that no task sorts a whole hot key.
+    Salted, the rows of a key are first cut to k in each of ``spread`` hashed
+    parts, so that no task sorts a whole hot key. That is done for a large k,
+    and asked for where the rows come from a join by the same key: there is no
+    shuffle left then that the pruning could precede.
     """
     keys = list(keys)
-    if k > GROUP_LIMIT:
+    if salted or k > GROUP_LIMIT:
         part = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
         within = Window.partitionBy(*keys, "_part").orderBy(*order)
         df = (

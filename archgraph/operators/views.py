@@ -9,6 +9,7 @@ from archgraph.functions.text import is_test_path
 from archgraph.operators.degrees import ranked_by_degree
 from archgraph.operators.topk import top_k
 from archgraph.schemas import CALLABLE_TYPES
+from archgraph.session import materialize
 
 # Default node limits.
 FILE_LIMIT = 60
@@ -45,7 +46,8 @@ def file_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def file_view(nodes: DataFrame, edges: DataFrame, limit: int = FILE_LIMIT) -> GraphView:
-    pairs = file_pairs(nodes, edges)
+    # Degrees, ranks and edges all read the pairs, which are few beside the calls.
+    pairs = materialize(file_pairs(nodes, edges), "file-pairs")
     touched = (
         pairs.select("repo_id", F.explode(F.array(
             F.struct(F.col("source_uid").alias("uid"), F.col("src_path").alias("file_path")),
@@ -64,7 +66,7 @@ def file_view(nodes: DataFrame, edges: DataFrame, limit: int = FILE_LIMIT) -> Gr
 
 
 def class_view(nodes: DataFrame, edges: DataFrame, limit: int = CLASS_LIMIT) -> GraphView:
-    best = ranked_by_degree(edges, ("file", "class"), limit)
+    best = materialize(ranked_by_degree(edges, ("file", "class"), limit), "class-view")
     shown = best.select("repo_id", "uid", "degree").join(nodes.select(*_SHOWN), "uid")
     plain = edges.filter(
         ((F.col("relationship_type") == "CONTAINS") & (F.col("src_type") == "file") & (F.col("dst_type") == "class"))
@@ -81,14 +83,11 @@ def class_view(nodes: DataFrame, edges: DataFrame, limit: int = CLASS_LIMIT) ->
 def class_uses(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """Paths class - method - called method - other class, counted per pair of classes.
 
-    Calls are first counted per pair of methods and memberships per (class,
-    method); the number of paths is the sum of the products.
+    Only members of the selected classes are kept, one row per (class,
+    method) with the number of its edges; a call adds the product of both.
     """
-    calls = (
-        edges.filter((F.col("relationship_type") == "CALLS")
-                     & (F.col("src_type") == "method") & (F.col("dst_type") == "method"))
-        .groupBy("src", "dst").agg(F.count("*").alias("calls"))
-    )
+    calls = edges.filter((F.col("relationship_type") == "CALLS")
+                         & (F.col("src_type") == "method") & (F.col("dst_type") == "method")).select("src", "dst")
     members = (
         edges.filter((F.col("relationship_type") == "CONTAINS")
                      & (F.col("src_type") == "class") & (F.col("dst_type") == "method"))
@@ -104,7 +103,7 @@ def class_uses(edges: DataFrame, classes: DataFrame) -> DataFrame:
         calls.join(callers, "src").join(callees, "dst")
         .filter(F.col("source_uid") != F.col("target_uid"))
         .groupBy("repo_id", "source_uid", "target_uid")
-        .agg(F.sum(F.col("calls") * F.col("src_links") * F.col("dst_links")).cast("double").alias("weight"))
+        .agg(F.sum(F.col("src_links") * F.col("dst_links")).cast("double").alias("weight"))
         .select("repo_id", "source_uid", "target_uid", F.lit("USES").alias("relationship_type"), "weight")
     )
 

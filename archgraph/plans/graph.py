@@ -18,18 +18,20 @@ class AnalyzedFiles(NamedTuple):
 
 
 def build_graph(symbols: DataFrame, relationships: DataFrame) -> Graph:
-    nodes = build_nodes(symbols)
-    return Graph(nodes, build_edges(nodes, resolve_relationships(symbols, relationships)))
+    """The linked graph as written tables.
 
+    Nodes are written first: edges read a few of their columns three times.
+    """
+    return link_graph(symbols, resolve_relationships(symbols, relationships))
 
-def written_graph(graph: Graph) -> Graph:
-    """The graph as tables of the shared folder, for several queries of one session."""
-    return Graph(materialize(graph.nodes, "nodes"), materialize(graph.edges, "edges"))
+
+def link_graph(symbols: DataFrame, resolved: DataFrame) -> Graph:
+    nodes = materialize(build_nodes(symbols), "nodes")
+    return Graph(nodes, materialize(build_edges(nodes, resolved), "edges"))
 
 
 def analyze_files(files: DataFrame) -> AnalyzedFiles:
     """Parse, resolve and link the files of all repositories at once."""
     extracted = extract_ir(files)
-    resolved = resolve_relationships(extracted.symbols, extracted.relationships)
-    nodes = build_nodes(extracted.symbols)
-    return AnalyzedFiles(extracted, resolved, Graph(nodes, build_edges(nodes, resolved)))
+    resolved = materialize(resolve_relationships(extracted.symbols, extracted.relationships), "resolved")
+    return AnalyzedFiles(extracted, resolved, link_graph(extracted.symbols, resolved))

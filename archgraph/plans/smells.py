@@ -105,7 +105,8 @@ def large_functions(graph: Graph) -> SmellReport:
 
 def uncalled(graph: Graph) -> DataFrame:
     """Undecorated functions and methods without a caller, framework hooks aside."""
-    called = graph.edges.filter(F.col("relationship_type") == "CALLS").select(F.col("dst").alias("uid"))
+    # Distinct first: the anti-join could not split a callee that most calls name.
+    called = graph.edges.filter(F.col("relationship_type") == "CALLS").select(F.col("dst").alias("uid")).distinct()
     return graph.nodes.filter(
         F.col("symbol_type").isin(*CALLABLE_TYPES)
         & ~F.col("name").startswith("__") & ~F.col("name").startswith("test_")

@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.operators.build import build_edges, build_nodes, graph_counts
+from archgraph.operators.build import graph_counts
 from archgraph.operators.extract import extract_rows, split_rows
 from archgraph.operators.resolve import resolve_relationships
-from archgraph.schemas import SOURCE_FILES, Graph
+from archgraph.plans.graph import link_graph
+from archgraph.schemas import SOURCE_FILES
 from archgraph.session import materialize
 from archgraph.sources.graph_store import (
     BUCKETS, read_snapshots, repo_bucket, write_graph, write_snapshot, write_status,
@@ -58,8 +59,7 @@ def ingest_batch(files: DataFrame, batch_id: int, store: str, buckets: int = BUC
         write_status(repos, store, batch_id, "building_graph")
         extracted = split_rows(materialize(current_rows(spark, store, touched), "current-ir"))
         resolved = materialize(resolve_relationships(extracted.symbols, extracted.relationships), "resolved")
-        nodes = materialize(build_nodes(extracted.symbols), "nodes")
-        write_graph(Graph(nodes, build_edges(nodes, resolved)), store, batch_id, buckets)
+        write_graph(link_graph(extracted.symbols, resolved), store, batch_id, buckets)
         counts = graph_counts(extracted.symbols, resolved)
         n_files = extracted.symbols.filter(F.col("symbol_type") == "file").groupBy("repo_id").agg(
             F.count("*").alias("file_count"))

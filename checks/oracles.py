@@ -443,6 +443,7 @@ GROUP BY target_uid""",
     "large_functions": f"SELECT {_FINDING} FROM og_large",
     "dead_code": f"SELECT {_FINDING} FROM og_dead",
     "strongly_connected_components": "SELECT uid, component FROM og_components",
+    "strongly_connected_components_by_rounds": "SELECT uid, component FROM og_components",
     "circular_dependencies": f"SELECT {_FINDING} FROM og_cycles",
     "smell_report": f"SELECT {_FINDING} FROM og_findings ORDER BY repo_id, {_REPORT_ORDER}",
     "smell_affected": "SELECT * FROM og_affected",
@@ -474,7 +475,7 @@ GROUP BY repo_id, smell_type, subject""",
 SELECT query_id, rank, e.symbol_uid, relevance, coalesce(n, 0) AS related
 FROM os_evidence e LEFT JOIN os_support s ON s.symbol_uid = e.symbol_uid""",
     "evidence_confidence": """
-SELECT query_id, repo_id, round(score, 4) AS confidence_score,
+SELECT query_id, repo_id, round(score, 9) AS confidence_score,
        CASE WHEN score >= 0.55 THEN 'Confirmed' WHEN score >= 0.30 THEN 'Inferred' ELSE 'Uncertain' END AS confidence_label
 FROM (SELECT h.query_id, h.repo_id, least(1.0, avg(h.score) FILTER (WHERE h.rank <= 3)
              + max(CASE WHEN h.rank > 6 THEN 0 WHEN best >= 0.7 THEN 0.2 WHEN n > 0 THEN 0.05 ELSE 0 END)::DOUBLE) AS score

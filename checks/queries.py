@@ -66,7 +66,7 @@ def extracted(spark, sf_dir):
 
 @once
 def code_graph(spark, sf_dir) -> Graph:
-    return graph.written_graph(graph.build_graph(*extracted(spark, sf_dir)))
+    return graph.build_graph(*extracted(spark, sf_dir))
 
 
 @once
@@ -208,7 +208,9 @@ def build_nodes(spark, sf_dir):
 
 @query
 def build_edges(spark, sf_dir):
-    return graph.build_graph(*extracted(spark, sf_dir)).edges
+    symbols, relationships = extracted(spark, sf_dir)
+    nodes = code_graph(spark, sf_dir).nodes
+    return build.build_edges(nodes, resolve.resolve_relationships(symbols, relationships))
 
 
 @query
@@ -353,6 +355,13 @@ def strongly_connected_components(spark, sf_dir):
     return components.strongly_connected_components(calls)
 
 
+@query
+def strongly_connected_components_by_rounds(spark, sf_dir):
+    """The same with the largest repositories solved by rounds over tables."""
+    calls = code_graph(spark, sf_dir).edges.filter(F.col("relationship_type") == "CALLS")
+    return components.strongly_connected_components(calls, local_arcs=2_000)
+
+
 @query
 def circular_dependencies(spark, sf_dir):
     return smells.circular_dependencies(code_graph(spark, sf_dir)).findings.select(*_FINDING)
@@ -430,7 +439,7 @@ def evidence(spark, sf_dir):
 
 @query
 def evidence_confidence(spark, sf_dir):
-    return answers(spark, sf_dir).confidence.withColumn("confidence_score", F.round("confidence_score", 4))
+    return answers(spark, sf_dir).confidence.withColumn("confidence_score", F.round("confidence_score", 9))
 
 
 @query
