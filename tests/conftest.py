@@ -31,7 +31,8 @@ class Tables:
             base = {"repo_id": "r", "seq": i, "file_path": "src/a.py", "start_line": 1, "end_line": 2,
                     "language": "python", "decorators": [], "docstring": None} | given
             base.setdefault("qualified_name", base["id"])
-            base.setdefault("name", base["qualified_name"].rsplit(".", 1)[-1])
+            dotted = base["symbol_type"] == "import"
+            base.setdefault("name", base["qualified_name"] if dotted else base["qualified_name"].rsplit(".", 1)[-1])
             base.setdefault("uid", f"{base['repo_id']}:{base['id']}")
             full.append(tuple(base[c] for c in schemas.SYMBOLS.fieldNames()))
         return self.spark.createDataFrame(full, schemas.SYMBOLS)
