@@ -4,12 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.functions.text import contains_ignoring_case, is_test_path, strip
-from archgraph.operators.topk import top_k
+from archgraph.operators.topk import check_limit, top_k
 from archgraph.schemas import DEFINITION_TYPES, REPOSITORY_NODE, SEARCHABLE_TYPES
 
-# Default limits.
-SEARCH_LIMIT = 20
-SUGGESTION_LIMIT = 6
+# Default limits, and the greatest that a caller may ask for.
+SEARCH_LIMIT, SEARCH_LIMIT_MOST = 20, 50
+SUGGESTION_LIMIT, SUGGESTION_LIMIT_MOST = 6, 20
 OUTGOING_LIMIT = 8
 INCOMING_LIMIT = 5
 
@@ -47,6 +47,7 @@ def ranked_by_degree(edges: DataFrame, symbol_types, limit: int, types=None) ->
 
 def suggest_symbols(nodes: DataFrame, edges: DataFrame, limit: int = SUGGESTION_LIMIT) -> DataFrame:
     """Well-connected starting points; node columns are joined to the few that are left."""
+    check_limit(limit, SUGGESTION_LIMIT_MOST)
     best = ranked_by_degree(edges, DEFINITION_TYPES, limit, ("CALLS", "INHERITS"))
     shown = nodes.select("uid", "symbol_type", "name", "qualified_name", "file_path", "start_line")
     return best.join(shown, "uid")
@@ -58,6 +59,7 @@ def search_symbols(nodes: DataFrame, queries: DataFrame, limit: int = SEARCH_LIM
     An equi-join on the repository whose residual condition is the match, so
     only matches leave the join.
     """
+    check_limit(limit, SEARCH_LIMIT_MOST)
     asked = (
         queries.select("query_id", "repo_id", strip(F.col("query")).alias("query"))
         .filter(F.col("query") != "")

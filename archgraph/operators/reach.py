@@ -28,8 +28,9 @@ def dependents(edges: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH)
     levels = []
     for depth in range(1, max_depth + 1):
         reached = frontier.join(arcs, "dst").select("target_uid", F.col("src").alias("uid")).distinct()
-        for level in levels:
-            reached = reached.join(level.select("target_uid", "uid"), ["target_uid", "uid"], "left_anti")
+        if levels:
+            visited = reduce(DataFrame.unionByName, levels).select("target_uid", "uid")
+            reached = reached.join(visited, ["target_uid", "uid"], "left_anti")
         level = materialize(reached.withColumn("depth", F.lit(depth)), f"dependents-{depth}")
         levels.append(level)
         if level.isEmpty():

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from archgraph.functions.text import is_test_path
 from archgraph.operators.degrees import ranked_by_degree
-from archgraph.operators.topk import top_k
+from archgraph.operators.topk import check_limit, top_k
 from archgraph.schemas import CALLABLE_TYPES
 from archgraph.session import materialize
 
-# Default node limits.
+# Default node limits, and the greatest that a caller may ask for.
 FILE_LIMIT = 60
 CLASS_LIMIT = 100
+LIMIT_MOST = 500
 
 
 class GraphView(NamedTuple):
@@ -46,6 +47,7 @@ def file_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def file_view(nodes: DataFrame, edges: DataFrame, limit: int = FILE_LIMIT) -> GraphView:
+    check_limit(limit, LIMIT_MOST)
     # Degrees, ranks and edges all read the pairs, which are few beside the calls.
     pairs = materialize(file_pairs(nodes, edges), "file-pairs")
     touched = (
@@ -66,6 +68,7 @@ def file_view(nodes: DataFrame, edges: DataFrame, limit: int = FILE_LIMIT) -> Gr
 
 
 def class_view(nodes: DataFrame, edges: DataFrame, limit: int = CLASS_LIMIT) -> GraphView:
+    check_limit(limit, LIMIT_MOST)
     best = materialize(ranked_by_degree(edges, ("file", "class"), limit), "class-view")
     shown = best.select("repo_id", "uid", "degree").join(nodes.select(*_SHOWN), "uid")
     plain = edges.filter(

@@ -6,6 +6,7 @@ from archgraph.plans.ask import NO_RELATIONSHIPS, RULES
 from archgraph.plans.smells import SMELL_TYPES
 from archgraph.sources.files import IGNORED_DIRS, SUFFIX_LANGUAGE
 from archgraph.sources.repositories import STAGES
+from archgraph.sources.urls import REPOSITORY_URL
 from checks.derived import DERIVED, with_derived
 
 
@@ -15,8 +16,8 @@ def _list(values):
 
 def _ranked(source, partition, order, k, columns="*", rank="rank"):
     """Rows of rank 1..k per partition."""
-    return (f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {partition} ORDER BY {order}) "
-            f"AS {rank} FROM {source}) ranked WHERE {rank} <= {k}")
+    return (f"SELECT {columns} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {partition} ORDER BY {order}) "
+            f"AS INTEGER) AS {rank} FROM {source}) ranked WHERE {rank} <= {k}")
 
 
 _LANGUAGE = "CASE lower(regexp_extract(reverse(split_part(reverse(path), '/', 1)), '^.+(\\.[^.]+)$', 1)) " + " ".join(
@@ -87,6 +88,13 @@ SELECT repo_id, file_count, total_size_bytes,
        CASE WHEN file_count > 500 THEN 'more than 500 files'
             WHEN total_size_bytes > 75 * 1024 * 1024 THEN 'more than 75 MB' END AS reject_reason
 FROM og_profile""",
+    "og_urls": f"""
+SELECT id, CASE WHEN url_error IS NULL THEN owner END AS owner, CASE WHEN url_error IS NULL THEN repo END AS repo,
+       CASE WHEN url_error IS NULL THEN concat('https://github.com/', owner, '/', repo, '.git') END AS clone_url, url_error
+FROM (SELECT *, CASE WHEN owner = '' THEN 'not a https://github.com/<owner>/<repo> address'
+                     WHEN repo IN ('.', '..') THEN 'not a repository name' END AS url_error
+      FROM (SELECT id, regexp_extract(trim(url), '{REPOSITORY_URL}', 1) AS owner,
+                   regexp_extract(trim(url), '{REPOSITORY_URL}', 2) AS repo FROM fx_repo_urls) a) b""",
     "og_latest": """
 SELECT repo_id, status, error, created_at, updated_at
 FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, seq DESC) AS place,
@@ -368,13 +376,9 @@ STATEMENTS = {
     "accepted_files": """
 SELECT repo_id, path, size_bytes FROM fx_repo_files
 WHERE repo_id IN (SELECT repo_id FROM og_limits WHERE reject_reason IS NULL)""",
-    "validate_repo_urls": r"""
-SELECT id, CASE WHEN url_error IS NULL THEN owner END AS owner, CASE WHEN url_error IS NULL THEN repo END AS repo,
-       CASE WHEN url_error IS NULL THEN concat('https://github.com/', owner, '/', repo, '.git') END AS clone_url, url_error
-FROM (SELECT *, CASE WHEN owner = '' THEN 'not a https://github.com/<owner>/<repo> address'
-                     WHEN repo IN ('.', '..') THEN 'not a repository name' END AS url_error
-      FROM (SELECT id, regexp_extract(trim(url), p, 1) AS owner, regexp_extract(trim(url), p, 2) AS repo
-            FROM fx_repo_urls, (SELECT '^https://github\.com/([A-Za-z0-9](?:[A-Za-z0-9-]{0,38}))/([A-Za-z0-9_.-]{1,100}?)(?:\.git)?/?$' AS p) c) a) b""",
+    "validate_repo_urls": "SELECT id, owner, repo, clone_url, url_error FROM og_urls",
+    "register_repositories": """
+SELECT id, clone_url AS url, owner, repo AS name, 'pending' AS status FROM og_urls WHERE url_error IS NULL""",
     "latest_status": "SELECT repo_id, status, error, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us FROM og_latest",
     "list_repositories": "SELECT repo_id, status FROM og_latest ORDER BY created_at DESC, repo_id",
     "ready_only": """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from archgraph.functions import classify
 from archgraph.operators import build, components, degrees, extract, reach, resolve, tfidf, views
 from archgraph.plans import ask, graph, impact, smells
-from archgraph.schemas import RELATIONSHIPS, SYMBOLS, Graph
+from archgraph.schemas import RELATIONSHIPS, SOURCE_FILES, SYMBOLS, Graph
 from archgraph.session import materialize, new_folder
 from archgraph.sources import files, graph_store, repositories, urls
 from archgraph.streaming.ingest import stream_ingest
@@ -104,9 +104,21 @@ def smell_tables(spark, sf_dir) -> smells.SmellReport:
     return smells.detect_smells(code_graph(spark, sf_dir))
 
 
+@once
+def landed_files(spark, sf_dir) -> str:
+    """The source files as a folder of Parquet files, for the batch job and the stream."""
+    folder = new_folder(spark, "landing")
+    derived(spark, sf_dir, "fx_source_files").repartition(8, "path").write.parquet(folder)
+    return folder
+
+
+def source_files(spark, sf_dir) -> DataFrame:
+    return spark.read.schema(SOURCE_FILES).parquet(landed_files(spark, sf_dir))
+
+
 @once
 def parsed(spark, sf_dir) -> extract.ExtractedTables:
-    return extract.extract_ir(derived(spark, sf_dir, "fx_source_files"))
+    return extract.extract_ir(source_files(spark, sf_dir))
 
 
 # Sources ------------------------------------------------------------------
@@ -143,6 +155,12 @@ def validate_repo_urls(spark, sf_dir):
         "id", "owner", "repo", "clone_url", "url_error")
 
 
+@query
+def register_repositories(spark, sf_dir):
+    submitted = derived(spark, sf_dir, "fx_repo_urls").withColumn("submitted_at", F.current_timestamp())
+    return urls.register_repositories(submitted).drop("created_at", "updated_at")
+
+
 @query
 def latest_status(spark, sf_dir):
     return repositories.latest_status(derived(spark, sf_dir, "fx_status_log")).select(
@@ -191,7 +209,7 @@ def extract_relationships(spark, sf_dir):
 
 @query
 def parse_summary(spark, sf_dir):
-    return extract.parse_summary(derived(spark, sf_dir, "fx_source_files"), parsed(spark, sf_dir).parse_errors)
+    return extract.parse_summary(source_files(spark, sf_dir), parsed(spark, sf_dir).parse_errors)
 
 
 # Resolution and construction ----------------------------------------------
@@ -458,8 +476,7 @@ def prompts(spark, sf_dir):
 def streamed_store(spark, sf_dir) -> str:
     """All source files arrive as a stream of several batches; the folder of the store."""
     folder = new_folder(spark, "stream")
-    derived(spark, sf_dir, "fx_source_files").repartition(8, "path").write.parquet(f"{folder}/landing")
-    stream_ingest(spark, f"{folder}/landing", f"{folder}/store", f"{folder}/progress", buckets=4,
+    stream_ingest(spark, landed_files(spark, sf_dir), f"{folder}/store", f"{folder}/progress", buckets=4,
                   files_per_batch=4).awaitTermination()
     return f"{folder}/store"
 
