@@ -6,6 +6,7 @@ that needs more than one file happens in Spark.
 
 import ast
 import re
+from functools import cache
 
 # Cuts and confidences of the extraction rules.
 DOCSTRING_LENGTH = 500
@@ -15,6 +16,12 @@ BASE_CONFIDENCE = 0.6
 CERTAIN = 1.0
 
 _DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+_BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
+# Where no call can be, which the walk over function bodies leaves out.
+_LEAVES = {ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal, ast.alias,
+           ast.Import, ast.ImportFrom, str, int, float, complex, bool, bytes, type(None), type(...)}
+_PLAIN_FIELDS = {"ctx", "op", "ops", "id", "attr", "arg", "name", "names", "kind", "type_comment", "conversion",
+                 "simple", "is_async", "rest", "kwd_attrs"}
 _NEWLINE = re.compile(rb"\r\n|\r|\n")
 _ONE_STRING = re.compile(
     r"""[a-z]{0,2}(?:\"{3}(?:\\.|(?!\"{3}).)*\"{3}|'{3}(?:\\.|(?!'{3}).)*'{3}"""
@@ -80,16 +87,33 @@ def _callee(text, call):
     return text.cut(text.begin(call), end)[:CALLEE_LENGTH]
 
 
+@cache
+def _node_fields(kind):
+    """Fields of a node class that can lead to a call."""
+    return () if kind in _LEAVES else tuple(f for f in kind._fields if f not in _PLAIN_FIELDS)
+
+
 def _calls(body):
     """Call nodes in source order, without those of nested definitions."""
-    pending = list(reversed(body))
+    pending = body[::-1]
     while pending:
         node = pending.pop()
-        if isinstance(node, _DEFINITIONS):
+        kind = type(node)
+        if kind in _DEFINITIONS:
             continue
-        if isinstance(node, ast.Call):
+        if kind is ast.Call:
             yield node
-        pending.extend(reversed(list(ast.iter_child_nodes(node))))
+        for field in reversed(_node_fields(kind)):
+            value = getattr(node, field, None)
+            if type(value) is list:
+                pending.extend(value[::-1])
+            elif value is not None:
+                pending.append(value)
+
+
+def _nested_statements(node):
+    """Statements, handlers and cases directly inside a statement."""
+    return [child for field in _BLOCKS for child in getattr(node, field, ())]
 
 
 def _imported_names(node):
@@ -156,9 +180,8 @@ def extract_python(path: str, source: str):
                     yield _relationship(qualified, None, _callee(text, call), "calls",
                                         call.lineno, CALL_CONFIDENCE)
             pending.extend((child, qualified, qualified, is_class) for child in reversed(node.body))
-        elif not isinstance(node, ast.expr):
-            pending.extend((child, container, prefix, in_class)
-                           for child in reversed(list(ast.iter_child_nodes(node))))
+        else:
+            pending.extend((child, container, prefix, in_class) for child in reversed(_nested_statements(node)))
 
 
 def _decorator(text, expression):

@@ -15,11 +15,12 @@ from archgraph.sources.graph_store import (
 
 
 def arriving_files(spark: SparkSession, source: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of source_files rows with the place they came from."""
+    """Stream of source_files rows with the place they came from: time, file, row."""
     return (
         spark.readStream.schema(SOURCE_FILES).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         .withColumn("landed", F.struct(F.col("_metadata.file_modification_time").alias("at"),
-                                       F.col("_metadata.file_path").alias("file")))
+                                       F.col("_metadata.file_path").alias("file"),
+                                       F.col("_metadata.row_index").alias("row")))
     )
 
 
@@ -47,7 +48,8 @@ def ingest_batch(files: DataFrame, batch_id: int, store: str, buckets: int = BUC
     spark = files.sparkSession
     version = F.concat_ws(
         "|", F.lpad(F.lit(str(batch_id)), 12, "0"),
-        F.lpad(F.unix_micros("landed.at").cast("string"), 20, "0"), F.col("landed.file"))
+        F.lpad(F.unix_micros("landed.at").cast("string"), 20, "0"), F.col("landed.file"),
+        F.lpad(F.col("landed.row").cast("string"), 12, "0"))
     arrived = files.withColumn("version", version).drop("landed")
     touched = materialize(
         arrived.select("repo_id").distinct().withColumn("repo_bucket", repo_bucket(F.col("repo_id"), buckets)),

@@ -1,5 +1,12 @@
 """Extraction rules on inline source text."""
 
+import argparse
+import ast
+import dataclasses
+import inspect
+import pathlib
+import typing
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +158,43 @@ def test_package_file_and_foreign_suffix():
     assert extracted("", "pkg/tool.PY")[0][0]["id"] == "pkg.tool.PY"
 
 
+class Recount(ast.NodeVisitor):
+    """Calls per function body by recursion, as an independent count."""
+
+    def __init__(self):
+        self.calls, self.owner = [], None
+
+    def visit_FunctionDef(self, node):
+        outer, self.owner = self.owner, node.name
+        for child in node.body:
+            self.visit(child)
+        self.owner = outer
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def visit_ClassDef(self, node):
+        outer, self.owner = self.owner, None
+        for child in node.body:
+            self.visit(child)
+        self.owner = outer
+
+    def visit_Call(self, node):
+        if self.owner:
+            self.calls.append((self.owner, node.lineno))
+        self.generic_visit(node)
+
+
+@pytest.mark.parametrize("module", [ast, argparse, typing, dataclasses, inspect])
+def test_calls_of_real_modules(module):
+    source = pathlib.Path(module.__file__).read_text()
+    recount = Recount()
+    recount.visit(ast.parse(source))
+    _, relationships, errors = extracted(source, "lib.py")
+    found = [(r["source_id"].rsplit(".", 1)[-1], r["source_line"]) for r in relationships
+             if r["relationship_type"] == "calls"]
+    assert not errors and sorted(found) == sorted(recount.calls)
+
+
 def test_deep_nesting_is_no_failure():
     symbols, _, errors = extracted("x = " + "(" * 5000 + ")" * 5000)
     assert symbols[0]["symbol_type"] == "file" and len(errors) == 1

@@ -42,8 +42,8 @@ def test_stream(spark, tmp_path):
     land(spark, landing, ("a", "more.py", HELPER))
     assert calls(run()) == set()
 
-    # A new version of a file replaces the old one, and a broken file is recorded.
-    land(spark, landing, ("a", "more.py", "x = 1\n"), ("c", "bad.py", "def f(:\n"))
+    # A new version of a file replaces the old one, also within one landed file; a broken file is recorded.
+    land(spark, landing, ("a", "more.py", HELPER), ("a", "more.py", "x = 1\n"), ("c", "bad.py", "def f(:\n"))
     graph = run()
     assert calls(graph) == {("a:use.use", "a:lib.helper")}
 
@@ -65,7 +65,7 @@ def test_failed_batch_is_recorded_and_can_be_repeated(spark, tmp_path, monkeypat
 
     store = str(tmp_path / "store")
     batch = spark.createDataFrame([("a", "lib.py", 1, HELPER)], SOURCE_FILES).withColumn(
-        "landed", F.struct(F.current_timestamp().alias("at"), F.lit("f").alias("file")))
+        "landed", F.struct(F.current_timestamp().alias("at"), F.lit("f").alias("file"), F.lit(0).alias("row")))
 
     def broken(*_):
         raise RuntimeError("no room")
