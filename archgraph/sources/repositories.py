@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archgraph.schemas import REPOSITORIES
+
 # The stages shown to a user, in order.
 STAGES = ("cloning", "cloned", "parsing", "building_graph", "embedding", "ready")
 
@@ -21,13 +23,51 @@ def latest_status(status_log: DataFrame) -> DataFrame:
     )
 
 
+def scan_status(limited: DataFrame) -> DataFrame:
+    """Status rows of scanned repositories: cloned, or failed with the limit they exceed."""
+    rejected = F.col("reject_reason").isNotNull()
+    return limited.select(
+        "repo_id", F.when(rejected, "failed").otherwise("cloned").alias("status"),
+        F.col("reject_reason").alias("error"), "file_count")
+
+
+def repository_records(registered: DataFrame, latest: DataFrame, profile: DataFrame) -> DataFrame:
+    """One full record per registered repository: registration, last status, profile.
+
+    ``registered`` is (id, url, owner, name, created_at) and may carry
+    default_branch and commit_sha; all three tables have one row per repository.
+    """
+    known = registered
+    for name in ("default_branch", "commit_sha"):
+        if name not in known.columns:
+            known = known.withColumn(name, F.lit(None).cast("string"))
+    status = latest.select(
+        F.col("repo_id").alias("id"), F.col("status").alias("last_status"), "error", "symbol_count",
+        "relationship_count", "updated_at")
+    scanned = profile.select(F.col("repo_id").alias("id"), "languages", "file_count")
+    empty = F.create_map().cast("map<string,bigint>")
+    return (
+        known.select("id", "url", "owner", "name", "default_branch", "commit_sha", "created_at")
+        .join(status, "id", "left").join(scanned, "id", "left")
+        .withColumn("status", F.coalesce("last_status", F.lit("pending")))
+        .withColumn("updated_at", F.coalesce("updated_at", "created_at"))
+        .withColumn("languages", F.coalesce("languages", empty))
+        .fillna(0, ["file_count", "symbol_count", "relationship_count"])
+        .select(*REPOSITORIES.fieldNames())
+    )
+
+
 def list_repositories(repositories: DataFrame) -> DataFrame:
     """Newest first."""
-    return repositories.orderBy(F.col("created_at").desc(), F.col("repo_id"))
+    return repositories.orderBy(F.col("created_at").desc(), F.col(_key(repositories)))
 
 
 def get_repository(repositories: DataFrame, repo_id: str) -> DataFrame:
-    return repositories.filter(F.col("repo_id") == repo_id)
+    return repositories.filter(F.col(_key(repositories)) == repo_id)
+
+
+def _key(repositories: DataFrame) -> str:
+    return "id" if "id" in repositories.columns else "repo_id"
 
 
 def only_ready(df: DataFrame, repositories: DataFrame) -> DataFrame:

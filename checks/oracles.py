@@ -373,6 +373,9 @@ STATEMENTS = {
     "language_of_file": f"SELECT repo_id, path, {_LANGUAGE} AS language FROM fx_repo_files",
     "repo_profile": "SELECT repo_id, file_count, total_size_bytes, languages FROM og_profile",
     "repo_limits": "SELECT repo_id, file_count, total_size_bytes, reject_reason FROM og_limits",
+    "scan_status": """
+SELECT repo_id, CASE WHEN reject_reason IS NULL THEN 'cloned' ELSE 'failed' END AS status, reject_reason AS error, file_count
+FROM og_limits""",
     "accepted_files": """
 SELECT repo_id, path, size_bytes FROM fx_repo_files
 WHERE repo_id IN (SELECT repo_id FROM og_limits WHERE reject_reason IS NULL)""",
@@ -500,6 +503,11 @@ WHERE n > 0""",
     "stream_ingest_status": f"""
 SELECT repo_id, 'ready' AS status, f AS file_count, f + 6 * g AS symbol_count,
        4 * g + 2 * g + g + CASE WHEN g = 1 THEN 2 ELSE g END AS relationship_count FROM {_STREAMED}""",
+    "repository_records": f"""
+SELECT p.repo_id AS id, concat('https://github.com/org/', p.repo_id, '.git') AS url, 'org' AS owner, p.repo_id AS name,
+       'ready' AS status, file_count, f + 6 * g AS symbol_count,
+       4 * g + 2 * g + g + CASE WHEN g = 1 THEN 2 ELSE g END AS relationship_count, CAST(NULL AS VARCHAR) AS error, languages
+FROM og_profile p JOIN {_STREAMED} ON s.repo_id = p.repo_id""",
 }
 
 _RECURSIVE = ("og_reach", "og_closure")

@@ -142,6 +142,13 @@ def repo_limits(spark, sf_dir):
     return limited.select("repo_id", "file_count", "total_size_bytes", "reject_reason")
 
 
+@query
+def scan_status(spark, sf_dir):
+    listed = derived(spark, sf_dir, "fx_repo_files")
+    return repositories.scan_status(
+        files.apply_limits(files.profile_repositories(listed), max_files=500, max_megabytes=75))
+
+
 @query
 def accepted_files(spark, sf_dir):
     listed = derived(spark, sf_dir, "fx_repo_files")
@@ -494,3 +501,18 @@ def stream_ingest_status(spark, sf_dir):
     log = graph_store.read_status(spark, streamed_store(spark, sf_dir))
     return repositories.latest_status(log).select("repo_id", "status", "file_count", "symbol_count",
                                                   "relationship_count")
+
+
+@query
+def repository_records(spark, sf_dir):
+    """Registered repositories with the last status of the stream and the profile of their files."""
+    registered = urls.register_repositories(
+        derived(spark, sf_dir, "fx_members").select("repo_id").distinct().select(
+            F.col("repo_id").alias("id"), F.concat(F.lit("https://github.com/org/"), "repo_id").alias("url"),
+            F.current_timestamp().alias("submitted_at")))
+    latest = repositories.latest_status(graph_store.read_status(spark, streamed_store(spark, sf_dir)))
+    profile = files.profile_repositories(derived(spark, sf_dir, "fx_repo_files"))
+    counted = F.transform(F.map_entries("languages"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return repositories.repository_records(registered, latest, profile).select(
+        "id", "url", "owner", "name", "status", "file_count", "symbol_count", "relationship_count", "error",
+        F.array_join(counted, ",").alias("languages"))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from archgraph.schemas import STATUS_LOG
+from archgraph.schemas import REPOSITORIES, STATUS_LOG
 from archgraph.session import shared_folder
 from archgraph.sources import files, graph_store, repositories, urls
 from tests.conftest import call
@@ -108,6 +108,24 @@ def test_states(tables, spark):
                       "c": ["done", "done", "active", "pending", "pending", "pending"]}
 
 
+def test_records(tables, spark):
+    day = [dt.datetime(2024, 1, d) for d in range(1, 5)]
+    registered = urls.register_repositories(tables.rows(
+        "id string, url string, submitted_at timestamp", ("a", "https://github.com/o/a", day[0]),
+        ("b", "https://github.com/o/b", day[1])))
+    log = spark.createDataFrame([("a", day[2], 0, "ready", None, 3, 6, 7)], STATUS_LOG)
+    profile = files.profile_repositories(tables.rows("repo_id string, path string, size_bytes long",
+                                                     ("a", "x.py", 5), ("a", "y.txt", 5)))
+    records = repositories.repository_records(registered, repositories.latest_status(log), profile)
+    assert records.columns == REPOSITORIES.fieldNames()
+    b, a = repositories.list_repositories(records).collect()
+    assert (a.status, a.file_count, a.symbol_count, a.languages, a.updated_at) == ("ready", 2, 6, {"python": 1}, day[2])
+    assert (b.status, b.file_count, b.relationship_count, b.languages, b.updated_at) == ("pending", 0, 0, {}, day[1])
+    assert repositories.get_repository(records, "b").first().owner == "o"
+    limited = files.apply_limits(profile, max_files=1)
+    assert [tuple(r) for r in repositories.scan_status(limited).collect()] == [("a", "failed", "more than 1 files", 2)]
+
+
 def test_store_keeps_one_snapshot_per_repository(spark, tables, tmp_path):
     store = str(tmp_path / "store")
 
