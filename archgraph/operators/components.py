@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from archgraph.session import materialize
 
-# Most arcs of a repository that one task may hold (some 100 MB at most).
+# Most arcs of a repository that one task may hold, some 100 MB with names of usual length.
 LOCAL_ARCS = 200_000
 
 FORWARD, BACKWARD = 0, 1
@@ -52,8 +52,8 @@ def strongly_connected_components(edges: DataFrame, local_arcs: int = LOCAL_ARCS
 
 def _grouped_components(arcs: pd.DataFrame) -> pd.DataFrame:
     """The same propagation on the arcs of one small repository, as arrays."""
-    uids, ends = np.unique(arcs[["src", "dst"]].to_numpy().astype(str), return_inverse=True)
-    a, b = ends.reshape(-1, 2).T
+    ends, uids = pd.factorize(pd.concat([arcs["src"], arcs["dst"]]), sort=True)
+    a, b = ends.reshape(2, -1)
     root = np.arange(len(uids))
     while len(a):
         reached_by, reaches = _propagate(a, b, len(uids)), _propagate(b, a, len(uids))

@@ -125,8 +125,8 @@ def search(questions: DataFrame, index: TfidfIndex, k: int = TOP_K, pad: bool =
     return top_k(best, ["query_id", "repo_id"], order, k)
 
 
-def search_dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, rows_per_block: int = 50_000,
-                 queries_per_block: int = 2_000) -> DataFrame:
+def search_dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, rows_per_block: int = 20_000,
+                 queries_per_block: int = 500) -> DataFrame:
     """Exact cosine top k of queries (query_id, repo_id, embedding) among vectors.
 
     ``vectors`` is (repo_id, vec_id, embedding). Both sides are dealt into

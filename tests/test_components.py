@@ -21,12 +21,20 @@ def brute(arcs):
     return {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
 
 
-def components(tables, arcs, local_arcs, repo="r"):
-    edges = tables.rows("repo_id string, src string, dst string", *[(repo, a, b) for a, b in arcs])
-    return {r.uid: r.component for r in strongly_connected_components(edges, local_arcs).collect()}
+def components(tables, repositories, local_arcs):
+    """Components of several repositories (name -> arcs) in one run; names are prefixed."""
+    rows = [(repo, f"{repo}:{a}", f"{repo}:{b}") for repo, arcs in repositories.items() for a, b in arcs]
+    edges = tables.rows("repo_id string, src string, dst string", *rows)
+    found = strongly_connected_components(edges, local_arcs).collect()
+    assert len({r.uid for r in found}) == len(found)
+    return {r.uid: r.component for r in found}
 
 
-CASES = {
+def expected(repositories):
+    return {f"{repo}:{n}": f"{repo}:{c}" for repo, arcs in repositories.items() for n, c in brute(arcs).items()}
+
+
+SMALL = {name: [tuple(arc) for arc in arcs] for name, arcs in {
     "two": ["AB", "BA"],
     "chain": ["AB", "BC"],
     "three": ["AB", "BC", "CA"],
@@ -35,44 +43,40 @@ CASES = {
     "repeated": ["AB", "AB", "BA", "BA"],
     "joined cycles": ["AB", "BA", "CD", "DC", "BC"],
     "figure eight": ["AB", "BA", "BC", "CB"],
-}
+}.items()}
 
 
-@pytest.mark.parametrize("local_arcs", [0, 1000])
-@pytest.mark.parametrize("name", CASES)
-def test_small_graphs(tables, name, local_arcs):
-    arcs = [tuple(a) for a in CASES[name]]
-    assert components(tables, arcs, local_arcs) == brute(arcs)
+def random_repositories(seeds):
+    repositories = {}
+    for seed in seeds:
+        dice = random.Random(seed)
+        n = dice.choice([10, 40, 80])
+        repositories[f"random {seed}"] = [(f"v{dice.randrange(n)}", f"v{dice.randrange(n)}")
+                                          for _ in range(int(n * dice.choice([0.8, 1.2, 2])))]
+    return repositories
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_random_graphs_in_one_task(tables, seed):
-    dice = random.Random(seed)
-    n = dice.choice([10, 40, 80])
-    arcs = [(f"v{dice.randrange(n)}", f"v{dice.randrange(n)}") for _ in range(int(n * dice.choice([0.8, 1.2, 2])))]
-    assert components(tables, arcs, 10_000) == brute(arcs)
+def test_grouped_tasks(tables):
+    repositories = SMALL | random_repositories(range(40))
+    assert components(tables, repositories, 1000) == expected(repositories)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_random_graphs_by_rounds(tables, seed):
-    dice = random.Random(100 + seed)
-    arcs = [(f"v{dice.randrange(50)}", f"v{dice.randrange(50)}") for _ in range(70)]
-    assert components(tables, arcs, 0) == brute(arcs)
+def test_rounds_over_tables(tables):
+    repositories = SMALL | random_repositories(range(100, 110))
+    assert components(tables, repositories, 0) == expected(repositories)
 
 
-def test_long_chain_ending_in_a_cycle(tables):
-    arcs = [(f"v{i:03d}", f"v{i + 1:03d}") for i in range(120)] + [("v120", "v060")]
-    assert components(tables, arcs, 0) == brute(arcs)
+def test_long_chain_into_a_cycle_by_rounds(tables):
+    chain = {"r": [(f"v{i:03d}", f"v{i + 1:03d}") for i in range(120)] + [("v120", "v060")]}
+    assert components(tables, chain, 0) == expected(chain)
 
 
 def test_small_and_large_repositories_together(tables):
-    small, large = [("a", "b"), ("b", "a")], [(f"m{i}", f"m{(i + 1) % 30}") for i in range(30)] + [("m0", "x")]
-    edges = tables.rows("repo_id string, src string, dst string",
-                        *[("s", f"s:{a}", f"s:{b}") for a, b in small], *[("l", f"l:{a}", f"l:{b}") for a, b in large])
-    found = {r.uid: r.component for r in strongly_connected_components(edges, local_arcs=10).collect()}
-    expected = brute([(f"s:{a}", f"s:{b}") for a, b in small] + [(f"l:{a}", f"l:{b}") for a, b in large])
-    assert found == expected
+    repositories = {"small": [("a", "b"), ("b", "a")],
+                    "large": [(f"m{i}", f"m{(i + 1) % 30}") for i in range(30)] + [("m0", "x")]}
+    assert components(tables, repositories, local_arcs=10) == expected(repositories)
 
 
-def test_no_edges(tables):
-    assert components(tables, [], 0) == {}
+@pytest.mark.parametrize("local_arcs", [0, 10])
+def test_no_edges(tables, local_arcs):
+    assert components(tables, {}, local_arcs) == {}
