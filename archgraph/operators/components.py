@@ -149,12 +149,14 @@ def _signatures(arcs: DataFrame) -> DataFrame:
     )
     while True:
         news = marks.filter("changed").select("way", F.col("vertex").alias("origin"), F.col("mark").alias("heard"))
-        # Whoever marks a vertex reaches it, so the mark's own mark does as well.
+        # Whoever marks a vertex reaches it, so the mark's own mark does as well:
+        # told to all whose mark has news, and looked up by all with a new mark.
         jumps = marks.filter(F.col("mark") != F.col("vertex")).select("way", F.col("mark").alias("origin"), "vertex")
-        heard = (
-            hops.unionByName(jumps).join(news, ["way", "origin"])
-            .groupBy("way", "vertex").agg(F.max("heard").alias("heard"))
-        )
+        told = hops.unionByName(jumps).join(news, ["way", "origin"]).select("way", "vertex", "heard")
+        known = marks.select("way", F.col("vertex").alias("heard"), F.col("mark").alias("mark_of_mark"))
+        looked_up = news.join(known, ["way", "heard"]).select(
+            "way", F.col("origin").alias("vertex"), F.col("mark_of_mark").alias("heard"))
+        heard = told.unionByName(looked_up).groupBy("way", "vertex").agg(F.max("heard").alias("heard"))
         better = F.col("heard") > F.col("mark")
         marks = materialize(
             marks.drop("changed").join(heard, ["way", "vertex"], "left").select(
