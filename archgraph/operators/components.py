@@ -53,7 +53,9 @@ def strongly_connected_components(edges: DataFrame, local_arcs: int = LOCAL_ARCS
 def _grouped_components(arcs: pd.DataFrame) -> pd.DataFrame:
     """The same propagation on the arcs of one small repository, as arrays."""
     ends, uids = pd.factorize(pd.concat([arcs["src"], arcs["dst"]]), sort=True)
-    a, b = ends.reshape(2, -1)
+    # Numbers in random order keep the phases few whatever the names are.
+    number = np.random.default_rng(len(uids)).permutation(len(uids))
+    a, b = number[ends].reshape(2, -1)
     root = np.arange(len(uids))
     while len(a):
         reached_by, reaches = _propagate(a, b, len(uids)), _propagate(b, a, len(uids))
@@ -63,6 +65,7 @@ def _grouped_components(arcs: pd.DataFrame) -> pd.DataFrame:
         root[finished] = reaches[finished]
         within = (reached_by[a] == reached_by[b]) & (reaches[a] == reaches[b]) & ~done[a]
         a, b = a[within], b[within]
+    root = root[number]
     least = np.full(len(uids), len(uids))
     np.minimum.at(least, root, np.arange(len(uids)))
     return pd.DataFrame({"uid": uids, "component": uids[least[root]]})

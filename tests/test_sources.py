@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from archgraph.schemas import REPOSITORIES, STATUS_LOG
 from archgraph.session import shared_folder
