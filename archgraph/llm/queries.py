@@ -4,8 +4,11 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
 from archgraph.llm import statements
+from archgraph.llm.licenses import license_places, license_summary
 from archgraph.llm.mixing import mix_sources
+from archgraph.llm.near_duplicates import near_duplicates
 from archgraph.llm.packing import pack, token_pieces
+from archgraph.llm.quality import HELD_OUT, fit_quality, quality_scores, remainder
 from archgraph.llm.token_files import read_token_files, write_token_files
 from archgraph.session import materialize, new_folder
 
@@ -35,7 +38,23 @@ def op6_token_files(spark, sf_dir):
     return read_token_files(spark, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_mix_sources, op6_token_files)}
+def op7_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+def op9_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op10_license_scan(spark, sf_dir):
+    return license_summary(license_places(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op5_mix_sources, op6_token_files, op7_minhash_near_dedup, op9_quality_classifier, op10_license_scan,
+)}
 
 
 STATEMENTS = {"op5_mix_sources": statements.MIX}
