@@ -7,9 +7,11 @@ from archgraph.llm import statements
 from archgraph.llm.licenses import license_places, license_summary
 from archgraph.llm.mixing import mix_sources
 from archgraph.llm.near_duplicates import near_duplicates
+from archgraph.llm.nearest import nearest
 from archgraph.llm.packing import pack, token_pieces
 from archgraph.llm.quality import HELD_OUT, fit_quality, quality_scores, remainder
 from archgraph.llm.token_files import read_token_files, write_token_files
+from archgraph.llm.vector_duplicates import near_duplicate_vectors
 from archgraph.session import materialize, new_folder
 
 
@@ -27,6 +29,10 @@ def packed_documents(docs):
     return pack(digests)
 
 
+def op2_embedding_near_dedup(spark, sf_dir):
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mix_sources(spark, sf_dir):
     mixed = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +48,11 @@ def op7_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op8_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op9_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -53,7 +64,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op5_mix_sources, op6_token_files, op7_minhash_near_dedup, op9_quality_classifier, op10_license_scan,
+    op1_best_fit_packing, op2_embedding_near_dedup, op5_mix_sources, op6_token_files, op7_minhash_near_dedup, op8_nearest_neighbours, op9_quality_classifier, op10_license_scan,
 )}
 
 
