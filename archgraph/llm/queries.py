@@ -4,7 +4,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
 from archgraph.llm import statements
+from archgraph.llm.language_model import fit_language_model, language_scores
 from archgraph.llm.licenses import license_places, license_summary
+from archgraph.llm.line_dedup import remove_boilerplate
 from archgraph.llm.mixing import mix_sources
 from archgraph.llm.near_duplicates import near_duplicates
 from archgraph.llm.nearest import nearest
@@ -33,6 +35,18 @@ def op2_embedding_near_dedup(spark, sf_dir):
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_language_model_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = language_scores(docs, fit_language_model(docs))
+    mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
+    return scored.select("doc_id", "n_words", "log_prob", mean.alias("mean_log_prob"))
+
+
+def op4_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_mix_sources(spark, sf_dir):
     mixed = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -64,7 +78,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_embedding_near_dedup, op5_mix_sources, op6_token_files, op7_minhash_near_dedup, op8_nearest_neighbours, op9_quality_classifier, op10_license_scan,
+    op1_best_fit_packing, op2_embedding_near_dedup, op3_language_model_scores, op4_line_dedup, op5_mix_sources, op6_token_files, op7_minhash_near_dedup, op8_nearest_neighbours, op9_quality_classifier, op10_license_scan,
 )}
 
 
