@@ -236,8 +236,8 @@ def similar_sets(sets, percent):
     return spanning_links(number, linked)
 
 
-def near_duplicates(docs, id_column="doc_id", text="text", shingle_words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT, coordinates=COORDINATES):
-    """Per document: its id, ``n_shingles``, ``component_id`` (the smallest id reachable by links), ``kept`` (its id is that one)."""
+def judged_documents(docs, id_column="doc_id", text="text", shingle_words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT, coordinates=COORDINATES):
+    """Per document: ``key`` (its id), ``text_hash``, ``n_shingles``, ``component`` (a number of its group, null for empty sets), ``component_id``."""
     matches = needed_matches(coordinates, percent)
     signed = materialize(signatures(docs, id_column, text, shingle_words, coordinates), "signatures")
     classes = set_classes(signed)
@@ -247,9 +247,29 @@ def near_duplicates(docs, id_column="doc_id", text="text", shingle_words=SHINGLE
     named = classes.join(joined, "node", "left").select("low", "high", "least_key", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named-classes")
     least = materialize(named.groupBy("component").agg(F.min("least_key").alias("component_id")), "least-ids")
-    answer = materialize(named.join(least, "component").select("low", "high", "component_id"), "class-components")
-    out = signed.select("key", "n_shingles", "low", "high").join(answer, ["low", "high"], "left")
-    component = F.coalesce("component_id", "key")
-    return out.select(
-        F.col("key").alias(id_column), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept")
-    )
+    answer = materialize(named.join(least, "component").select("low", "high", "component", "component_id"), "class-components")
+    out = signed.select("key", "text_hash", "n_shingles", "low", "high").join(answer, ["low", "high"], "left")
+    return out.select("key", "text_hash", "n_shingles", "component", F.coalesce("component_id", "key").alias("component_id"))
+
+
+def near_duplicates(docs, id_column="doc_id", **options):
+    """Per document: its id, ``n_shingles``, ``component_id`` (the smallest id reachable by links), ``kept`` (its id is that one)."""
+    kept = F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept")
+    return judged_documents(docs, id_column, **options).select(F.col("key").alias(id_column), "n_shingles", "component_id", kept)
+
+
+def without_near_duplicates(docs, id_column="doc_id", text="text", **options):
+    """One document of every group, the one with the smallest id, and all documents with empty sets; the columns of ``docs``."""
+    judged = materialize(judged_documents(docs, id_column, text, **options).where("component is not null"), "judged")
+    first = judged.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_hash")).alias("first"))
+    repeats = judged.groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("keeper rows"))
+    keepers = first.select(F.col("first.key").alias("keeper key"), F.col("first.text_hash").alias("keeper hash"))
+    keepers = keepers.join(repeats, F.col("keeper key").eqNullSafe(F.col("key")) & (F.col("keeper hash") == F.col("text_hash")))
+    keepers = materialize(keepers.select("keeper key", "keeper hash", "keeper rows"), "keepers")
+    own_key, own_text = F.col(f"`{id_column}`"), F.col(f"`{text}`")
+    met = docs.join(keepers, own_key.eqNullSafe(F.col("`keeper key`")) & (F.xxhash64(own_text) == F.col("`keeper hash`")))
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    single = met.where("`keeper rows` = 1").select(*columns)
+    repeated = met.where("`keeper rows` > 1").dropDuplicates(["keeper key", "keeper hash"]).select(*columns)
+    empty = docs.where(own_text.isNull() | ~own_text.rlike(r"[^\x20\x09-\x0D]"))
+    return single.unionByName(repeated).unionByName(empty)
