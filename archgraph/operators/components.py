@@ -9,12 +9,12 @@ idea of in- and out-signatures with pointer jumping is published: Alabandi,
 Sands, Biros, Burtscher, "A High-Performance MPI/OpenMP and CUDA
 Strongly-Connected Components code", SC 2023.)
 
-Components never cross repositories. A repository with few arcs is solved in
-one grouped task, after its arcs have been counted; all such repositories
-together cost one shuffle. The others, of any size, are solved by rounds over
-tables: per round one join of arcs with the signatures that changed and one
-maximum per vertex, which combines on the map side. Their vertices are
-numbered once, so rounds shuffle pairs of longs.
+Components never cross repositories. All vertices are numbered once, so that
+every later step handles pairs of longs. Repositories whose arcs fit a bounded
+number of bytes are solved in grouped tasks, which cost one shuffle for all of
+them together; the others, of any size, by rounds over tables: per round one
+join of arcs with the signatures that changed and one maximum per vertex,
+which combines on the map side. Both ways are exact and give the same result.
 """
 
 from functools import reduce
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from archgraph.session import materialize
 
-# Most arcs of a repository that one task may hold, some 100 MB with names of usual length.
-LOCAL_ARCS = 200_000
+# Most bytes of numbered arcs of a repository that one task may hold.
+LOCAL_BYTES = 32 << 20
+ARC_BYTES = 16
 
 FORWARD, BACKWARD = 0, 1
 
@@ -35,40 +36,58 @@ FORWARD, BACKWARD = 0, 1
 TRIM_WORTHWHILE = 10
 
 
-def strongly_connected_components(edges: DataFrame, local_arcs: int = LOCAL_ARCS) -> DataFrame:
+def strongly_connected_components(edges: DataFrame, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """(repo_id, src, dst) -> (uid, component); component is the least uid of its members.
 
     Singletons are included, also vertices known only as targets.
     """
-    arcs = edges.select("repo_id", "src", "dst")
-    sizes = materialize(arcs.groupBy("repo_id").agg(F.count("*").alias("arcs")), "scc-sizes")
-    large = sizes.filter(F.col("arcs") > local_arcs).select("repo_id")
-    small = arcs.join(sizes.filter(F.col("arcs") <= local_arcs).select("repo_id"), "repo_id", "left_semi")
-    solved = small.groupBy("repo_id").applyInPandas(_grouped_components, "uid string, component string")
-    if large.isEmpty():
-        return solved
-    return solved.unionByName(distributed_components(arcs.join(large, "repo_id", "left_semi")))
-
-
-def _grouped_components(arcs: pd.DataFrame) -> pd.DataFrame:
-    """The same propagation on the arcs of one small repository, as arrays."""
-    ends, uids = pd.factorize(pd.concat([arcs["src"], arcs["dst"]]), sort=True)
-    # Numbers in random order keep the phases few whatever the names are.
-    number = np.random.default_rng(len(uids)).permutation(len(uids))
-    a, b = number[ends].reshape(2, -1)
-    root = np.arange(len(uids))
+    pairs = edges.select("repo_id", "src", "dst").distinct()
+    vertices = materialize(
+        pairs.select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
+        .withColumn("vertex", F.monotonically_increasing_id()),
+        "scc-vertices",
+    )
+    arcs = materialize(
+        pairs.filter(F.col("src") != F.col("dst"))
+        .join(vertices.select(F.col("uid").alias("src"), F.col("vertex").alias("a")), "src")
+        .join(vertices.select(F.col("uid").alias("dst"), F.col("vertex").alias("b")), "dst")
+        .select("repo_id", "a", "b"),
+        "scc-arcs",
+    )
+    sizes = materialize(
+        arcs.groupBy("repo_id").agg((F.count("*") * ARC_BYTES > local_bytes).alias("large")), "scc-sizes")
+    placed = arcs.join(sizes, "repo_id")
+    found = [placed.filter(~F.col("large")).groupBy("repo_id").applyInPandas(_grouped_roots, "vertex long, root long")]
+    if not sizes.filter("large").isEmpty():
+        found += _roots_by_rounds(materialize(placed.filter("large").select("a", "b"), "scc-arcs"))
+    rooted = materialize(
+        vertices.join(reduce(DataFrame.unionByName, found), "vertex", "left")
+        .select("uid", F.coalesce("root", "vertex").alias("root")),
+        "scc-roots",
+    )
+    # Written, so that adaptive execution can split the members of a giant component.
+    names = materialize(rooted.groupBy("root").agg(F.min("uid").alias("component")), "scc-names")
+    return rooted.join(names, "root").select("uid", "component")
+
+
+def _grouped_roots(arcs: pd.DataFrame) -> pd.DataFrame:
+    """The same propagation on the numbered arcs of one small repository, as arrays."""
+    ends, numbers = pd.factorize(pd.concat([arcs["a"], arcs["b"]]))
+    # Numbers in random order keep the phases few whatever the vertices are.
+    order = np.random.default_rng(len(numbers)).permutation(len(numbers))
+    a, b = order[ends].reshape(2, -1)
+    root = np.arange(len(numbers))
     while len(a):
-        reached_by, reaches = _propagate(a, b, len(uids)), _propagate(b, a, len(uids))
+        reached_by, reaches = _propagate(a, b, len(numbers)), _propagate(b, a, len(numbers))
         done = reached_by == reaches
         finished = np.unique(np.concatenate([a, b]))
         finished = finished[done[finished]]
         root[finished] = reaches[finished]
         within = (reached_by[a] == reached_by[b]) & (reaches[a] == reaches[b]) & ~done[a]
         a, b = a[within], b[within]
-    root = root[number]
-    least = np.full(len(uids), len(uids))
-    np.minimum.at(least, root, np.arange(len(uids)))
-    return pd.DataFrame({"uid": uids, "component": uids[least[root]]})
+    vertex_of = np.empty(len(numbers), dtype=np.int64)
+    vertex_of[order] = numbers
+    return pd.DataFrame({"vertex": numbers, "root": vertex_of[root[order]]})
 
 
 def _propagate(origin: np.ndarray, vertex: np.ndarray, n: int) -> np.ndarray:
@@ -82,21 +101,8 @@ def _propagate(origin: np.ndarray, vertex: np.ndarray, n: int) -> np.ndarray:
         mark = heard
 
 
-def distributed_components(edges: DataFrame) -> DataFrame:
-    """Components by rounds over tables, for repositories of any size."""
-    pairs = edges.select("src", "dst").distinct()
-    vertices = materialize(
-        pairs.select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
-        .withColumn("vertex", F.monotonically_increasing_id()),
-        "scc-vertices",
-    )
-    arcs = materialize(
-        pairs.filter(F.col("src") != F.col("dst"))
-        .join(vertices.select(F.col("uid").alias("src"), F.col("vertex").alias("a")), "src")
-        .join(vertices.select(F.col("uid").alias("dst"), F.col("vertex").alias("b")), "dst")
-        .select("a", "b"),
-        "scc-arcs",
-    )
+def _roots_by_rounds(arcs: DataFrame) -> list[DataFrame]:
+    """(vertex, root) tables of the components, by rounds over tables."""
     found = []
     arcs, left = _trim(arcs, arcs.count())
     while left:
@@ -105,20 +111,15 @@ def distributed_components(edges: DataFrame) -> DataFrame:
         found.append(signatures.filter(done).select("vertex", F.col("reaches").alias("root")))
         arcs = materialize(_arcs_within(arcs, signatures.filter(~done)), "scc-arcs")
         arcs, left = _trim(arcs, arcs.count())
-    if not found:
-        return vertices.select("uid", F.col("uid").alias("component"))
-    rooted = vertices.join(reduce(DataFrame.unionByName, found), "vertex", "left").select(
-        "uid", F.coalesce("root", "vertex").alias("root")
-    )
-    names = rooted.groupBy("root").agg(F.min("uid").alias("component"))
-    return rooted.join(names, "root").select("uid", "component")
+    return found
 
 
 def _trim(arcs: DataFrame, left: int):
     """Drop arcs from vertices without a way in and to vertices without a way out."""
     while left:
-        entered = arcs.select(F.col("b").alias("a")).distinct()
-        departed = arcs.select(F.col("a").alias("b")).distinct()
+        # Written, so that adaptive execution can split the arcs of a popular vertex.
+        entered = materialize(arcs.select(F.col("b").alias("a")).distinct(), "scc-entered")
+        departed = materialize(arcs.select(F.col("a").alias("b")).distinct(), "scc-departed")
         kept = materialize(
             arcs.join(entered, "a", "left_semi").join(departed, "b", "left_semi").select("a", "b"),
             "scc-trimmed",

@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.functions.text import contains_ignoring_case, is_test_path, strip
-from archgraph.operators.topk import check_limit, top_k
+from archgraph.operators.topk import top_k
 from archgraph.schemas import DEFINITION_TYPES, REPOSITORY_NODE, SEARCHABLE_TYPES
+from archgraph.session import materialize
 
-# Default limits, and the greatest that a caller may ask for.
-SEARCH_LIMIT, SEARCH_LIMIT_MOST = 20, 50
-SUGGESTION_LIMIT, SUGGESTION_LIMIT_MOST = 6, 20
+# Default numbers of rows.
+SEARCH_LIMIT = 20
+SUGGESTION_LIMIT = 6
 OUTGOING_LIMIT = 8
 INCOMING_LIMIT = 5
 
@@ -30,7 +31,8 @@ def degrees(edges: DataFrame, types=None, only: DataFrame | None = None) -> Data
     """Incident edges per uid (degree > 0); ``only`` restricts to the uids of a table."""
     ends = incidences(edges, types).filter(F.col("symbol_type") != REPOSITORY_NODE)
     if only is not None:
-        ends = ends.join(only.select("uid").distinct(), "uid", "left_semi")
+        # Written, so that adaptive execution can split the edges of a hub.
+        ends = ends.join(materialize(only.select("uid").distinct(), "asked"), "uid", "left_semi")
     return ends.groupBy("repo_id", "uid").agg(F.count("*").alias("degree"))
 
 
@@ -47,7 +49,6 @@ def ranked_by_degree(edges: DataFrame, symbol_types, limit: int, types=None) ->
 
 def suggest_symbols(nodes: DataFrame, edges: DataFrame, limit: int = SUGGESTION_LIMIT) -> DataFrame:
     """Well-connected starting points; node columns are joined to the few that are left."""
-    check_limit(limit, SUGGESTION_LIMIT_MOST)
     best = ranked_by_degree(edges, DEFINITION_TYPES, limit, ("CALLS", "INHERITS"))
     shown = nodes.select("uid", "symbol_type", "name", "qualified_name", "file_path", "start_line")
     return best.join(shown, "uid")
@@ -59,7 +60,6 @@ def search_symbols(nodes: DataFrame, queries: DataFrame, limit: int = SEARCH_LIM
     An equi-join on the repository whose residual condition is the match, so
     only matches leave the join.
     """
-    check_limit(limit, SEARCH_LIMIT_MOST)
     asked = (
         queries.select("query_id", "repo_id", strip(F.col("query")).alias("query"))
         .filter(F.col("query") != "")
@@ -82,7 +82,8 @@ def neighbourhood(edges: DataFrame, uids: DataFrame, outgoing=OUTGOING_LIMIT, in
     Columns: uid, direction, position, relationship_type, qualified_name,
     file_path, start_line, confidence. Missing or zero confidence reads as 1.
     """
-    asked = uids.select("uid").distinct()
+    # Written, so that adaptive execution can split the edges of a hub.
+    asked = materialize(uids.select("uid").distinct(), "asked")
     certainty = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
 
     def towards(rows, near, far, direction, limit):

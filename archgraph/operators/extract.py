@@ -17,6 +17,9 @@ from archgraph.sources.files import extractable
 # Language -> generator of (kind, fields) for one file. Register more here.
 EXTRACTORS = {"python": extract_python}
 
+# Kind of the row of a file that is gone: its content is null.
+REMOVED = "removed"
+
 # Rows a task gathers before it hands a batch back.
 OUTPUT_ROWS = 5000
 
@@ -28,12 +31,15 @@ class ExtractedTables(NamedTuple):
 
 
 def extract_rows(files: DataFrame, extractors=None) -> DataFrame:
-    """One row per symbol, relationship or error; a map over files, no shuffle."""
+    """One row per symbol, relationship, error or removed file; a map over files, no shuffle."""
     registry = dict(EXTRACTORS if extractors is None else extractors)
     arrow_schema = to_arrow_schema(IR_ROWS)
 
     def rows_of(repo_id, path, language, content, version):
-        emitted = registry[language](path, content or "")
+        if content is None:
+            yield {"kind": REMOVED, "repo_id": repo_id, "file_path": path, "seq": 0, "version": version}
+            return
+        emitted = registry[language](path, content)
         for seq in count():
             try:
                 kind, fields = next(emitted)
@@ -83,6 +89,6 @@ def extract_ir(files: DataFrame, extractors=None) -> ExtractedTables:
 def parse_summary(files: DataFrame, parse_errors: DataFrame, extractors=None) -> DataFrame:
     """Parsed files and parse errors of every repository."""
     registry = EXTRACTORS if extractors is None else extractors
-    parsed = extractable(files, registry).groupBy("repo_id").agg(F.count("*").alias("parsed_files"))
+    parsed = extractable(files, registry).filter(F.col("content").isNotNull()).groupBy("repo_id").agg(F.count("*").alias("parsed_files"))
     errors = parse_errors.groupBy("repo_id").agg(F.count("*").alias("parse_errors"))
     return parsed.join(errors, "repo_id", "left").fillna(0, ["parse_errors"])

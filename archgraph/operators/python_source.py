@@ -8,9 +8,7 @@ import ast
 import re
 from functools import cache
 
-# Cuts and confidences of the extraction rules.
-DOCSTRING_LENGTH = 500
-CALLEE_LENGTH = 80
+# Confidences of the extraction rules.
 CALL_CONFIDENCE = 0.5
 BASE_CONFIDENCE = 0.6
 CERTAIN = 1.0
@@ -67,7 +65,7 @@ def _docstring(text, body, leading=None):
     if leading is not None and text.cut(leading, text.begin(value)).strip():
         return None  # a comment comes first
     literal = text.of(value)
-    return literal[:DOCSTRING_LENGTH] if _ONE_STRING.fullmatch(literal) else None
+    return literal if _ONE_STRING.fullmatch(literal) else None
 
 
 def _callee(text, call):
@@ -84,7 +82,7 @@ def _callee(text, call):
     end = text.end(func)
     for _ in range(opening.count("(")):
         end = text.raw.index(b")", end) + 1
-    return text.cut(text.begin(call), end)[:CALLEE_LENGTH]
+    return text.cut(text.begin(call), end)
 
 
 @cache
@@ -140,22 +138,108 @@ def _relationship(source, target, name, kind, line, confidence):
     }
 
 
+_PROBLEMS = (SyntaxError, ValueError, RecursionError, MemoryError)
+_STRINGS = re.compile(
+    r"""\"{3}(?:\\.|(?!\"{3}).)*(?:\"{3}|\Z)|'{3}(?:\\.|(?!'{3}).)*(?:'{3}|\Z)"""
+    r"""|"(?:\\.|[^"\\\n])*["\n]|'(?:\\.|[^'\\\n])*['\n]|\#[^\n]*""",
+    re.DOTALL,
+)
+_CONTINUES = re.compile(r"(?:else|elif|except|finally)\b|[)\]}]")
+_HEADER = re.compile(r"(?:async\s+def|def|class)\b")
+
+
+def _inside_strings(source):
+    """Numbers (from 0) of the lines that begin inside a string."""
+    inside = set()
+    for found in _STRINGS.finditer(source):
+        first = source.count("\n", 0, found.start())
+        inside.update(range(first + 1, first + 1 + found.group().count("\n", 0, -1)))
+    return inside
+
+
+def _indent(line):
+    return len(line) - len(line.lstrip(" \t"))
+
+
+def _blocks(lines, first, last, indent, inside):
+    """Ranges of lines that hold one statement each, with its decorators, at an indentation."""
+    begins, decorated = [], False
+    for i in range(first, last):
+        line = lines[i].strip()
+        if not line or i in inside or _indent(lines[i]) > indent or line.startswith("#") or _CONTINUES.match(line):
+            continue
+        if not decorated:
+            begins.append(i)
+        decorated = line.startswith("@")
+    return zip(begins, [*begins[1:], last])
+
+
+def _parsed(lines, first, last, indent, more=()):
+    """Statements of the lines at their own places, or None."""
+    opening = ["if 1:"] if indent else []
+    try:
+        tree = ast.parse("\n".join([""] * (first - len(opening)) + opening + lines[first:last] + list(more)))
+    except _PROBLEMS:
+        return None
+    return tree.body[0].body if indent else tree.body
+
+
+def _recovered(lines, first, last, indent, inside):
+    """Statements of every block that parses; a class or function that does not keeps what parses inside."""
+    found = []
+    for begin, end in _blocks(lines, first, last, indent, inside):
+        body = _parsed(lines, begin, end, indent)
+        found.extend(_salvaged(lines, begin, end, indent, inside) if body is None else body)
+    return found
+
+
+def _salvaged(lines, first, last, indent, inside):
+    while last > first and not lines[last - 1].strip():
+        last -= 1
+    header = next((i for i in range(first, last) if i not in inside and _HEADER.match(lines[i].strip())), None)
+    if header is None or _indent(lines[header]) != indent:
+        return []
+    for end in range(header + 1, last + 1):
+        node = _parsed(lines, first, end, indent, [lines[header][:indent] + " pass"])
+        if node is not None:
+            break
+        if end < last and lines[end].strip() and _indent(lines[end]) <= indent and not _CONTINUES.match(lines[end].strip()):
+            return []
+    else:
+        return []
+    inner = next((_indent(line) for i, line in enumerate(lines[end:last], end) if line.strip() and i not in inside), 0)
+    node[-1].body = _recovered(lines, end, last, inner, inside) if inner > indent else []
+    node[-1].end_lineno = last
+    return node
+
+
+def _statements(source):
+    """Top-level statements, and the problem if the whole does not parse."""
+    try:
+        return ast.parse(source).body, None
+    except _PROBLEMS as problem:
+        plain = source.replace("\r\n", "\n").replace("\r", "\n")
+        lines = plain.split("\n")
+        return _recovered(lines, 0, len(lines), 0, _inside_strings(plain)), f"{type(problem).__name__}: {problem}"
+
+
 def extract_python(path: str, source: str):
-    """Yield ('symbol' | 'relationship' | 'error', fields) in emission order."""
+    """Yield ('symbol' | 'relationship' | 'error', fields) in emission order.
+
+    A file that does not parse as a whole gives one error and all that parses:
+    statements are taken one by one, and a class or function with a fault
+    inside keeps its own symbol and its other statements.
+    """
     source = source.removeprefix("\ufeff")
     module = module_name(path)
     lines = source.count("\n") + 1
-    try:
-        text = _Text(source)
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
-        yield _symbol(module, path.rsplit("/", 1)[-1], module, "file", 1, lines)
-        yield "error", f"{type(problem).__name__}: {problem}"
-        return
-    yield _symbol(module, path.rsplit("/", 1)[-1], module, "file", 1, lines,
-                  docstring=_docstring(text, tree.body, leading=0))
+    text = _Text(source)
+    body, problem = _statements(source)
+    yield _symbol(module, path.rsplit("/", 1)[-1], module, "file", 1, lines, docstring=_docstring(text, body, leading=0))
+    if problem is not None:
+        yield "error", problem
     # Stack entries: node, id of the container, name prefix, directly in a class?
-    pending = [(node, module, module, False) for node in reversed(tree.body)]
+    pending = [(node, module, module, False) for node in reversed(body)]
     while pending:
         node, container, prefix, in_class = pending.pop()
         if isinstance(node, (ast.Import, ast.ImportFrom)):

@@ -1,39 +1,53 @@
-"""Bounded reverse reachability."""
+"""Reverse reachability."""
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.session import materialize
+from archgraph.session import materialize, new_folder
 
-# The edge types a change travels along, and how far it is followed.
+# The edge types a change travels along.
 DEPENDENCY_TYPES = ("CALLS", "INHERITS")
-MAX_DEPTH = 8
 
+_PAIRS = "target_uid string, uid string, depth int"
 
-def dependents(edges: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Symbols with a path of 1..max_depth edges to a target, with the least depth.
 
-    ``targets`` has a column uid. Result: target_uid, uid, depth. All targets
-    advance together, one level per round; each round writes only the pairs it
-    reached first. A target starts the first frontier without counting as
-    visited, so a target on a cycle depends on itself.
+def dependents(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Symbols with a path of edges to a target, with the least depth; ``max_depth`` is the caller's, default none.
+
+    ``targets`` has a column uid and may have repo_id; then only the edges of
+    those repositories are read and written. Result: target_uid, uid, depth.
+    All targets advance together, one level per round, until no new pair is
+    found; each round writes only the pairs it reached first, and earlier
+    levels are read back as one table. A target starts the first frontier
+    without counting as visited, so a target on a cycle depends on itself.
     """
+    spark = edges.sparkSession
+    if "repo_id" in targets.columns:
+        wanted = materialize(targets.select("repo_id").distinct(), "asked-repositories")
+        edges = edges.join(wanted, "repo_id", "left_semi")
     arcs = materialize(
-        edges.filter(F.col("relationship_type").isin(*DEPENDENCY_TYPES)).select("src", "dst").distinct(),
+        edges.filter(F.col("relationship_type").isin(*DEPENDENCY_TYPES)).select("src", "dst").distinct()
+        .repartition("dst").sortWithinPartitions("dst"),
         "dependency-arcs",
     )
     frontier = targets.select(F.col("uid").alias("target_uid"), F.col("uid").alias("dst")).distinct()
-    levels = []
-    for depth in range(1, max_depth + 1):
+    folders = []
+
+    def levels():
+        return spark.read.schema(_PAIRS).parquet(*folders)
+
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         reached = frontier.join(arcs, "dst").select("target_uid", F.col("src").alias("uid")).distinct()
-        if levels:
-            visited = reduce(DataFrame.unionByName, levels).select("target_uid", "uid")
-            reached = reached.join(visited, ["target_uid", "uid"], "left_anti")
-        level = materialize(reached.withColumn("depth", F.lit(depth)), f"dependents-{depth}")
-        levels.append(level)
+        if folders:
+            reached = reached.join(levels().select("target_uid", "uid"), ["target_uid", "uid"], "left_anti")
+        folders.append(new_folder(spark, f"dependents-{depth}"))
+        reached.withColumn("depth", F.lit(depth)).write.parquet(folders[-1])
+        level = spark.read.schema(_PAIRS).parquet(folders[-1])
         if level.isEmpty():
             break
         frontier = level.select("target_uid", F.col("uid").alias("dst"))
-    return reduce(DataFrame.unionByName, levels)
+    return levels() if folders else spark.createDataFrame([], _PAIRS)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from archgraph.functions.text import last_segment
 from archgraph.schemas import DEFINITION_TYPES
+from archgraph.session import materialize
 
 # Confidence of a link by the rule that made it.
 EXACT = 0.95
@@ -18,10 +19,11 @@ def name_links(symbols: DataFrame, names: DataFrame) -> DataFrame:
     exact = symbols.groupBy("repo_id", F.col("qualified_name").alias("target_name")).agg(
         F.max_by("id", F.struct("file_path", "seq")).alias("exact_id")
     )
-    by_name = (
+    by_name = materialize(
         symbols.filter(F.col("symbol_type").isin(*DEFINITION_TYPES))
         .groupBy("repo_id", F.col("name").alias("short_name"))
-        .agg(F.count("*").alias("candidates"), F.min("id").alias("candidate_id"))
+        .agg(F.count("*").alias("candidates"), F.min("id").alias("candidate_id")),
+        "short-names",
     )
     return (
         names.join(exact, ["repo_id", "target_name"], "left")
@@ -37,14 +39,15 @@ def resolve_relationships(symbols: DataFrame, relationships: DataFrame) -> DataF
 
     The names are linked once per distinct (repository, name), after a
     map-side distinct, so a name used by a third of all rows is looked up
-    once. Only the last join carries whole rows; its other side has one row
-    per key, so a hot name can be split there by the adaptive skew join.
+    once. Only the last join carries whole rows; its other side is a written
+    table with one row per key, so the adaptive skew join can split a hot name
+    there. The same holds for a short name that many distinct names end in.
     Rows that are resolved already are not shuffled.
     """
     columns = relationships.columns
     is_open = F.col("target_id").isNull()
     open_rows = relationships.filter(is_open)
-    links = name_links(symbols, open_rows.select("repo_id", "target_name").distinct())
+    links = materialize(name_links(symbols, open_rows.select("repo_id", "target_name").distinct()), "name-links")
     target = (
         F.when(F.col("exact_id").isNotNull(), F.col("exact_id"))
         .when(F.col("candidates") == 1, F.col("candidate_id"))

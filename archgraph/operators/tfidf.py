@@ -13,14 +13,17 @@ from archgraph.operators.topk import top_k
 from archgraph.schemas import SEARCHABLE_TYPES
 from archgraph.session import materialize
 
-# Vocabulary size and default hits.
-MAX_TERMS = 4096
+# Fixed value: default hits.
 TOP_K = 8
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 
-# Scores are rounded so that sums taken in another order rank alike.
-SCORE_DIGITS = 6
+# Sums are taken in whole multiples of these, so they do not depend on the order of their terms:
+# equal texts have equal scores, and ties fall to the document order.
+SCORE_UNITS = 10**15
+SQUARES = "decimal(28,9)"
+# Cosines of a matrix product agree to this, wherever in a block a vector stands.
+DENSE_UNITS = 1e12
 
 
 class TfidfIndex(NamedTuple):
@@ -59,28 +62,35 @@ def term_counts(texts: DataFrame, keys, text="text") -> DataFrame:
     )
 
 
-def fit_tfidf(docs: DataFrame, max_terms: int = MAX_TERMS) -> TfidfIndex:
-    """Build the index over docs (repo_id, doc_id, text).
+def _length(raw):
+    """Euclidean length of the values of a window, whatever their order."""
+    return lambda window: F.sqrt(F.sum((raw * raw).cast(SQUARES)).over(window).cast("double"))
 
-    The terms of every repository are those of most occurrences, ties by
-    term; idf = ln((1 + n) / (1 + df)) + 1.
+
+def fit_tfidf(docs: DataFrame, max_terms: int | None = None) -> TfidfIndex:
+    """Build the index over docs (repo_id, doc_id, text); idf = ln((1 + n) / (1 + df)) + 1.
+
+    The vocabulary of a repository holds all its terms; with ``max_terms``
+    those of most occurrences, ties by term.
     """
     counts = materialize(term_counts(docs, ["repo_id", "doc_id"]), "tfidf-counts")
     sizes = docs.groupBy("repo_id").agg(F.count("*").alias("n"))
     per_term = counts.groupBy("repo_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    best = top_k(per_term, ["repo_id"], [F.col("total").desc(), F.col("term")], max_terms).drop("rank")
+    best = per_term
+    if max_terms is not None:
+        best = top_k(per_term, ["repo_id"], [F.col("total").desc(), F.col("term")], max_terms).drop("rank")
     vocabulary = materialize(
         best.join(sizes, "repo_id").select(
             "repo_id", "term", "df", "total",
             (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")),
         "tfidf-vocabulary",
     )
-    # A document has at most max_terms rows here, which bounds the window.
+    # A document has at most as many rows here as distinct words, which bounds the window.
     whole = Window.partitionBy("repo_id", "doc_id")
     raw = counts.join(vocabulary, ["repo_id", "term"]).select(
         "repo_id", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     weights = materialize(
-        raw.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole))).drop("raw"),
+        raw.withColumn("weight", F.col("raw") / _length(F.col("raw"))(whole)).drop("raw"),
         "tfidf-weights",
     )
     return TfidfIndex(vocabulary, weights, docs.select("repo_id", "doc_id"))
@@ -92,8 +102,7 @@ def question_weights(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     raw = counts.join(vocabulary, ["repo_id", "term"]).select(
         "query_id", "repo_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     whole = Window.partitionBy("query_id", "repo_id")
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole))
-    return raw.withColumn("query_weight", F.col("raw") / length).drop("raw")
+    return raw.withColumn("query_weight", F.col("raw") / _length(F.col("raw"))(whole)).drop("raw")
 
 
 def search(questions: DataFrame, index: TfidfIndex, k: int = TOP_K, pad: bool = False) -> DataFrame:
@@ -109,7 +118,7 @@ def search(questions: DataFrame, index: TfidfIndex, k: int = TOP_K, pad: bool =
     scored = (
         index.weights.join(asked, ["repo_id", "term"])
         .groupBy("query_id", "repo_id", "doc_id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DIGITS).alias("score"))
+        .agg((F.sum(F.floor(F.col("weight") * F.col("query_weight") * float(SCORE_UNITS))) / float(SCORE_UNITS)).alias("score"))
     )
     order = [F.col("score").desc(), F.col("doc_id")]
     hits = top_k(scored, ["query_id", "repo_id"], order, k)
@@ -156,7 +165,7 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, rows_pe
         if query_rows.empty or vector_rows.empty:
             return pd.DataFrame(columns=columns)
         vector_rows = vector_rows.sort_values("vec_id", ignore_index=True)
-        scores = np.round(_unit(query_rows["embedding"]) @ _unit(vector_rows["embedding"]).T, SCORE_DIGITS)
+        scores = np.floor(_unit(query_rows["embedding"]) @ _unit(vector_rows["embedding"]).T * DENSE_UNITS) / DENSE_UNITS
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({
             "query_id": query_rows["query_id"].repeat(best.shape[1]).to_numpy(),
@@ -177,6 +186,6 @@ def _block_counts(rows: DataFrame, size: int, name: str) -> DataFrame:
 
 def _unit(embeddings: pd.Series) -> np.ndarray:
     """Rows scaled to length one; a zero row stays zero."""
-    matrix = np.array(embeddings.tolist(), dtype=np.float64)
+    matrix = np.concatenate(embeddings.to_numpy()).astype(np.float64).reshape(len(embeddings), -1)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 GROUP_LIMIT = 1000
 
 
-def check_limit(limit: int, most: int) -> None:
-    if not 1 <= limit <= most:
-        raise ValueError(f"limit must be between 1 and {most}, not {limit}")
-
-
 def top_k(df: DataFrame, keys, order, k: int, rank="rank", salted=False, spread=64) -> DataFrame:
     """The first k rows of every key under a total order, numbered in ``rank``.
 

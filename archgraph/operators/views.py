@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from archgraph.functions.text import is_test_path
 from archgraph.operators.degrees import ranked_by_degree
-from archgraph.operators.topk import check_limit, top_k
+from archgraph.operators.topk import top_k
 from archgraph.schemas import CALLABLE_TYPES
 from archgraph.session import materialize
 
-# Default node limits, and the greatest that a caller may ask for.
+# Default node limits.
 FILE_LIMIT = 60
 CLASS_LIMIT = 100
-LIMIT_MOST = 500
 
 
 class GraphView(NamedTuple):
@@ -47,7 +46,6 @@ def file_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def file_view(nodes: DataFrame, edges: DataFrame, limit: int = FILE_LIMIT) -> GraphView:
-    check_limit(limit, LIMIT_MOST)
     # Degrees, ranks and edges all read the pairs, which are few beside the calls.
     pairs = materialize(file_pairs(nodes, edges), "file-pairs")
     touched = (
@@ -63,12 +61,11 @@ def file_view(nodes: DataFrame, edges: DataFrame, limit: int = FILE_LIMIT) -> Gr
     used = _induced(pairs, best, "source_uid", "target_uid").select(
         "repo_id", "source_uid", "target_uid", F.lit("USES").alias("relationship_type"),
         F.col("weight").cast("double").alias("weight"))
-    truncated = touched.groupBy("repo_id").agg((F.count("*") > limit).alias("truncated"))
+    truncated = _per_repository(nodes, touched.groupBy("repo_id").agg((F.count("*") > limit).alias("truncated")))
     return GraphView(shown, used, truncated)
 
 
 def class_view(nodes: DataFrame, edges: DataFrame, limit: int = CLASS_LIMIT) -> GraphView:
-    check_limit(limit, LIMIT_MOST)
     best = materialize(ranked_by_degree(edges, ("file", "class"), limit), "class-view")
     shown = best.select("repo_id", "uid", "degree").join(nodes.select(*_SHOWN), "uid")
     plain = edges.filter(
@@ -79,7 +76,7 @@ def class_view(nodes: DataFrame, edges: DataFrame, limit: int = CLASS_LIMIT) ->
         "repo_id", F.col("src").alias("source_uid"), F.col("dst").alias("target_uid"),
         "relationship_type", F.lit(1.0).alias("weight"))
     view_edges = structure.unionByName(class_uses(edges, best))
-    truncated = best.groupBy("repo_id").agg((F.count("*") >= limit).alias("truncated"))
+    truncated = _per_repository(nodes, best.groupBy("repo_id").agg((F.count("*") >= limit).alias("truncated")))
     return GraphView(shown, view_edges, truncated)
 
 
@@ -111,6 +108,11 @@ def class_uses(edges: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _per_repository(nodes: DataFrame, truncated: DataFrame) -> DataFrame:
+    """A row for every repository; one without content is not truncated."""
+    return nodes.select("repo_id").distinct().join(truncated, "repo_id", "left").fillna(False, ["truncated"])
+
+
 def _induced(edges: DataFrame, selected: DataFrame, src: str, dst: str) -> DataFrame:
     """Edges whose two ends are both selected."""
     return (

@@ -2,13 +2,14 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.operators.degrees import neighbourhood
 from archgraph.operators.tfidf import TOP_K, TfidfIndex, fit_tfidf, search, search_documents
 from archgraph.schemas import Graph
 from archgraph.session import materialize
+from archgraph.sources.graph_store import BUCKETS, current_rows, write_snapshot
 
 # Evidence size, score parts and label thresholds.
 EVIDENCE_HITS = 6
@@ -19,8 +20,8 @@ WEAK_BONUS = 0.05
 CONFIRMED = 0.55
 INFERRED = 0.30
 
-NO_EVIDENCE = "(no matching evidence found in the repository)"
-NO_RELATIONSHIPS = "  (no recorded relationships)"
+NO_EVIDENCE = "Nothing in the repository matches the question."
+NO_RELATIONSHIPS = "   no edges"
 
 RULES = (
     "You explain one code repository to a developer.\n"
@@ -47,6 +48,19 @@ def index_symbols(symbols: DataFrame) -> RepositoryIndex:
     return RepositoryIndex(documents, fit_tfidf(documents.select("repo_id", "doc_id", "text")))
 
 
+def write_index(index: RepositoryIndex, store: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """Keep the index of a batch's repositories beside their graph."""
+    write_snapshot(index.documents, store, "documents", batch_id, buckets)
+    write_snapshot(index.terms.vocabulary, store, "vocabulary", batch_id, buckets)
+    write_snapshot(index.terms.weights, store, "weights", batch_id, buckets)
+
+
+def read_index(spark: SparkSession, store: str, repo_ids=None) -> RepositoryIndex:
+    """The current index of all repositories, or of some."""
+    documents, vocabulary, weights = (current_rows(spark, store, n, repo_ids) for n in ("documents", "vocabulary", "weights"))
+    return RepositoryIndex(documents, TfidfIndex(vocabulary, weights, documents.select("repo_id", "doc_id")))
+
+
 def gather_evidence(hits: DataFrame, documents: DataFrame, edges: DataFrame, shown: int = EVIDENCE_HITS) -> DataFrame:
     """The best hits with their neighbourhood, at most 13 related symbols each."""
     described = hits.filter(F.col("rank") <= shown).join(documents.drop("text"), ["repo_id", "doc_id"])
@@ -82,10 +96,10 @@ def compute_confidence(questions: DataFrame, hits: DataFrame, evidence: DataFram
 def evidence_blocks(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """The evidence of a question as one text of at most six numbered blocks."""
     lines = F.transform("related", lambda r: F.format_string(
-        "  - %s (%s) %s [%s:%d] (confidence %.2f)", r["relationship_type"], r["direction"],
-        r["qualified_name"], r["file_path"], r["start_line"], r["confidence"]))
+        "   %s %s %s at %s:%d, %.2f", r["direction"], r["relationship_type"], r["qualified_name"], r["file_path"],
+        r["start_line"], r["confidence"]))
     block = F.format_string(
-        "[%d] %s %s\n    location: %s:%d-%d\n    relationships:\n%s",
+        "%d. %s %s, %s lines %d to %d\n%s",
         "rank", "symbol_type", "qualified_name", "file_path", "start_line", "end_line",
         F.when(F.size("related") > 0, F.array_join(lines, "\n")).otherwise(F.lit(NO_RELATIONSHIPS)))
     keys = ["query_id", "repo_id"]

@@ -10,7 +10,7 @@ from archgraph.functions.classify import (
 )
 from archgraph.functions.text import first_segment
 from archgraph.operators.degrees import degrees
-from archgraph.operators.reach import MAX_DEPTH, dependents
+from archgraph.operators.reach import dependents
 from archgraph.operators.topk import top_k
 from archgraph.schemas import Graph
 from archgraph.session import materialize
@@ -43,9 +43,9 @@ def find_targets(graph: Graph, targets: DataFrame) -> DataFrame:
     )
 
 
-def described_dependents(graph: Graph, found: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def described_dependents(graph: Graph, found: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Dependents of the found targets with their columns and classification."""
-    reached = dependents(graph.edges, found.select(F.col("target_uid").alias("uid")), max_depth)
+    reached = dependents(graph.edges, found.select("repo_id", F.col("target_uid").alias("uid")), max_depth)
     shown = graph.nodes.select("repo_id", "uid", "symbol_type", "name", "qualified_name", "file_path",
                                "start_line", "end_line", "decorators")
     return (
@@ -137,15 +137,17 @@ def explanation(name: Column, direct: Column, indirect: Column, apis: Column, se
     return F.concat_ws(" ", footprint, exposure, cover, packages, central, verdict)
 
 
-def detection_notes(max_depth: int = MAX_DEPTH) -> list[str]:
-    return [
+def detection_notes(max_depth: int | None = None) -> list[str]:
+    notes = [
         "Endpoints are recognised by their decorators; request routing is not followed.",
         f"Service components are recognised by name endings: {', '.join(SERVICE_SUFFIXES)}.",
-        f"Dependents more than {max_depth} edges away are not counted.",
     ]
+    if max_depth is not None:
+        notes.append(f"Dependents more than {max_depth} edges away are not counted.")
+    return notes
 
 
-def impact_report(graph: Graph, targets: DataFrame, max_depth: int = MAX_DEPTH, stdlib=None) -> ImpactReport:
+def impact_report(graph: Graph, targets: DataFrame, max_depth: int | None = None, stdlib=None) -> ImpactReport:
     """Reports of all targets (repo_id, uid). An unknown target gives a row with found = false.
 
     The full lists are flat tables; the summary row holds counts, the risk

@@ -16,11 +16,10 @@ from archgraph.operators.topk import top_k
 from archgraph.schemas import CALLABLE_TYPES, Graph
 from archgraph.session import materialize
 
-# Thresholds for LOW, MEDIUM, HIGH, and list limits.
+# Thresholds for LOW, MEDIUM, HIGH, and how many rows a display shows.
 CYCLE_MEMBERS = (2, 3, 5)
 CLASS_METHODS = (15, 25, 40)
 FUNCTION_LINES = (60, 100, 150)
-DEAD_CODE_LIMIT = 20
 MEDIUM_SHOWN = 5
 AFFECTED_SHOWN = 6
 SMELL_TYPES = ("circular_dependency", "god_class", "large_function", "dead_code_candidate")
@@ -54,7 +53,8 @@ def call_cycles(graph: Graph) -> DataFrame:
     calls = graph.edges.filter(F.col("relationship_type") == "CALLS")
     members = materialize(strongly_connected_components(calls), "call-components")
     sizes = members.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= CYCLE_MEMBERS[0])
-    return members.join(sizes, "component")
+    # Written, so that adaptive execution can split the members of a giant component.
+    return members.join(materialize(sizes, "component-sizes"), "component")
 
 
 def circular_dependencies(graph: Graph) -> SmellReport:
@@ -114,14 +114,19 @@ def uncalled(graph: Graph) -> DataFrame:
     ).join(called, "uid", "left_anti")
 
 
-def dead_code_candidates(graph: Graph, limit: int = DEAD_CODE_LIMIT) -> SmellReport:
-    first = top_k(uncalled(graph), ["repo_id"], [F.col("qualified_name"), F.col("uid")], limit)
+def dead_code_candidates(graph: Graph, limit: int | None = None) -> SmellReport:
+    """All candidates; with a limit the first of every repository, each with the number of all in ``evidence``."""
+    rows, note = uncalled(graph), F.lit("No incoming CALLS edge, no decorator, no framework name.")
+    if limit is not None:
+        every = materialize(rows.groupBy("repo_id").agg(F.count("*").alias("candidates")), "candidate-counts")
+        rows = top_k(rows, ["repo_id"], [F.col("qualified_name"), F.col("uid")], limit).join(every, "repo_id")
+        note = F.concat(note, F.format_string(" One of %d in the repository.", "candidates"))
     return _one_symbol(
-        first, "dead_code_candidate", F.lit("LOW"), F.lit(0),
+        rows, "dead_code_candidate", F.lit("LOW"), F.lit(0),
         F.format_string("%s has no known caller", "qualified_name"),
         "No call in the repository reaches this symbol. Dynamic calls and callers elsewhere are not seen, "
         "so this is a hint and no proof.",
-        F.lit("No incoming CALLS edge, no decorator, no framework name."))
+        note)
 
 
 def detect_smells(graph: Graph) -> SmellReport:
@@ -150,13 +155,16 @@ def top_findings(findings: DataFrame, medium_shown: int = MEDIUM_SHOWN) -> DataF
     return high.unionByName(medium.drop("rank"))
 
 
-def hidden_findings(findings: DataFrame, medium_shown: int = MEDIUM_SHOWN) -> DataFrame:
-    """Per repository: findings in all, and how many top_findings leaves out."""
-    return findings.groupBy("repo_id").agg(
+def hidden_findings(findings: DataFrame, medium_shown: int = MEDIUM_SHOWN, repositories: DataFrame | None = None) -> DataFrame:
+    """Per repository: findings in all, and how many top_findings leaves out; 0 for those of ``repositories`` without any."""
+    counted = findings.groupBy("repo_id").agg(
         F.count("*").alias("total"),
         (F.count_if(F.col("severity") == "LOW")
          + F.greatest(F.count_if(F.col("severity") == "MEDIUM") - medium_shown, F.lit(0))).alias("hidden"),
     )
+    if repositories is None:
+        return counted
+    return repositories.select("repo_id").distinct().join(counted, "repo_id", "left").fillna(0, ["total", "hidden"])
 
 
 def affected_preview(affected: DataFrame, shown: int = AFFECTED_SHOWN) -> DataFrame:

@@ -1,7 +1,12 @@
-"""Session settings and the shared folder that intermediate tables go to."""
+"""Session settings, the shared folder that intermediate tables go to, and the code that workers need."""
 
+import atexit
+import os
+import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,11 +46,52 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+_open_scopes = threading.local()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, label: str):
+    """Intermediate tables written inside the block go when it ends.
+
+    What is needed later is written elsewhere by then, or with
+    ``materialize(..., outside=True)``.
+    """
+    folder = new_folder(spark, label)
+    scopes = _open_scopes.__dict__.setdefault("folders", [])
+    scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        scopes.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_folder(spark: SparkSession, label: str, outside: bool = False) -> str:
+    """A name not used before, in the innermost open scratch scope, or in the one around it."""
+    scopes = _open_scopes.__dict__.get("folders", [])
+    inner = scopes[: len(scopes) - 1] if outside else scopes
+    return f"{inner[-1] if inner else shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_shipped = set()
+
+
+def ship_code(spark: SparkSession, *packages: str) -> None:
+    """Send packages to the workers, once per application, so that jobs run from any folder."""
+    key = (spark.sparkContext.applicationId, packages)
+    if key in _shipped:
+        return
+    _shipped.add(key)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    local = tempfile.mkdtemp(prefix="archgraph-code-")  # the driver's own; Spark serves the archive to the workers
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    for package in packages:
+        shutil.copytree(os.path.join(root, package), os.path.join(local, "code", package), ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(local, "archgraph-code"), "zip", os.path.join(local, "code")))
+
+
+def materialize(df: DataFrame, label: str, outside: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage of iterative operators, survives the loss of
@@ -53,6 +99,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     then broadcast only when its files are below the broadcast threshold.
     """
     spark = df.sparkSession
-    folder = new_folder(spark, label)
+    folder = new_folder(spark, label, outside)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

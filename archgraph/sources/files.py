@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions.text import file_name
+from archgraph.session import materialize
 
 # Directories never scanned.
 IGNORED_DIRS = (
@@ -23,10 +24,6 @@ SUFFIX_LANGUAGE = {
     ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".h": "cpp",
 }
 
-# Default limits of one repository.
-MAX_FILES = 5000
-MAX_MEGABYTES = 500
-
 
 def not_ignored(path: Column) -> Column:
     """No component of the repository-relative path is an ignored directory."""
@@ -44,17 +41,29 @@ def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("language", language_of(F.col("path")))
 
 
-def read_source_files(spark: SparkSession, root: str) -> DataFrame:
+def suffix_glob(languages) -> str:
+    """A file name pattern of all suffixes of the languages, in either case."""
+    suffixes = [s for s, language in SUFFIX_LANGUAGE.items() if language in languages]
+    either = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+    return "*{" + ",".join(either) + "}"
+
+
+def read_source_files(spark: SparkSession, root: str, languages=None, max_bytes: int | None = None) -> DataFrame:
     """Files under ``<root>/<repo_id>/...`` as repo_id, path, size_bytes, content.
 
-    The content is read from storage only by plans that use the column.
+    The content is read from storage only by plans that use the column. With
+    ``languages`` only files of their suffixes are listed, so images, archives
+    and repository metadata are never opened; files over ``max_bytes`` are left
+    out by their listed size, unread. Without either every file is a row, which
+    is what profiles and limits count.
     """
     base = root.rstrip("/")
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(base)
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if languages is not None:
+        reader = reader.option("pathGlobFilter", suffix_glob(languages))
+    raw = reader.load(base)
+    if max_bytes is not None:
+        raw = raw.filter(F.col("length") <= max_bytes)
     layout = f"^.*{re.escape(base)}/([^/]+)/(.+)$"
     return (
         raw.select(
@@ -68,8 +77,8 @@ def read_source_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def extractable(files: DataFrame, languages) -> DataFrame:
-    """Keep files whose language has an extractor."""
-    return with_language(files).filter(F.col("language").isin(*languages))
+    """Keep files outside ignored folders whose language has an extractor."""
+    return with_language(files).filter(not_ignored(F.col("path")) & F.col("language").isin(*languages))
 
 
 def profile_repositories(files: DataFrame) -> DataFrame:
@@ -91,8 +100,8 @@ def profile_repositories(files: DataFrame) -> DataFrame:
     )
 
 
-def apply_limits(profile: DataFrame, max_files=MAX_FILES, max_megabytes=MAX_MEGABYTES) -> DataFrame:
-    """Add ``reject_reason``; null means accepted. Limits are inclusive."""
+def apply_limits(profile: DataFrame, max_files: int, max_megabytes: int) -> DataFrame:
+    """Add ``reject_reason``; null means accepted. Limits are the caller's, and inclusive."""
     return profile.withColumn(
         "reject_reason",
         F.when(F.col("file_count") > max_files, F.lit(f"more than {max_files} files"))
@@ -103,5 +112,6 @@ def apply_limits(profile: DataFrame, max_files=MAX_FILES, max_megabytes=MAX_MEGA
 
 def accepted_files(files: DataFrame, limited: DataFrame) -> DataFrame:
     """Files of repositories within the limits."""
-    accepted = limited.filter(F.col("reject_reason").isNull()).select("repo_id")
+    # Written, so that adaptive execution can split the files of a large repository.
+    accepted = materialize(limited.filter(F.col("reject_reason").isNull()).select("repo_id"), "accepted")
     return files.join(accepted, "repo_id", "left_semi")

@@ -8,13 +8,16 @@ repository's current snapshot is that of its last 'ready' status row.
 Folders are by batch and by a hash bucket of the repository, so their number
 does not follow the number of repositories. The rebalance hint splits a
 bucket that holds a hot repository into several files and merges small ones.
+Rows of a file are sorted by repository, so readers of a few skip row groups.
+The number of buckets is chosen at the first write, by the size that the store
+will have, and kept in the store.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archgraph.schemas import EDGES, IR_ROWS, STATUS_LOG, SYMBOLS, Graph
+from archgraph.schemas import EDGES, IR_ROWS, REPOSITORIES, STATUS_LOG, SYMBOLS, Graph
 
 BUCKETS = 64
 
@@ -23,6 +26,16 @@ SCHEMAS = {
     "ir": T.StructType(IR_ROWS.fields + _PLACE),
     "nodes": T.StructType(SYMBOLS.fields + _PLACE),
     "edges": T.StructType(EDGES.fields + _PLACE),
+    "documents": T.StructType(T.StructType([
+        T.StructField(name, T.IntegerType() if name.endswith("_line") else T.StringType())
+        for name in ("repo_id", "doc_id", "symbol_uid", "text", "symbol_type", "name", "qualified_name", "file_path",
+                     "start_line", "end_line")]).fields + _PLACE),
+    "vocabulary": T.StructType([
+        T.StructField("repo_id", T.StringType()), T.StructField("term", T.StringType()), T.StructField("df", T.LongType()),
+        T.StructField("total", T.LongType()), T.StructField("idf", T.DoubleType()), *_PLACE]),
+    "weights": T.StructType([
+        T.StructField("repo_id", T.StringType()), T.StructField("doc_id", T.StringType()),
+        T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType()), *_PLACE]),
 }
 STATUS = T.StructType([f for f in STATUS_LOG.fields if f.name != "status"]
                       + [_PLACE[0], T.StructField("status", T.StringType())])
@@ -32,12 +45,20 @@ def repo_bucket(repo_id, buckets: int = BUCKETS):
     return F.pmod(F.xxhash64(repo_id), F.lit(buckets)).cast("int")
 
 
+def store_buckets(spark: SparkSession, store: str, buckets: int = BUCKETS) -> int:
+    """The store's number of buckets; the first call fixes it."""
+    layout = spark.createDataFrame([(buckets,)], "buckets int").coalesce(1)
+    layout.write.mode("ignore").parquet(f"{store}/layout")
+    return spark.read.schema("buckets int").parquet(f"{store}/layout").first().buckets
+
+
 def write_snapshot(df: DataFrame, store: str, name: str, batch_id: int, buckets: int = BUCKETS) -> None:
     """Write the rows of one batch; the same batch written again replaces itself."""
+    buckets = store_buckets(df.sparkSession, store, buckets)
     (
         df.withColumn("batch_id", F.lit(batch_id).cast("long"))
         .withColumn("repo_bucket", repo_bucket(F.col("repo_id"), buckets))
-        .hint("rebalance", "repo_bucket")
+        .hint("rebalance", "repo_bucket").sortWithinPartitions("repo_bucket", "repo_id")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id", "repo_bucket")
         .parquet(f"{store}/{name}")
@@ -74,20 +95,46 @@ def current_snapshots(spark: SparkSession, store: str) -> DataFrame:
     return finished.groupBy("repo_id").agg(F.max("batch_id").alias("batch_id"))
 
 
+def remove_superseded(spark: SparkSession, store: str) -> int:
+    """Delete the batches that hold no repository's current snapshot; returns their number.
+
+    For a store that no one is reading an older state of.
+    """
+    needed = {r.batch_id for r in current_snapshots(spark, store).select("batch_id").distinct().collect()}  # one row per batch
+    batches = {r.batch_id for r in read_status(spark, store).select("batch_id").distinct().collect()}
+    old = [b for b in sorted(batches - needed) if needed and b < max(needed)]
+    for name in SCHEMAS:
+        for batch in old:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}/batch_id={batch}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(old)
+
+
+def write_repositories(records: DataFrame, store: str) -> None:
+    """Replace the table of repository records (identity, address, branch, commit, last status)."""
+    records.select(*REPOSITORIES.fieldNames()).write.mode("overwrite").parquet(f"{store}/repositories")
+
+
+def read_repositories(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(REPOSITORIES).parquet(f"{store}/repositories")
+
+
 def write_graph(graph: Graph, store: str, batch_id: int, buckets: int = BUCKETS) -> None:
     write_snapshot(graph.nodes, store, "nodes", batch_id, buckets)
     write_snapshot(graph.edges, store, "edges", batch_id, buckets)
 
 
-def read_graph(spark: SparkSession, store: str, repo_ids=None, buckets: int = BUCKETS) -> Graph:
-    """The current graph; with ``repo_ids`` only the folders of their buckets are read."""
-    current = current_snapshots(spark, store)
+def current_rows(spark: SparkSession, store: str, name: str, repo_ids=None) -> DataFrame:
+    """Rows of the current snapshots; with ``repo_ids`` only the folders of their buckets are read."""
+    rows = read_snapshots(spark, store, name)
+    if repo_ids is not None:
+        buckets = store_buckets(spark, store)
+        folders = [repo_bucket(F.lit(r), buckets) for r in repo_ids]
+        rows = rows.filter(F.col("repo_bucket").isin(*folders) & F.col("repo_id").isin(*repo_ids))
+    kept = rows.join(current_snapshots(spark, store), ["repo_id", "batch_id"], "left_semi")
+    return kept.select(*[f.name for f in SCHEMAS[name].fields if f not in _PLACE])
 
-    def table(name):
-        rows = read_snapshots(spark, store, name)
-        if repo_ids is not None:
-            folders = [repo_bucket(F.lit(r), buckets) for r in repo_ids]
-            rows = rows.filter(F.col("repo_bucket").isin(*folders) & F.col("repo_id").isin(*repo_ids))
-        return rows.join(current, ["repo_id", "batch_id"], "left_semi").drop("batch_id", "repo_bucket")
 
-    return Graph(table("nodes").select(*SYMBOLS.fieldNames()), table("edges").select(*EDGES.fieldNames()))
+def read_graph(spark: SparkSession, store: str, repo_ids=None) -> Graph:
+    """The current graph."""
+    return Graph(current_rows(spark, store, "nodes", repo_ids), current_rows(spark, store, "edges", repo_ids))

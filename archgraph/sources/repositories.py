@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.schemas import REPOSITORIES
+from archgraph.session import materialize
 
 # The stages shown to a user, in order.
 STAGES = ("cloning", "cloned", "parsing", "building_graph", "embedding", "ready")
@@ -72,7 +73,8 @@ def _key(repositories: DataFrame) -> str:
 
 def only_ready(df: DataFrame, repositories: DataFrame) -> DataFrame:
     """Rows of repositories that may be analysed."""
-    ready = repositories.filter(F.col("status") == "ready").select("repo_id")
+    # Written, so that adaptive execution can split the rows of a large repository.
+    ready = materialize(repositories.filter(F.col("status") == "ready").select("repo_id"), "ready")
     return df.join(ready, "repo_id", "left_semi")
 
 

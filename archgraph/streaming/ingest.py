@@ -4,13 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.operators.build import graph_counts
-from archgraph.operators.extract import extract_rows, split_rows
+from archgraph.operators.extract import REMOVED, extract_rows, split_rows
 from archgraph.operators.resolve import resolve_relationships
+from archgraph.plans.ask import index_symbols, write_index
 from archgraph.plans.graph import link_graph
 from archgraph.schemas import SOURCE_FILES
-from archgraph.session import materialize
+from archgraph.session import materialize, scratch
 from archgraph.sources.graph_store import (
-    BUCKETS, read_snapshots, repo_bucket, write_graph, write_snapshot, write_status,
+    BUCKETS, read_snapshots, read_status, repo_bucket, store_buckets, write_graph, write_snapshot, write_status,
 )
 
 
@@ -24,53 +25,72 @@ def arriving_files(spark: SparkSession, source: str, files_per_batch: int = 1000
     )
 
 
-def current_rows(spark: SparkSession, store: str, touched: DataFrame) -> DataFrame:
-    """Extracted rows of the touched repositories, of the last version of every file.
+def files_after_batch(spark: SparkSession, store: str, arrived: DataFrame, touched: DataFrame, batch_id: int) -> DataFrame:
+    """Extracted rows of the touched repositories: of the files that arrived, and of all others as they were.
 
-    ``touched`` has repo_id and repo_bucket; its distinct buckets, at most as
-    many as there are buckets, prune the folders that are read.
+    A repository's last finished batch holds all of its files, so only that
+    snapshot is read, however many batches there were before. ``touched`` has
+    repo_id and repo_bucket; its distinct buckets, at most as many as there are
+    buckets, prune the folders. A removed file leaves no rows.
     """
+    last = arrived.groupBy("repo_id", "file_path").agg(F.max("version").alias("version"))
+    last = materialize(last, "arrived-files")
+    new = arrived.join(last, ["repo_id", "file_path", "version"], "left_semi").filter(F.col("kind") != REMOVED)
+    finished = read_status(spark, store).filter((F.col("status") == "ready") & (F.col("batch_id") < batch_id))
+    before = finished.join(touched.select("repo_id"), "repo_id", "left_semi").groupBy("repo_id").agg(F.max("batch_id").alias("batch_id"))
+    before = materialize(before, "finished-before")
+    if before.isEmpty():
+        return new
     folders = [r.repo_bucket for r in touched.select("repo_bucket").distinct().collect()]
-    rows = (
+    old = (
         read_snapshots(spark, store, "ir").filter(F.col("repo_bucket").isin(folders))
-        .join(touched.select("repo_id"), "repo_id", "left_semi")
+        .join(before, ["repo_id", "batch_id"], "left_semi")
+        .join(last, ["repo_id", "file_path"], "left_anti")
     )
-    last = rows.groupBy("repo_id", "file_path").agg(F.max("version").alias("version"))
-    return rows.join(last, ["repo_id", "file_path", "version"], "left_semi")
+    return new.unionByName(old.select(*new.columns))
 
 
 def ingest_batch(files: DataFrame, batch_id: int, store: str, buckets: int = BUCKETS) -> None:
-    """Extract the files of a batch and rebuild the graph of the repositories they belong to.
+    """Extract the files of a batch and rebuild graph and text index of the repositories they belong to.
 
     A new file can change how names resolve in other files of its repository,
-    so the whole repository is linked again, from rows extracted before.
+    so the whole repository is linked again, from rows extracted before. A file
+    with null content is removed. Intermediate tables go with the batch.
     """
     spark = files.sparkSession
+    buckets = store_buckets(spark, store, buckets)
     version = F.concat_ws(
         "|", F.lpad(F.lit(str(batch_id)), 12, "0"),
         F.lpad(F.unix_micros("landed.at").cast("string"), 20, "0"), F.col("landed.file"),
         F.lpad(F.col("landed.row").cast("string"), 12, "0"))
     arrived = files.withColumn("version", version).drop("landed")
-    touched = materialize(
-        arrived.select("repo_id").distinct().withColumn("repo_bucket", repo_bucket(F.col("repo_id"), buckets)),
-        "touched")
-    repos = touched.select("repo_id")
-    try:
-        write_status(repos, store, batch_id, "parsing")
-        write_snapshot(extract_rows(arrived), store, "ir", batch_id, buckets)
-        write_status(repos, store, batch_id, "building_graph")
-        extracted = split_rows(materialize(current_rows(spark, store, touched), "current-ir"))
-        resolved = materialize(resolve_relationships(extracted.symbols, extracted.relationships), "resolved")
-        write_graph(link_graph(extracted.symbols, resolved), store, batch_id, buckets)
-        counts = graph_counts(extracted.symbols, resolved)
-        n_files = extracted.symbols.filter(F.col("symbol_type") == "file").groupBy("repo_id").agg(
-            F.count("*").alias("file_count"))
-        write_status(repos.join(counts, "repo_id", "left").join(n_files, "repo_id", "left"), store, batch_id, "ready")
-    except Exception as problem:
-        # Leave a record, then fail the batch: the stream repeats it on restart.
-        write_status(repos.withColumn("error", F.lit(f"graph build failed: {problem}"[:500])),
-                     store, batch_id, "failed")
-        raise
+    with scratch(spark, "batch"):
+        touched = materialize(
+            arrived.select("repo_id").distinct().withColumn("repo_bucket", repo_bucket(F.col("repo_id"), buckets)),
+            "touched")
+        repos = touched.select("repo_id")
+        try:
+            write_status(repos, store, batch_id, "parsing")
+            rows = files_after_batch(spark, store, materialize(extract_rows(arrived), "arrived"), touched, batch_id)
+            write_snapshot(rows, store, "ir", batch_id, buckets)
+            write_status(repos, store, batch_id, "building_graph")
+            extracted = split_rows(own_batch(spark, store, "ir", batch_id))
+            resolved = materialize(resolve_relationships(extracted.symbols, extracted.relationships), "resolved")
+            write_graph(link_graph(extracted.symbols, resolved), store, batch_id, buckets)
+            write_status(repos, store, batch_id, "embedding")
+            write_index(index_symbols(extracted.symbols), store, batch_id, buckets)
+            counts = graph_counts(extracted.symbols, resolved)
+            n_files = extracted.symbols.filter(F.col("symbol_type") == "file").groupBy("repo_id").agg(
+                F.count("*").alias("file_count"))
+            write_status(repos.join(counts, "repo_id", "left").join(n_files, "repo_id", "left"), store, batch_id, "ready")
+        except Exception as problem:
+            # Leave a record, then fail the batch: the stream repeats it on restart.
+            write_status(repos.withColumn("error", F.lit(f"graph build failed: {problem}")), store, batch_id, "failed")
+            raise
+
+
+def own_batch(spark: SparkSession, store: str, name: str, batch_id: int) -> DataFrame:
+    return read_snapshots(spark, store, name).filter(F.col("batch_id") == batch_id)
 
 
 def stream_ingest(spark: SparkSession, source: str, store: str, checkpoint: str, buckets: int = BUCKETS,

@@ -144,12 +144,24 @@ FROM (SELECT DISTINCT repo_id, concat('where is the ', docstring, ' handled?') A
       SELECT DISTINCT repo_id, 'zzzz qqqq' FROM fx_members) q""",
     "fx_docs": "SELECT 'documents' AS repo_id, doc_id, text FROM documents",
     "fx_questions": "SELECT item_id AS query_id, 'documents' AS repo_id, text AS question FROM benchmark",
-    # One small file per part; size 13 gives one that does not parse.
+    # One small file per part; size 13 gives one that does not parse at all, size 23 one with two broken
+    # statements among sound ones; size 33 stands in an ignored folder.
     "fx_source_files": """
 SELECT repo_id, path, CAST(length(content) AS BIGINT) AS size_bytes, content
 FROM (
-  SELECT repo_id, concat(split_part(path, '/', 1), '/', split_part(path, '/', 2), '/m', k, '.py') AS path,
+  SELECT repo_id, concat(CASE WHEN sz = 33 THEN 'node_modules/' ELSE '' END,
+                         split_part(path, '/', 1), '/', split_part(path, '/', 2), '/m', k, '.py') AS path,
          CASE WHEN sz = 13 THEN concat('def f(:', chr(10), '  pass')
+              WHEN sz = 23 THEN concat('import os', chr(10), chr(10),
+                     'class A', k, ':', chr(10),
+                     '    def sound', k, '(self):', chr(10),
+                     '        return first', k, '(1)', chr(10), chr(10),
+                     '    def broken', k, '(self):', chr(10),
+                     '        print "x"', chr(10),
+                     '        return second', k, '()', chr(10), chr(10),
+                     'x = = 1', chr(10), chr(10),
+                     'def tail', k, '(y):', chr(10),
+                     '    return y.go()', chr(10))
          ELSE concat('\"\"\"', docstring, '.\"\"\"', chr(10),
                      'import os', chr(10),
                      'from sqlalchemy.orm import Session as S', chr(10),

@@ -39,21 +39,20 @@ SELECT repo_id, doc_id, term, count(*) AS tf FROM (SELECT repo_id, doc_id, {_TOK
 WHERE term NOT IN ({_list(ENGLISH)}) GROUP BY ALL""",
         f"{prefix}_vocabulary": f"""
 SELECT v.repo_id, term, df, total, ln((1 + n) / (1 + df)) + 1 AS idf
-FROM ({_ranked(f"(SELECT repo_id, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM {prefix}_counts GROUP BY ALL) x",
-               'repo_id', 'total DESC, term', 4096)}) v
+FROM (SELECT repo_id, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM {prefix}_counts GROUP BY ALL) v
 JOIN (SELECT repo_id, count(*) AS n FROM {docs} GROUP BY ALL) s ON s.repo_id = v.repo_id""",
         f"{prefix}_weights": f"""
-SELECT repo_id, doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY repo_id, doc_id)) AS weight
+SELECT repo_id, doc_id, term, raw / sqrt(CAST(sum(CAST(raw * raw AS DECIMAL(28, 9))) OVER (PARTITION BY repo_id, doc_id) AS DOUBLE)) AS weight
 FROM (SELECT c.repo_id, c.doc_id, c.term, tf * idf AS raw FROM {prefix}_counts c
       JOIN {prefix}_vocabulary v ON v.repo_id = c.repo_id AND v.term = c.term) r""",
         f"{prefix}_asked": f"""
-SELECT query_id, repo_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY query_id, repo_id)) AS weight
+SELECT query_id, repo_id, term, raw / sqrt(CAST(sum(CAST(raw * raw AS DECIMAL(28, 9))) OVER (PARTITION BY query_id, repo_id) AS DOUBLE)) AS weight
 FROM (SELECT c.query_id, c.repo_id, c.term, tf * idf AS raw
       FROM (SELECT query_id, repo_id, term, count(*) AS tf
             FROM (SELECT query_id, repo_id, {_TOKENS.format('question')} AS term FROM {questions}) t GROUP BY ALL) c
       JOIN {prefix}_vocabulary v ON v.repo_id = c.repo_id AND v.term = c.term) r""",
         f"{prefix}_scored": f"""
-SELECT query_id, w.repo_id, doc_id, round(sum(w.weight * a.weight), 6) AS score
+SELECT query_id, w.repo_id, doc_id, CAST(sum(CAST(floor(w.weight * a.weight * 1e15::DOUBLE) AS BIGINT)) AS DOUBLE) / 1e15::DOUBLE AS score
 FROM {prefix}_weights w JOIN {prefix}_asked a ON a.repo_id = w.repo_id AND a.term = w.term GROUP BY ALL""",
     }
 
@@ -101,11 +100,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, seq DE
              min(ts) OVER (PARTITION BY repo_id) AS created_at, max(ts) OVER (PARTITION BY repo_id) AS updated_at
       FROM fx_status_log) s
 WHERE place = 1""",
+    # Files that are extracted: kind 0 does not parse, 1 is whole, 2 has two broken statements.
     "og_sources": """
-SELECT repo_id, k, sz, docstring,
+SELECT repo_id, k, docstring, CASE sz WHEN 13 THEN 0 WHEN 23 THEN 2 ELSE 1 END AS kind,
        concat(split_part(path, '/', 1), '/', split_part(path, '/', 2), '/m', k, '.py') AS path,
        concat(split_part(path, '/', 1), '.', split_part(path, '/', 2), '.m', k) AS module
-FROM fx_members""",
+FROM fx_members WHERE sz <> 33""",
     "og_symbols": "SELECT *, concat(repo_id, ':', id) AS uid FROM fx_symbols",
     "og_exact": _ranked("fx_symbols", "repo_id, qualified_name", "file_path DESC, seq DESC", 1),
     "og_names": """
@@ -193,10 +193,11 @@ GROUP BY a.repo_id, a.src, b.src""",
         "* EXCLUDE (source_line, other)", "position"),
     # Impact
     "og_arcs": "SELECT DISTINCT src, dst FROM og_edges WHERE relationship_type IN ('CALLS', 'INHERITS')",
+    # Recursion needs an end on cycles; no shortest path here is nearly as long as this.
     "og_reach": """
 SELECT s.uid AS target_uid, a.src AS uid, 1 AS depth FROM og_suggested s JOIN og_arcs a ON a.dst = s.uid
 UNION
-SELECT r.target_uid, a.src, r.depth + 1 FROM og_reach r JOIN og_arcs a ON a.dst = r.uid WHERE r.depth < 8""",
+SELECT r.target_uid, a.src, r.depth + 1 FROM og_reach r JOIN og_arcs a ON a.dst = r.uid WHERE r.depth < 100""",
     "og_dependents": "SELECT target_uid, uid, min(depth) AS depth FROM og_reach GROUP BY ALL",
     "og_described": f"""
 SELECT target_uid, d.uid, depth, symbol_type, qualified_name, file_path, start_line,
@@ -287,14 +288,12 @@ SELECT repo_id, 'large_function' AS smell_type, {_SEVERITY.format('(end_line - s
        concat(qualified_name, ' spans ', end_line - start_line, ' lines') AS title,
        concat(end_line - start_line, ' lines (LOW>=60, MEDIUM>=100, HIGH>=150).') AS evidence
 FROM og_nodes WHERE symbol_type IN ('function', 'method') AND end_line - start_line >= 60""",
-    "og_dead": _ranked(
-        """(SELECT repo_id, 'dead_code_candidate' AS smell_type, 'LOW' AS severity, uid AS subject, qualified_name,
+    "og_dead": """SELECT repo_id, 'dead_code_candidate' AS smell_type, 'LOW' AS severity, uid AS subject, qualified_name,
                    CAST(0 AS BIGINT) AS metric, concat(qualified_name, ' has no known caller') AS title,
                    'No incoming CALLS edge, no decorator, no framework name.' AS evidence
             FROM og_nodes n
             WHERE symbol_type IN ('function', 'method') AND NOT starts_with(name, '__') AND NOT starts_with(name, 'test_')
-              AND decorator = '' AND NOT EXISTS (SELECT 1 FROM og_calls c WHERE c.dst = n.uid)) d""",
-        "repo_id", "qualified_name, subject", 20, "* EXCLUDE (rank)"),
+              AND decorator = '' AND NOT EXISTS (SELECT 1 FROM og_calls c WHERE c.dst = n.uid)""",
     "og_findings": " UNION ALL ".join(f"SELECT * FROM {t}" for t in ("og_cycles", "og_god", "og_large", "og_dead")),
     "og_affected": """
 SELECT g.repo_id, 'circular_dependency' AS smell_type, m.component AS subject, g.qualified_name, g.file_path, g.start_line, g.end_line
@@ -321,12 +320,12 @@ SELECT query_id, h.repo_id, rank, h.doc_id, score AS relevance, symbol_uid, symb
 FROM os_hits h JOIN og_docs d ON d.repo_id = h.repo_id AND d.doc_id = h.doc_id WHERE rank <= 6""",
     "os_support": """
 SELECT uid AS symbol_uid, count(*) AS n, max(confidence) AS best,
-       string_agg(format('  - {} ({}) {} [{}:{}] (confidence {:.2f})', relationship_type, direction, qualified_name,
+       string_agg(format('   {} {} {} at {}:{}, {:.2f}', direction, relationship_type, qualified_name,
                          file_path, start_line, confidence), chr(10) ORDER BY direction DESC, position) AS lines
 FROM og_related GROUP BY uid""",
     "os_blocks": f"""
-SELECT query_id, string_agg(concat('[', rank, '] ', symbol_type, ' ', qualified_name, chr(10), '    location: ', file_path, ':',
-           start_line, '-', end_line, chr(10), '    relationships:', chr(10), coalesce(lines, '{NO_RELATIONSHIPS}')),
+SELECT query_id, string_agg(concat(rank, '. ', symbol_type, ' ', qualified_name, ', ', file_path, ' lines ',
+           start_line, ' to ', end_line, chr(10), coalesce(lines, '{NO_RELATIONSHIPS}')),
            chr(10) || chr(10) ORDER BY rank) AS evidence_block
 FROM os_evidence e LEFT JOIN os_support s ON s.symbol_uid = e.symbol_uid GROUP BY query_id""",
 }
@@ -336,38 +335,62 @@ SELECT repo_id, concat(repo_id, ':', id) AS uid, seq, name, qualified_name, symb
        start_line, end_line, decorators, docstring
 FROM (
   SELECT repo_id, path, module AS id, 0 AS seq, concat('m', k, '.py') AS name, module AS qualified_name, 'file' AS symbol_type,
-         1 AS start_line, CASE WHEN sz = 13 THEN 2 ELSE 15 END AS end_line, '' AS decorators,
-         CASE WHEN sz <> 13 THEN concat('\"\"\"', docstring, '.\"\"\"') END AS docstring FROM og_sources
+         1 AS start_line, CASE kind WHEN 0 THEN 2 ELSE 15 END AS end_line, '' AS decorators,
+         CASE WHEN kind = 1 THEN concat('\"\"\"', docstring, '.\"\"\"') END AS docstring FROM og_sources
   UNION ALL SELECT repo_id, path, concat(path, '::import::os::1'), 1, 'os', 'os', 'import', 2, 2, '', NULL
-  FROM og_sources WHERE sz <> 13
+  FROM og_sources WHERE kind = 1
   UNION ALL SELECT repo_id, path, concat(path, '::import::sqlalchemy.orm.Session::2'), 3, 'sqlalchemy.orm.Session',
-         'sqlalchemy.orm.Session', 'import', 3, 3, '', NULL FROM og_sources WHERE sz <> 13
+         'sqlalchemy.orm.Session', 'import', 3, 3, '', NULL FROM og_sources WHERE kind = 1
   UNION ALL SELECT repo_id, path, concat(module, '.Base', k), 5, concat('Base', k), concat(module, '.Base', k), 'class', 5, 6, '', NULL
-  FROM og_sources WHERE sz <> 13
+  FROM og_sources WHERE kind = 1
   UNION ALL SELECT repo_id, path, concat(module, '.C', k), 7, concat('C', k), concat(module, '.C', k), 'class', 8, 11, '', NULL
-  FROM og_sources WHERE sz <> 13
+  FROM og_sources WHERE kind = 1
   UNION ALL SELECT repo_id, path, concat(module, '.C', k, '.run'), 10, 'run', concat(module, '.C', k, '.run'), 'method', 10, 11,
-         concat('@app.get("/', k, '")'), NULL FROM og_sources WHERE sz <> 13
+         concat('@app.get("/', k, '")'), NULL FROM og_sources WHERE kind = 1
   UNION ALL SELECT repo_id, path, concat(module, '.helper', k), 13, concat('helper', k), concat(module, '.helper', k), 'function',
-         13, 14, '', NULL FROM og_sources WHERE sz <> 13) s"""
+         13, 14, '', NULL FROM og_sources WHERE kind = 1
+  UNION ALL SELECT repo_id, path, concat(path, '::import::os::0'), 2, 'os', 'os', 'import', 1, 1, '', NULL
+  FROM og_sources WHERE kind = 2
+  UNION ALL SELECT repo_id, path, concat(module, '.A', k), 4, concat('A', k), concat(module, '.A', k), 'class', 3, 9, '', NULL
+  FROM og_sources WHERE kind = 2
+  UNION ALL SELECT repo_id, path, concat(module, '.A', k, '.sound', k), 6, concat('sound', k), concat(module, '.A', k, '.sound', k),
+         'method', 4, 5, '', NULL FROM og_sources WHERE kind = 2
+  UNION ALL SELECT repo_id, path, concat(module, '.A', k, '.broken', k), 9, concat('broken', k), concat(module, '.A', k, '.broken', k),
+         'method', 7, 9, '', NULL FROM og_sources WHERE kind = 2
+  UNION ALL SELECT repo_id, path, concat(module, '.tail', k), 12, concat('tail', k), concat(module, '.tail', k), 'function',
+         13, 14, '', NULL FROM og_sources WHERE kind = 2) s"""
 
 _RELATIONSHIP_ROWS = """
 SELECT repo_id, seq, source_id, target_id, target_name, relationship_type, path AS source_file, source_line,
        CAST(confidence AS DOUBLE) AS confidence
 FROM (
   SELECT repo_id, path, 2 AS seq, module AS source_id, NULL AS target_id, 'os' AS target_name, 'imports' AS relationship_type,
-         2 AS source_line, 1.0 AS confidence, sz FROM og_sources
-  UNION ALL SELECT repo_id, path, 4, module, NULL, 'sqlalchemy.orm.Session', 'imports', 3, 1.0, sz FROM og_sources
-  UNION ALL SELECT repo_id, path, 6, module, concat(module, '.Base', k), concat('Base', k), 'contains', 5, 1.0, sz FROM og_sources
-  UNION ALL SELECT repo_id, path, 8, module, concat(module, '.C', k), concat('C', k), 'contains', 8, 1.0, sz FROM og_sources
-  UNION ALL SELECT repo_id, path, 9, concat(module, '.C', k), NULL, concat('Base', k), 'inherits', 8, 0.6, sz FROM og_sources
-  UNION ALL SELECT repo_id, path, 11, concat(module, '.C', k), concat(module, '.C', k, '.run'), 'run', 'contains', 10, 1.0, sz FROM og_sources
-  UNION ALL SELECT repo_id, path, 12, concat(module, '.C', k, '.run'), NULL, concat('helper', k), 'calls', 11, 0.5, sz FROM og_sources
-  UNION ALL SELECT repo_id, path, 14, module, concat(module, '.helper', k), concat('helper', k), 'contains', 13, 1.0, sz FROM og_sources
-  UNION ALL SELECT repo_id, path, 15, concat(module, '.helper', k), NULL, 'x.run', 'calls', 14, 0.5, sz FROM og_sources) r
-WHERE sz <> 13"""
+         2 AS source_line, 1.0 AS confidence, 1 AS of_kind, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 4, module, NULL, 'sqlalchemy.orm.Session', 'imports', 3, 1.0, 1, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 6, module, concat(module, '.Base', k), concat('Base', k), 'contains', 5, 1.0, 1, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 8, module, concat(module, '.C', k), concat('C', k), 'contains', 8, 1.0, 1, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 9, concat(module, '.C', k), NULL, concat('Base', k), 'inherits', 8, 0.6, 1, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 11, concat(module, '.C', k), concat(module, '.C', k, '.run'), 'run', 'contains', 10, 1.0, 1, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 12, concat(module, '.C', k, '.run'), NULL, concat('helper', k), 'calls', 11, 0.5, 1, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 14, module, concat(module, '.helper', k), concat('helper', k), 'contains', 13, 1.0, 1, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 15, concat(module, '.helper', k), NULL, 'x.run', 'calls', 14, 0.5, 1, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 3, module, NULL, 'os', 'imports', 1, 1.0, 2, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 5, module, concat(module, '.A', k), concat('A', k), 'contains', 3, 1.0, 2, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 7, concat(module, '.A', k), concat(module, '.A', k, '.sound', k), concat('sound', k), 'contains', 4, 1.0, 2, kind
+  FROM og_sources
+  UNION ALL SELECT repo_id, path, 8, concat(module, '.A', k, '.sound', k), NULL, concat('first', k), 'calls', 5, 0.5, 2, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 10, concat(module, '.A', k), concat(module, '.A', k, '.broken', k), concat('broken', k), 'contains', 7, 1.0, 2, kind
+  FROM og_sources
+  UNION ALL SELECT repo_id, path, 11, concat(module, '.A', k, '.broken', k), NULL, concat('second', k), 'calls', 9, 0.5, 2, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 13, module, concat(module, '.tail', k), concat('tail', k), 'contains', 13, 1.0, 2, kind FROM og_sources
+  UNION ALL SELECT repo_id, path, 14, concat(module, '.tail', k), NULL, 'y.go', 'calls', 14, 0.5, 2, kind FROM og_sources) r
+WHERE of_kind = kind"""
 
-_STREAMED = """(SELECT repo_id, count(*) AS f, count(*) FILTER (WHERE sz <> 13) AS g FROM og_sources GROUP BY repo_id) s"""
+# Files, whole ones and partly broken ones of every repository.
+_STREAMED = """(SELECT repo_id, count(*) AS f, count(*) FILTER (WHERE kind = 1) AS g, count(*) FILTER (WHERE kind = 2) AS h
+  FROM og_sources GROUP BY repo_id) s"""
+_STREAMED_SYMBOLS = "f + 6 * g + 5 * h"
+_STREAMED_RELATIONSHIPS = "4 * g + 2 * g + g + CASE WHEN g = 1 THEN 2 ELSE g END + 4 * h + h"
 
 STATEMENTS = {
     "language_of_file": f"SELECT repo_id, path, {_LANGUAGE} AS language FROM fx_repo_files",
@@ -399,7 +422,7 @@ FROM (SELECT repo_id, status, unnest([{_list(STAGES)}]) AS stage, CAST(unnest(ra
     "extract_symbols": _SYMBOL_ROWS,
     "extract_relationships": _RELATIONSHIP_ROWS,
     "parse_summary": """
-SELECT repo_id, count(*) AS parsed_files, count(*) FILTER (WHERE sz = 13) AS parse_errors FROM og_sources GROUP BY repo_id""",
+SELECT repo_id, count(*) AS parsed_files, count(*) FILTER (WHERE kind <> 1) AS parse_errors FROM og_sources GROUP BY repo_id""",
     "resolve_relationships": """
 SELECT repo_id, source_id, target_id, target_name, relationship_type, source_file, source_line, confidence FROM og_resolved""",
     "build_nodes": """
@@ -425,12 +448,16 @@ SELECT repo_id, uid, degree, place AS rank, symbol_type, name, qualified_name, f
 SELECT p.repo_id, a.uid AS source_uid, b.uid AS target_uid, 'USES' AS relationship_type, weight::DOUBLE AS weight
 FROM og_pairs p JOIN og_files a ON a.repo_id = p.repo_id AND a.file_path = p.src_path
 JOIN og_files b ON b.repo_id = p.repo_id AND b.file_path = p.dst_path""",
-    "file_view_truncated": "SELECT repo_id, count(*) > 20 AS truncated FROM og_touched GROUP BY repo_id",
+    "file_view_truncated": """
+SELECT n.repo_id, coalesce(any_value(t.n) > 20, false) AS truncated FROM og_nodes n
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM og_touched GROUP BY repo_id) t ON t.repo_id = n.repo_id GROUP BY n.repo_id""",
     "class_view_nodes": "SELECT * FROM og_classes",
     "class_view_edges": """
 SELECT repo_id, src AS source_uid, dst AS target_uid, relationship_type, weight FROM og_class_edges
 WHERE src IN (SELECT uid FROM og_classes) AND dst IN (SELECT uid FROM og_classes)""",
-    "class_view_truncated": "SELECT repo_id, count(*) >= 85 AS truncated FROM og_classes GROUP BY repo_id",
+    "class_view_truncated": """
+SELECT n.repo_id, coalesce(any_value(c.n) >= 85, false) AS truncated FROM og_nodes n
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM og_classes GROUP BY repo_id) c ON c.repo_id = n.repo_id GROUP BY n.repo_id""",
     "neighbourhood": "SELECT * FROM og_related",
     "dependents": "SELECT target_uid, uid, depth FROM og_dependents",
     "impact_summary": """
@@ -458,8 +485,10 @@ GROUP BY target_uid""",
 SELECT {_FINDING} FROM og_findings WHERE severity = 'HIGH'
 UNION ALL {_ranked("(SELECT * FROM og_findings WHERE severity = 'MEDIUM') m", 'repo_id', _REPORT_ORDER, 5, _FINDING)}""",
     "hidden_findings": """
-SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE severity = 'LOW')
-       + greatest(count(*) FILTER (WHERE severity = 'MEDIUM') - 5, 0) AS hidden FROM og_findings GROUP BY repo_id""",
+SELECT n.repo_id, coalesce(any_value(total), 0) AS total, coalesce(any_value(hidden), 0) AS hidden FROM og_nodes n
+LEFT JOIN (SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE severity = 'LOW')
+                  + greatest(count(*) FILTER (WHERE severity = 'MEDIUM') - 5, 0) AS hidden FROM og_findings GROUP BY repo_id) f
+     ON f.repo_id = n.repo_id GROUP BY n.repo_id""",
     "affected_preview": """
 SELECT smell_type, subject, count(*) AS total, greatest(count(*) - 6, 0) AS more,
        string_agg(qualified_name, ',' ORDER BY place) FILTER (WHERE place <= 6) AS symbols
@@ -468,18 +497,18 @@ FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, smell_type, subject
 GROUP BY repo_id, smell_type, subject""",
     "search_documents": "SELECT repo_id, doc_id, symbol_uid, text FROM og_docs",
     "tfidf_top_terms": "SELECT repo_id, term, df, total, round(idf, 6) AS idf FROM od_vocabulary",
-    "search_topk": _ranked("od_scored", "query_id, repo_id", "score DESC, doc_id", 8),
-    "search_topk_padded": "SELECT query_id, repo_id, doc_id, score, rank FROM os_hits",
+    "search_topk": _ranked("od_scored", "query_id, repo_id", "score DESC, doc_id", 8, "query_id, repo_id, doc_id, round(score, 6) AS score, rank"),
+    "search_topk_padded": "SELECT query_id, repo_id, doc_id, round(score, 6) AS score, rank FROM os_hits",
     "search_dense_topk": _ranked(
-        """(SELECT q.query_id, 'all' AS repo_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score
+        """(SELECT q.query_id, 'all' AS repo_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS score
             FROM (SELECT label AS query_id, list(mean ORDER BY pos) AS v
                   FROM (SELECT label, pos, avg(CAST(embedding[pos] AS DOUBLE)) AS mean
                         FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) p
                         GROUP BY label, pos) m GROUP BY label) q,
                  (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e) s""",
-        "query_id", "score DESC, vec_id", 8),
+        "query_id", "score DESC, vec_id", 8, "query_id, repo_id, vec_id, round(score, 6) AS score, rank"),
     "evidence": """
-SELECT query_id, rank, e.symbol_uid, relevance, coalesce(n, 0) AS related
+SELECT query_id, rank, e.symbol_uid, round(relevance, 6) AS relevance, coalesce(n, 0) AS related
 FROM os_evidence e LEFT JOIN os_support s ON s.symbol_uid = e.symbol_uid""",
     "evidence_confidence": """
 SELECT query_id, repo_id, round(score, 9) AS confidence_score,
@@ -498,15 +527,15 @@ FROM fx_symbol_questions q JOIN os_blocks b ON b.query_id = q.query_id""",
     "stream_ingest_graph": f"""
 SELECT repo_id, kind, n FROM (
   SELECT repo_id, unnest(['file', 'import', 'class', 'method', 'function', 'CONTAINS', 'IMPORTS', 'INHERITS', 'CALLS']) AS kind,
-         unnest([f, 2 * g, 2 * g, g, g, 4 * g + f, 2 * g, g, CASE WHEN g = 1 THEN 2 ELSE g END]) AS n FROM {_STREAMED}) x
+         unnest([f, 2 * g + h, 2 * g + h, g + 2 * h, g + h, 4 * g + 4 * h + f, 2 * g + h, g, CASE WHEN g = 1 THEN 2 ELSE g END]) AS n FROM {_STREAMED}) x
 WHERE n > 0""",
     "stream_ingest_status": f"""
-SELECT repo_id, 'ready' AS status, f AS file_count, f + 6 * g AS symbol_count,
-       4 * g + 2 * g + g + CASE WHEN g = 1 THEN 2 ELSE g END AS relationship_count FROM {_STREAMED}""",
+SELECT repo_id, 'ready' AS status, f AS file_count, {_STREAMED_SYMBOLS} AS symbol_count,
+       {_STREAMED_RELATIONSHIPS} AS relationship_count FROM {_STREAMED}""",
     "repository_records": f"""
 SELECT p.repo_id AS id, concat('https://github.com/org/', p.repo_id, '.git') AS url, 'org' AS owner, p.repo_id AS name,
-       'ready' AS status, file_count, f + 6 * g AS symbol_count,
-       4 * g + 2 * g + g + CASE WHEN g = 1 THEN 2 ELSE g END AS relationship_count, CAST(NULL AS VARCHAR) AS error, languages
+       'ready' AS status, file_count, {_STREAMED_SYMBOLS} AS symbol_count,
+       {_STREAMED_RELATIONSHIPS} AS relationship_count, CAST(NULL AS VARCHAR) AS error, languages
 FROM og_profile p JOIN {_STREAMED} ON s.repo_id = p.repo_id""",
 }
 

@@ -384,7 +384,7 @@ def strongly_connected_components(spark, sf_dir):
 def strongly_connected_components_by_rounds(spark, sf_dir):
     """The same with the largest repositories solved by rounds over tables."""
     calls = code_graph(spark, sf_dir).edges.filter(F.col("relationship_type") == "CALLS")
-    return components.strongly_connected_components(calls, local_arcs=2_000)
+    return components.strongly_connected_components(calls, local_bytes=32_000)
 
 
 @query
@@ -409,7 +409,7 @@ def top_findings(spark, sf_dir):
 
 @query
 def hidden_findings(spark, sf_dir):
-    return smells.hidden_findings(smell_tables(spark, sf_dir).findings)
+    return smells.hidden_findings(smell_tables(spark, sf_dir).findings, repositories=code_graph(spark, sf_dir).nodes)
 
 
 @query
@@ -421,6 +421,11 @@ def affected_preview(spark, sf_dir):
 
 # Retrieval ----------------------------------------------------------------
 
+def rounded(hits):
+    """Scores as they are compared with the SQL; ranks are those of the whole values."""
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @query
 def search_documents(spark, sf_dir):
     return tfidf.search_documents(extracted(spark, sf_dir)[0]).select("repo_id", "doc_id", "symbol_uid", "text")
@@ -433,12 +438,13 @@ def tfidf_top_terms(spark, sf_dir):
 
 @query
 def search_topk(spark, sf_dir):
-    return tfidf.search(derived(spark, sf_dir, "fx_questions"), document_index(spark, sf_dir))
+    return rounded(tfidf.search(derived(spark, sf_dir, "fx_questions"), document_index(spark, sf_dir)))
 
 
 @query
 def search_topk_padded(spark, sf_dir):
-    return tfidf.search(derived(spark, sf_dir, "fx_symbol_questions"), symbol_index(spark, sf_dir).terms, pad=True)
+    hits = tfidf.search(derived(spark, sf_dir, "fx_symbol_questions"), symbol_index(spark, sf_dir).terms, pad=True)
+    return rounded(hits)
 
 
 @query
@@ -452,13 +458,13 @@ def search_dense_topk(spark, sf_dir):
                                           lambda p: p["mean"]).alias("embedding"))
     )
     queries = means.select(F.col("label").alias("query_id"), F.lit("all").alias("repo_id"), "embedding")
-    return tfidf.search_dense(queries, rows.select(F.lit("all").alias("repo_id"), "vec_id", "embedding"))
+    return rounded(tfidf.search_dense(queries, rows.select(F.lit("all").alias("repo_id"), "vec_id", "embedding")))
 
 
 @query
 def evidence(spark, sf_dir):
     found = answers(spark, sf_dir).evidence
-    return found.select("query_id", "rank", "symbol_uid", F.col("score").alias("relevance"),
+    return found.select("query_id", "rank", "symbol_uid", F.round("score", 6).alias("relevance"),
                         F.size("related").cast("long").alias("related"))
 
 

@@ -21,11 +21,11 @@ def brute(arcs):
     return {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
 
 
-def components(tables, repositories, local_arcs):
+def components(tables, repositories, local_bytes):
     """Components of several repositories (name -> arcs) in one run; names are prefixed."""
     rows = [(repo, f"{repo}:{a}", f"{repo}:{b}") for repo, arcs in repositories.items() for a, b in arcs]
     edges = tables.rows("repo_id string, src string, dst string", *rows)
-    found = strongly_connected_components(edges, local_arcs).collect()
+    found = strongly_connected_components(edges, local_bytes).collect()
     assert len({r.uid for r in found}) == len(found)
     return {r.uid: r.component for r in found}
 
@@ -74,9 +74,9 @@ def test_long_chain_into_a_cycle_by_rounds(tables):
 def test_small_and_large_repositories_together(tables):
     repositories = {"small": [("a", "b"), ("b", "a")],
                     "large": [(f"m{i}", f"m{(i + 1) % 30}") for i in range(30)] + [("m0", "x")]}
-    assert components(tables, repositories, local_arcs=10) == expected(repositories)
+    assert components(tables, repositories, local_bytes=160) == expected(repositories)
 
 
-@pytest.mark.parametrize("local_arcs", [0, 10])
-def test_no_edges(tables, local_arcs):
-    assert components(tables, {}, local_arcs) == {}
+@pytest.mark.parametrize("local_bytes", [0, 160])
+def test_no_edges(tables, local_bytes):
+    assert components(tables, {}, local_bytes) == {}

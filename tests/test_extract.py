@@ -130,7 +130,7 @@ def test_contains(parts):
     ("'one'.upper()\n", None),
     ("x = 1\n'one'\n", None),
     ("r'''a\n\"b'''\n", "r'''a\n\"b'''"),
-    ("'" + "x" * 600 + "'\n", "'" + "x" * 499),
+    ("'" + "x" * 600 + "'\n", "'" + "x" * 600 + "'"),
 ])
 def test_docstrings(source, docstring):
     assert extracted(source)[0][0]["docstring"] == docstring
@@ -139,7 +139,7 @@ def test_docstrings(source, docstring):
 @pytest.mark.parametrize("expression, name", [
     ("f()", "f"), ("a.b()", "a.b"), ("a.b.c()", "c"), ("a().b()", "b"), ("(a)()", "(a)"), ("(a).b()", "b"),
     ("f()()", "f()"), ("d['k']()", "d['k']"), ("(lambda: 1)()", "(lambda: 1)"), ("'é'.join(x)", "join"),
-    ("f'{g(1)}'", "g"), ("d['" + "k" * 100 + "']()", "d['" + "k" * 77),
+    ("f'{g(1)}'", "g"), ("d['" + "k" * 100 + "']()", "d['" + "k" * 100 + "']"),
 ])
 def test_callee_names(expression, name):
     calls = [r["target_name"] for r in extracted(f"def run():\n    é = 1; {expression}\n")[1]
@@ -200,11 +200,68 @@ def test_deep_nesting_is_no_failure():
     assert symbols[0]["symbol_type"] == "file" and len(errors) == 1
 
 
+BROKEN = '''"""Text
+def not_a_definition(:
+"""
+import os
+
+@first(
+    1)
+class A(B):
+    """Kept."""
+    def sound(self):
+        return one()
+
+    def broken(self,
+               y):
+        print "x"
+        return two()
+
+    @property
+    def last(self):
+        return """
+def inside a string
+"""
+
+x = = 1
+if True:
+    def guarded(): return three()
+else:
+    print "no"
+
+async def tail(y):
+\treturn y.go()
+'''
+
+
+def test_what_parses_of_a_broken_file_is_kept():
+    symbols, relationships, errors = extracted(BROKEN)
+    assert len(errors) == 1 and symbols[0]["docstring"].startswith('"""Text')
+    found = {(s["name"], s["symbol_type"], s["start_line"], s["end_line"]) for s in symbols[1:]}
+    assert found == {("os", "import", 4, 4), ("A", "class", 8, 22), ("sound", "method", 10, 11), ("broken", "method", 13, 16),
+                     ("last", "method", 19, 22), ("tail", "function", 30, 31)}
+    calls = [r["target_name"] for r in relationships if r["relationship_type"] == "calls"]
+    assert calls == ["one", "two", "y.go"]
+
+
+def test_whole_callee_text_is_the_target():
+    chain = "a" + "".join(f".m{i}(1)" for i in range(40))
+    _, relationships, _ = extracted(f"def f():\n    ({chain})(2)\n")
+    assert max(len(r["target_name"]) for r in relationships if r["relationship_type"] == "calls") > 200
+
+
+@pytest.mark.parametrize("source", ["print x\n", "class A:\n", "  x = 1\n", "\x00", "def f(:\n" * 50, '"""open\nclass A: pass\n'])
+def test_faults_of_any_kind_give_one_error(source):
+    symbols, _, errors = extracted(source)
+    assert symbols[0]["symbol_type"] == "file" and len(errors) == 1
+
+
 def test_tables_keep_going_after_a_bad_file(tables):
     files = tables.rows(
         "repo_id string, path string, size_bytes long, content string",
-        ("r", "shop/orders.py", 1, SOURCE), ("r", "bad.py", 1, "def f(:\n  pass"), ("r", "empty.py", 0, None),
-        ("r", "page.js", 1, "function f() {}"))
+        ("r", "shop/orders.py", 1, SOURCE), ("r", "bad.py", 1, "def f(:\n  pass"), ("r", "empty.py", 0, ""),
+        ("r", "gone.py", 0, None), ("r", "page.js", 1, "function f() {}"), ("r", "node_modules/p/i.py", 1, SOURCE),
+        ("r", "venv/lib/q.py", 1, "def f(:"))
     ir = extract_ir(files)
     assert {r.file_path for r in ir.parse_errors.collect()} == {"bad.py"}
     assert ir.symbols.filter("symbol_type = 'file'").count() == 3

@@ -116,7 +116,7 @@ def test_report_rows(report):
     assert (lonely.direct_count, lonely.degree, lonely.risk_level) == (0, 0, "LOW")
     for missing in (rows["r", "r:none"], rows["other", "r:m.core"]):
         assert (missing.found, missing.risk_level, missing.explanation) == (False, None, None)
-    assert len(core.detection_notes) == 3
+    assert len(core.detection_notes) == 2
 
 
 def test_report_lists(report):

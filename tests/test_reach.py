@@ -36,9 +36,17 @@ def test_target_on_a_cycle_depends_on_itself(tables):
     assert reached(tables, [("a", "a")], ["a"]) == {"a": {"a": 1}}
 
 
-def test_depth_limit(tables):
+def test_all_depths_unless_the_caller_sets_a_limit(tables):
     chain = [(f"v{i + 1}", f"v{i}") for i in range(12)]
     assert max(reached(tables, chain, ["v0"])["v0"].values()) == 8
+    assert reached(tables, chain, ["v0"], None)["v0"] == {f"v{i}": i for i in range(1, 13)}
+
+
+def test_only_the_repositories_asked_for_are_read(tables):
+    edges = tables.rows("repo_id string, src string, dst string, relationship_type string",
+                        ("r", "r:a", "r:b", "CALLS"), ("s", "s:a", "s:b", "CALLS"))
+    found = dependents(edges, tables.rows("repo_id string, uid string", ("r", "r:b")))
+    assert [(r.target_uid, r.uid, r.depth) for r in found.collect()] == [("r:b", "r:a", 1)]
 
 
 def test_only_calls_and_inheritance_count(tables):

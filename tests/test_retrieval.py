@@ -147,11 +147,11 @@ def test_answer_context(answers):
 
 def test_prompt_text(answers):
     prompts = {r.query_id: r for r in answers.prompts.collect()}
-    assert prompts["far"].evidence_block == "(no matching evidence found in the repository)"
+    assert prompts["far"].evidence_block == "Nothing in the repository matches the question."
     block = prompts["q"].evidence_block
-    assert block.startswith("[1] function shop.refund\n    location: src/a.py:1-2\n    relationships:\n"
-                            "  - CALLS (incoming) shop.audit [src/a.py:1] (confidence 0.75)\n\n[2] ")
-    assert "(no recorded relationships)" in block
+    assert block.startswith("1. function shop.refund, src/a.py lines 1 to 2\n"
+                            "   incoming CALLS shop.audit at src/a.py:1, 0.75\n\n2. ")
+    assert "no edges" in block
     system, user = prompts["q"].messages
     assert (system.role, user.role) == ("system", "user")
     assert "<question>who does refund?</question>" in user.content and block in user.content
@@ -162,4 +162,4 @@ def test_blocks_without_evidence(tables):
     empty = tables.rows("query_id string, repo_id string, rank int, symbol_type string, qualified_name string, "
                         "file_path string, start_line int, end_line int, related array<struct<relationship_type: string, "
                         "direction: string, qualified_name: string, file_path: string, start_line: int, confidence: double>>")
-    assert build_prompts(evidence_blocks(questions, empty)).first().evidence_block.startswith("(no matching")
+    assert build_prompts(evidence_blocks(questions, empty)).first().evidence_block.startswith("Nothing in the repository")

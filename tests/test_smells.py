@@ -42,7 +42,9 @@ def test_dead_code(tables):
     assert [f.qualified_name for f in dead_code_candidates(graph).findings.collect()] == ["m.unused"]
     many = tables.graph([("function", f"m.f{i:02d}") for i in range(30)], [])
     names = sorted(f.qualified_name for f in dead_code_candidates(many).findings.collect())
-    assert names == [f"m.f{i:02d}" for i in range(20)]
+    assert names == [f"m.f{i:02d}" for i in range(30)]
+    first = dead_code_candidates(many, 20).findings.collect()
+    assert sorted(f.qualified_name for f in first) == names[:20] and "One of 30" in first[0].evidence
 
 
 def cycle(prefix, n):

@@ -39,7 +39,7 @@ def test_limits_are_inclusive_and_files_come_first(tables):
     mb = 1024 * 1024
     profile = tables.rows("repo_id string, file_count long, total_size_bytes long",
                           ("at", 5000, 500 * mb), ("files", 5001, 501 * mb), ("bytes", 1, 500 * mb + 1))
-    limited = files.apply_limits(profile)
+    limited = files.apply_limits(profile, 5000, 500)
     reasons = {r.repo_id: r.reject_reason for r in limited.collect()}
     assert reasons == {"at": None, "files": "more than 5000 files", "bytes": "more than 500 MB"}
     listed = tables.rows("repo_id string, path string", ("at", "a"), ("files", "b"))
@@ -121,7 +121,7 @@ def test_records(tables, spark):
     assert (a.status, a.file_count, a.symbol_count, a.languages, a.updated_at) == ("ready", 2, 6, {"python": 1}, day[2])
     assert (b.status, b.file_count, b.relationship_count, b.languages, b.updated_at) == ("pending", 0, 0, {}, day[1])
     assert repositories.get_repository(records, "b").first().owner == "o"
-    limited = files.apply_limits(profile, max_files=1)
+    limited = files.apply_limits(profile, max_files=1, max_megabytes=500)
     assert [tuple(r) for r in repositories.scan_status(limited).collect()] == [("a", "failed", "more than 1 files", 2)]
 
 
@@ -135,7 +135,7 @@ def test_store_keeps_one_snapshot_per_repository(spark, tables, tmp_path):
         graph_store.write_status(tables.rows("repo_id string", (repo,)), store, batch, "ready")
 
     def stored(**more):
-        nodes, edges = graph_store.read_graph(spark, store, buckets=4, **more)
+        nodes, edges = graph_store.read_graph(spark, store, **more)
         return {r.uid for r in nodes.collect()}, edges.count()
 
     put(1, "a", ["f", "g"])
@@ -146,7 +146,7 @@ def test_store_keeps_one_snapshot_per_repository(spark, tables, tmp_path):
     put(3, "a", ["f", "k"])  # the same batch again replaces itself
     assert stored() == ({"a:f", "a:k", "b:h"}, 3)
     assert stored(repo_ids=["b"]) == ({"b:h"}, 1)
-    plan = graph_store.read_graph(spark, store, ["b"], buckets=4).nodes._jdf.queryExecution().executedPlan().toString()
+    plan = graph_store.read_graph(spark, store, ["b"]).nodes._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(repo_bucket" in plan or "repo_bucket" in plan.split("PartitionFilters:")[1]
     # Half-written batches are not visible.
     graph_store.write_graph(tables.graph([{"symbol_type": "function", "id": "late", "repo_id": "b"}], []), store, 9, 4)

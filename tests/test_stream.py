@@ -24,7 +24,7 @@ def test_stream(spark, tmp_path):
 
     def run():
         stream_ingest(spark, landing, store, str(tmp_path / "progress"), buckets=2).awaitTermination()
-        return graph_store.read_graph(spark, store, buckets=2)
+        return graph_store.read_graph(spark, store)
 
     def calls(graph):
         return {(e.src, e.dst) for e in graph.edges.filter("relationship_type = 'CALLS'").collect()}
@@ -82,4 +82,4 @@ def test_failed_batch_is_recorded_and_can_be_repeated(spark, tmp_path, monkeypat
     ingest_batch(batch, 0, store, buckets=2)
     row = repositories.latest_status(graph_store.read_status(spark, store)).first()
     assert row.status == "ready"
-    assert graph_store.read_graph(spark, store, buckets=2).nodes.count() == 2
+    assert graph_store.read_graph(spark, store).nodes.count() == 2
