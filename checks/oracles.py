@@ -392,6 +392,19 @@ _STREAMED = """(SELECT repo_id, count(*) AS f, count(*) FILTER (WHERE kind = 1)
 _STREAMED_SYMBOLS = "f + 6 * g + 5 * h"
 _STREAMED_RELATIONSHIPS = "4 * g + 2 * g + g + CASE WHEN g = 1 THEN 2 ELSE g END + 4 * h + h"
 
+_STREAMED_KINDS = f"""
+SELECT repo_id, kind, n FROM (
+  SELECT repo_id, unnest(['file', 'import', 'class', 'method', 'function', 'CONTAINS', 'IMPORTS', 'INHERITS', 'CALLS']) AS kind,
+         unnest([f, 2 * g + h, 2 * g + h, g + 2 * h, g + h, 4 * g + 4 * h + f, 2 * g + h, g, CASE WHEN g = 1 THEN 2 ELSE g END]) AS n FROM {_STREAMED}) x
+WHERE n > 0"""
+
+# The documents that the stream indexes.
+CTES["oi_docs"] = f"""
+SELECT repo_id, format('{{}}#{{:08d}}', file_path, seq) AS doc_id,
+       concat_ws(chr(10), qualified_name, decorators, coalesce(docstring, '')) AS text
+FROM ({_SYMBOL_ROWS}) d WHERE symbol_type IN ('file', 'class', 'function', 'method')"""
+CTES |= _tfidf("oi", "oi_docs", "fx_symbol_questions")
+
 STATEMENTS = {
     "language_of_file": f"SELECT repo_id, path, {_LANGUAGE} AS language FROM fx_repo_files",
     "repo_profile": "SELECT repo_id, file_count, total_size_bytes, languages FROM og_profile",
@@ -524,11 +537,23 @@ UNION ALL
 SELECT q.query_id, 'user', concat('<question>', question, '</question>', chr(10), '<evidence>', chr(10), evidence_block, chr(10),
        '</evidence>', chr(10), 'Answer from the evidence only.')
 FROM fx_symbol_questions q JOIN os_blocks b ON b.query_id = q.query_id""",
-    "stream_ingest_graph": f"""
-SELECT repo_id, kind, n FROM (
-  SELECT repo_id, unnest(['file', 'import', 'class', 'method', 'function', 'CONTAINS', 'IMPORTS', 'INHERITS', 'CALLS']) AS kind,
-         unnest([f, 2 * g + h, 2 * g + h, g + 2 * h, g + h, 4 * g + 4 * h + f, 2 * g + h, g, CASE WHEN g = 1 THEN 2 ELSE g END]) AS n FROM {_STREAMED}) x
-WHERE n > 0""",
+    "stream_ingest_graph": _STREAMED_KINDS,
+    "stream_removed_files": _STREAMED_KINDS.replace(_STREAMED, f"(SELECT repo_id, f - h AS f, g, 0 AS h FROM {_STREAMED}) t"),
+    "stream_ingest_index": "SELECT repo_id, term, df, total, round(idf, 6) AS idf FROM oi_vocabulary",
+    "stored_repositories": f"""
+SELECT p.repo_id AS id, concat('https://github.com/org/', p.repo_id, '.git') AS url, 'org' AS owner, p.repo_id AS name, 'ready' AS status,
+       'main' AS default_branch, md5(p.repo_id) AS commit_sha, file_count, {_STREAMED_SYMBOLS} AS symbol_count
+FROM og_profile p JOIN {_STREAMED} ON s.repo_id = p.repo_id""",
+    "get_repository": "SELECT repo_id, status, error FROM og_latest WHERE repo_id = '7'",
+    "extract_with_registered_extractor": f"""
+SELECT repo_id, concat(repo_id, ':', path, suffix) AS uid, CAST(seq AS INTEGER) AS seq, name, qualified_name, symbol_type, 'javascript' AS language
+FROM (SELECT repo_id, path, '' AS suffix, 0 AS seq, reverse(split_part(reverse(path), '/', 1)) AS name, path AS qualified_name,
+             'file' AS symbol_type, {_LANGUAGE} AS language FROM fx_repo_files
+      WHERE NOT list_has_any(string_split(path, '/'), [{_list(IGNORED_DIRS)}])
+      UNION ALL
+      SELECT repo_id, path, '.first', 1, 'first', concat('in ', path), 'function', {_LANGUAGE} FROM fx_repo_files
+      WHERE NOT list_has_any(string_split(path, '/'), [{_list(IGNORED_DIRS)}])) s
+WHERE language = 'javascript'""",
     "stream_ingest_status": f"""
 SELECT repo_id, 'ready' AS status, f AS file_count, {_STREAMED_SYMBOLS} AS symbol_count,
        {_STREAMED_RELATIONSHIPS} AS relationship_count FROM {_STREAMED}""",

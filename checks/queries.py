@@ -181,6 +181,13 @@ def list_repositories(spark, sf_dir):
     return repositories.list_repositories(latest).select("repo_id", "status")
 
 
+@query
+def get_repository(spark, sf_dir):
+    """The one repository asked for by id."""
+    latest = repositories.latest_status(derived(spark, sf_dir, "fx_status_log"))
+    return repositories.get_repository(latest, "7").select("repo_id", "status", "error")
+
+
 @query
 def ready_only(spark, sf_dir):
     log = derived(spark, sf_dir, "fx_status_log")
@@ -219,6 +226,22 @@ def parse_summary(spark, sf_dir):
     return extract.parse_summary(source_files(spark, sf_dir), parsed(spark, sf_dir).parse_errors)
 
 
+def first_line(path, content):
+    """An extractor for another language: the file, and its first line as a symbol."""
+    yield "symbol", {"id": path, "name": path.rsplit("/", 1)[-1], "qualified_name": path, "symbol_type": "file",
+                     "start_line": 1, "end_line": 1, "language": "javascript", "decorators": [], "docstring": None}
+    yield "symbol", {"id": f"{path}.first", "name": "first", "qualified_name": content, "symbol_type": "function",
+                     "start_line": 1, "end_line": 1, "language": "javascript", "decorators": [], "docstring": None}
+
+
+@query
+def extract_with_registered_extractor(spark, sf_dir):
+    """Files of another language, extracted by an extractor that the caller registers."""
+    listed = derived(spark, sf_dir, "fx_repo_files").withColumn("content", F.concat(F.lit("in "), "path"))
+    symbols = extract.extract_ir(listed, {"javascript": first_line}).symbols
+    return symbols.select("repo_id", "uid", "seq", "name", "qualified_name", "symbol_type", "language")
+
+
 # Resolution and construction ----------------------------------------------
 
 @query
@@ -496,10 +519,7 @@ def streamed_store(spark, sf_dir) -> str:
 
 @query
 def stream_ingest_graph(spark, sf_dir):
-    nodes, edges = graph_store.read_graph(spark, streamed_store(spark, sf_dir))
-    counted = nodes.select("repo_id", F.col("symbol_type").alias("kind")).unionByName(
-        edges.select("repo_id", F.col("relationship_type").alias("kind")))
-    return counted.groupBy("repo_id", "kind").agg(F.count("*").alias("n"))
+    return _kinds(*graph_store.read_graph(spark, streamed_store(spark, sf_dir)))
 
 
 @query
@@ -509,16 +529,60 @@ def stream_ingest_status(spark, sf_dir):
                                                   "relationship_count")
 
 
+@query
+def stream_ingest_index(spark, sf_dir):
+    """The text index that the stream keeps beside the graph."""
+    vocabulary = ask.read_index(spark, streamed_store(spark, sf_dir)).terms.vocabulary
+    return vocabulary.select("repo_id", "term", "df", "total", F.round("idf", 6).alias("idf"))
+
+
+@query
+def stream_removed_files(spark, sf_dir):
+    """All source files arrive, then the broken ones are removed; symbols and edges that are left."""
+    folder = new_folder(spark, "stream")
+    arrived = source_files(spark, sf_dir)
+    arrived.write.parquet(f"{folder}/landing")
+    gone = arrived.filter(F.contains("content", F.lit("= ="))).withColumn("content", F.lit(None).cast("string"))
+
+    def run():
+        stream_ingest(spark, f"{folder}/landing", f"{folder}/store", f"{folder}/progress", buckets=4).awaitTermination()
+
+    run()
+    gone.select(*SOURCE_FILES.fieldNames()).write.mode("append").parquet(f"{folder}/landing")
+    run()
+    return _kinds(*graph_store.read_graph(spark, f"{folder}/store"))
+
+
+def _kinds(nodes, edges):
+    counted = nodes.select("repo_id", F.col("symbol_type").alias("kind")).unionByName(
+        edges.select("repo_id", F.col("relationship_type").alias("kind")))
+    return counted.groupBy("repo_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def stored_repositories(spark, sf_dir):
+    """Repository records as the store keeps them, with branch and commit."""
+    folder = new_folder(spark, "records")
+    graph_store.write_repositories(_records(spark, sf_dir), folder)
+    return graph_store.read_repositories(spark, folder).select(
+        "id", "url", "owner", "name", "status", "default_branch", "commit_sha", "file_count", "symbol_count")
+
+
 @query
 def repository_records(spark, sf_dir):
     """Registered repositories with the last status of the stream and the profile of their files."""
+    counted = F.transform(F.map_entries("languages"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return _records(spark, sf_dir).select(
+        "id", "url", "owner", "name", "status", "file_count", "symbol_count", "relationship_count", "error",
+        F.array_join(counted, ",").alias("languages"))
+
+
+def _records(spark, sf_dir):
     registered = urls.register_repositories(
         derived(spark, sf_dir, "fx_members").select("repo_id").distinct().select(
             F.col("repo_id").alias("id"), F.concat(F.lit("https://github.com/org/"), "repo_id").alias("url"),
-            F.current_timestamp().alias("submitted_at")))
+            F.current_timestamp().alias("submitted_at"))
+    ).withColumn("default_branch", F.lit("main")).withColumn("commit_sha", F.md5("id"))
     latest = repositories.latest_status(graph_store.read_status(spark, streamed_store(spark, sf_dir)))
     profile = files.profile_repositories(derived(spark, sf_dir, "fx_repo_files"))
-    counted = F.transform(F.map_entries("languages"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return repositories.repository_records(registered, latest, profile).select(
-        "id", "url", "owner", "name", "status", "file_count", "symbol_count", "relationship_count", "error",
-        F.array_join(counted, ",").alias("languages"))
+    return repositories.repository_records(registered, latest, profile)
