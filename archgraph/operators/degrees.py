@@ -30,10 +30,11 @@ def incidences(edges: DataFrame, types=None) -> DataFrame:
 def degrees(edges: DataFrame, types=None, only: DataFrame | None = None) -> DataFrame:
     """Incident edges per uid (degree > 0); ``only`` restricts to the uids of a table."""
     ends = incidences(edges, types).filter(F.col("symbol_type") != REPOSITORY_NODE)
-    if only is not None:
-        # Written, so that adaptive execution can split the edges of a hub.
-        ends = ends.join(materialize(only.select("uid").distinct(), "asked"), "uid", "left_semi")
-    return ends.groupBy("repo_id", "uid").agg(F.count("*").alias("degree"))
+    counted = ends.groupBy("repo_id", "uid").agg(F.count("*").alias("degree"))
+    if only is None:
+        return counted
+    # Counted before the join: the edges of a hub are one row per task by then.
+    return counted.join(only.select("uid").distinct(), "uid").select(*counted.columns)
 
 
 def ranked_by_degree(edges: DataFrame, symbol_types, limit: int, types=None) -> DataFrame:

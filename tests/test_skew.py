@@ -6,11 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from archgraph.operators.build import build_edges, build_nodes
-from archgraph.operators.degrees import neighbourhood, ranked_by_degree
+from archgraph.operators.components import _trim
+from archgraph.operators.degrees import degrees, neighbourhood, ranked_by_degree
 from archgraph.operators.resolve import resolve_relationships
+from archgraph.plans import smells
 from archgraph.plans.smells import uncalled
 from archgraph.schemas import RELATIONSHIPS, SYMBOLS, Graph
 from archgraph.session import materialize
+from archgraph.sources.files import accepted_files
+from archgraph.sources.repositories import only_ready
 
 SYMBOL_COUNT, CALLS = 3_000, 120_000
 
@@ -106,3 +110,48 @@ def test_rank_within_a_hot_repository_is_pruned_in_map_tasks(spark, hot_graph):
 def test_a_hot_callee_is_reduced_before_the_anti_join(hot_graph):
     called = {r.dst for r in hot_graph.edges.filter("relationship_type = 'CALLS'").select("dst").distinct().collect()}
     assert uncalled(hot_graph).count() == SYMBOL_COUNT - len(called)
+
+
+def test_edges_of_a_hub_are_counted_before_the_join_with_what_is_asked(spark, hot_graph):
+    asked = hot_graph.nodes.select("uid").union(hot_graph.nodes.select("uid"))
+    with small_skew_limits(spark):
+        found = degrees(hot_graph.edges, only=asked)
+        n, plan = final_plan(found)
+    assert n == degrees(hot_graph.edges).count()
+    assert plan.index("Join") < plan.index("HashAggregate(keys=[repo_id")
+
+
+@pytest.fixture(scope="module")
+def large_repository(spark):
+    """Files of which two in three belong to one repository."""
+    repo = F.when(F.col("id") % 3 < 2, "big").otherwise(F.concat(F.lit("r"), F.col("id") % 40))
+    return materialize(spark.range(60_000).select(
+        repo.alias("repo_id"), F.concat(F.lit("f"), "id").alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("content")), "hot-files")
+
+
+def test_files_of_a_large_repository_are_split(spark, large_repository):
+    verdicts = large_repository.groupBy("repo_id").agg(F.lit(None).cast("string").alias("reject_reason"))
+    with small_skew_limits(spark):
+        n, plan = final_plan(accepted_files(large_repository, verdicts))
+        assert n == 60_000 and "skew=true" in plan
+        n, plan = final_plan(only_ready(large_repository, large_repository.groupBy("repo_id").agg(F.lit("ready").alias("status"))))
+        assert n == 60_000 and "skew=true" in plan
+
+
+def test_members_of_a_giant_component_are_split(spark, monkeypatch):
+    members = materialize(spark.range(60_000).select(
+        F.when(F.col("id") % 3 < 2, "c").otherwise(F.concat(F.lit("c"), F.col("id") % 40)).alias("component"),
+        F.sha2(F.col("id").cast("string"), 256).alias("uid")), "hot-members")
+    monkeypatch.setattr(smells, "strongly_connected_components", lambda _: members)
+    edges = spark.createDataFrame([], "relationship_type string")
+    with small_skew_limits(spark):
+        n, plan = final_plan(smells.call_cycles(Graph(None, edges)))
+    assert n == 60_000 and "skew=true" in plan
+
+
+def test_arcs_of_a_popular_vertex_are_trimmed_alike(spark):
+    hub = F.when(F.col("id") % 3 < 2, F.lit(-1)).otherwise(F.col("id") % 5_000)
+    arcs = materialize(spark.range(200_000).select((F.col("id") % 5_000).alias("a"), hub.alias("b")), "hot-arcs")
+    with small_skew_limits(spark):
+        kept, left = _trim(arcs, arcs.count())
+    assert left == kept.count() == arcs.filter("b <> -1").count()

@@ -1,9 +1,11 @@
 """Files that arrive in several batches give the graph of all of them."""
 
+import os
 import time
 
 from pyspark.sql import functions as F
 
+from archgraph.plans.ask import read_index
 from archgraph.plans.graph import analyze_files
 from archgraph.schemas import SOURCE_FILES
 from archgraph.sources import graph_store, repositories
@@ -60,6 +62,41 @@ def test_stream(spark, tmp_path):
     assert run().nodes.count() == expected.nodes.count()  # nothing new, nothing changed
 
 
+def folders(spark):
+    from archgraph.session import shared_folder
+
+    path = shared_folder(spark).removeprefix("file:")
+    return set(os.listdir(path))
+
+
+def test_removed_files_index_and_folders(spark, tmp_path):
+    landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
+
+    def run():
+        stream_ingest(spark, landing, store, str(tmp_path / "progress"), buckets=2).awaitTermination()
+
+    land(spark, landing, ("a", "use.py", USER), ("a", "lib.py", HELPER), ("b", "lib.py", HELPER))
+    before = folders(spark)
+    run()
+    assert folders(spark) == before  # intermediate tables go with their batch
+    frame = spark.createDataFrame([("a", "lib.py", 0, None)], SOURCE_FILES)
+    frame.coalesce(1).write.mode("append").parquet(landing)
+    run()
+    graph = graph_store.read_graph(spark, store)
+    assert {r.uid for r in graph.nodes.collect()} == {"a:use", "a:use.use", "a:use.py::import::lib.helper::0", "b:lib", "b:lib.helper"}
+    assert graph.edges.filter("relationship_type = 'CALLS'").isEmpty()
+    index = read_index(spark, store, ["a"])
+    assert {r.symbol_uid for r in index.documents.collect()} == {"a:use", "a:use.use"}
+    assert index.terms.weights.filter("repo_id <> 'a'").isEmpty()
+    statuses = {r.status for r in graph_store.read_status(spark, store).collect()}
+    assert statuses == {"parsing", "building_graph", "embedding", "ready"}
+    land(spark, landing, ("b", "lib.py", USER))
+    run()
+    assert graph_store.remove_superseded(spark, store) == 1
+    assert {r.repo_id for r in graph_store.read_graph(spark, store).nodes.collect()} == {"a", "b"}
+    assert graph_store.store_buckets(spark, store, 64) == 2
+
+
 def test_failed_batch_is_recorded_and_can_be_repeated(spark, tmp_path, monkeypatch):
     from archgraph.streaming import ingest
 
