@@ -3,6 +3,7 @@
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from archgraph.operators.build import build_edges, build_nodes
 from archgraph.operators.extract import ExtractedTables, extract_ir
@@ -26,8 +27,15 @@ def build_graph(symbols: DataFrame, relationships: DataFrame) -> Graph:
 
 
 def link_graph(symbols: DataFrame, resolved: DataFrame) -> Graph:
-    nodes = materialize(build_nodes(symbols), "nodes")
-    return Graph(nodes, materialize(build_edges(nodes, resolved), "edges"))
+    """The written graph; files are sorted by repository, so questions about a few skip row groups."""
+    nodes = materialize(build_nodes(symbols).sortWithinPartitions("repo_id"), "nodes")
+    return Graph(nodes, materialize(build_edges(nodes, resolved).sortWithinPartitions("repo_id"), "edges"))
+
+
+def only_repositories(graph: Graph, repo_ids) -> Graph:
+    """The graph of some repositories, for questions that concern no others; the filter reaches the scans."""
+    wanted = F.col("repo_id").isin(*repo_ids)
+    return Graph(graph.nodes.filter(wanted), graph.edges.filter(wanted))
 
 
 def analyze_files(files: DataFrame) -> AnalyzedFiles:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from archgraph.operators.degrees import degrees, neighbourhood, search_symbols, suggest_symbols
 from archgraph.operators.topk import top_k
 from archgraph.operators.views import class_view, file_view
+from archgraph.plans.graph import only_repositories
 from tests.conftest import call
 
 
@@ -175,3 +176,15 @@ def test_top_k_with_a_hot_key(spark, k, salted):
     hot = [i * 7919 % 6007 for i in range(6000) if i % 3 > 0]
     assert [r.x for r in best.filter("key = 'hot'").orderBy("rank").collect()] == sorted(hot, reverse=True)[:k]
     assert best.filter("key <> 'hot'").count() == 2000
+
+
+def test_questions_about_one_repository_read_no_other(tables):
+    graph = tables.graph(
+        [{"symbol_type": "function", "id": n, "repo_id": r} for r in ("r", "s") for n in ("m.a", "m.b")],
+        [call("m.a", "m.b", repo_id=r) for r in ("r", "s")])
+    one = only_repositories(graph, ["s"])
+    found = degrees(one.edges)
+    assert {r.uid for r in found.collect()} == {"s:m.a", "s:m.b"}
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in scan and "repo_id" in scan[scan.index("PushedFilters"):]
+    assert {r.repo_id for r in class_view(*one).truncated.collect()} == {"s"}
