@@ -24,6 +24,7 @@ SCORE_UNITS = 10**15
 SQUARES = "decimal(28,9)"
 # Cosines of a matrix product agree to this, wherever in a block a vector stands.
 DENSE_UNITS = 1e12
+QUERIES_SENT = 2_000
 
 
 class TfidfIndex(NamedTuple):
@@ -135,14 +136,66 @@ def search(questions: DataFrame, index: TfidfIndex, k: int = TOP_K, pad: bool =
 
 
 def search_dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, rows_per_block: int = 20_000,
-                 queries_per_block: int = 500) -> DataFrame:
-    """Exact cosine top k of queries (query_id, repo_id, embedding) among vectors.
-
-    ``vectors`` is (repo_id, vec_id, embedding). Both sides are dealt into
-    numbered blocks of bounded size and every pair of blocks meets in one
-    task, which multiplies two matrices and keeps k rows per query. No pair
-    of rows is ever emitted, and a repository of any size is spread over as
-    many tasks as it has blocks.
+                 queries_per_block: int = 500, queries_sent: int = QUERIES_SENT) -> DataFrame:
+    """Exact cosine top k of queries (query_id, repo_id, embedding) among vectors (repo_id, vec_id, embedding).
+
+    Up to ``queries_sent`` queries are counted, sent to every task, and
+    multiplied with the vectors where those are; a task keeps k rows per query
+    and only they are shuffled. More queries meet the vectors block by block.
+    Both ways give the same rows.
+    """
+    asked = queries.select("query_id", "repo_id", "embedding")
+    if asked.limit(queries_sent + 1).count() <= queries_sent:
+        found = _best_in_place(asked, vectors.select("repo_id", "vec_id", "embedding"), k)
+    else:
+        found = _best_by_blocks(queries, vectors, k, rows_per_block, queries_per_block)
+    return top_k(found, ["query_id", "repo_id"], [F.col("score").desc(), F.col("vec_id")], k)
+
+
+def _best_in_place(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """At most k rows per query and task, in a map over the vectors."""
+    rows = asked.toPandas()  # counted before
+    matrices = {repo: (own["query_id"].to_numpy(), _unit(own["embedding"])) for repo, own in rows.groupby("repo_id")}
+    types = dict(vectors.dtypes)["vec_id"], dict(asked.dtypes)["query_id"]
+    columns = ["query_id", "repo_id", "vec_id", "score"]
+
+    def scan(batches):
+        best = []
+        for batch in batches:
+            for repo, own in batch.groupby("repo_id"):
+                if repo in matrices:
+                    ids, matrix = matrices[repo]
+                    best.append(_best_of_product(ids, matrix, repo, own.sort_values("vec_id", ignore_index=True), k))
+            if len(best) > 1:
+                best = [_first_of_each(pd.concat(best), k)]
+        yield best[0] if best else pd.DataFrame(columns=columns)
+
+    return vectors.mapInPandas(scan, f"query_id {types[1]}, repo_id string, vec_id {types[0]}, score double")
+
+
+def _first_of_each(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    ordered = rows.sort_values(["score", "vec_id"], ascending=[False, True])
+    return ordered.groupby(["repo_id", "query_id"], sort=False).head(k)
+
+
+def _best_of_product(ids, matrix, repo, vector_rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of the vectors, which are in the order of their ids, for every query."""
+    scores = np.floor(matrix @ _unit(vector_rows["embedding"]).T * DENSE_UNITS) / DENSE_UNITS
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return pd.DataFrame({
+        "query_id": np.repeat(ids, best.shape[1]), "repo_id": repo,
+        "vec_id": vector_rows["vec_id"].to_numpy()[best.ravel()],
+        "score": np.take_along_axis(scores, best, axis=1).ravel(),
+    })
+
+
+def _best_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, rows_per_block: int, queries_per_block: int) -> DataFrame:
+    """At most k rows per query and block of vectors.
+
+    Both sides are dealt into numbered blocks of bounded size and every pair of
+    blocks meets in one task, which multiplies two matrices. No pair of rows is
+    ever emitted, and a repository of any size is spread over as many tasks as
+    it has blocks.
     """
     vector_blocks = _block_counts(vectors, rows_per_block, "vector_blocks")
     query_blocks = _block_counts(queries, queries_per_block, "query_blocks")
@@ -161,23 +214,14 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, rows_pe
     id_types = dict(vectors.dtypes)["vec_id"], dict(queries.dtypes)["query_id"]
 
     def best_of_block(query_rows: pd.DataFrame, vector_rows: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "repo_id", "vec_id", "score"]
         if query_rows.empty or vector_rows.empty:
-            return pd.DataFrame(columns=columns)
-        vector_rows = vector_rows.sort_values("vec_id", ignore_index=True)
-        scores = np.floor(_unit(query_rows["embedding"]) @ _unit(vector_rows["embedding"]).T * DENSE_UNITS) / DENSE_UNITS
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({
-            "query_id": query_rows["query_id"].repeat(best.shape[1]).to_numpy(),
-            "repo_id": query_rows["repo_id"].iloc[0],
-            "vec_id": vector_rows["vec_id"].to_numpy()[best.ravel()],
-            "score": np.take_along_axis(scores, best, axis=1).ravel(),
-        })
+            return pd.DataFrame(columns=["query_id", "repo_id", "vec_id", "score"])
+        ids, repo = query_rows["query_id"].to_numpy(), query_rows["repo_id"].iloc[0]
+        return _best_of_product(ids, _unit(query_rows["embedding"]), repo, vector_rows.sort_values("vec_id", ignore_index=True), k)
 
     cell = ["repo_id", "vector_block", "query_block"]
-    per_block = dealt_queries.groupBy(*cell).cogroup(dealt_vectors.groupBy(*cell)).applyInPandas(
+    return dealt_queries.groupBy(*cell).cogroup(dealt_vectors.groupBy(*cell)).applyInPandas(
         best_of_block, f"query_id {id_types[1]}, repo_id string, vec_id {id_types[0]}, score double")
-    return top_k(per_block, ["query_id", "repo_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
 def _block_counts(rows: DataFrame, size: int, name: str) -> DataFrame:

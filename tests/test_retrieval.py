@@ -88,7 +88,7 @@ def test_documents_of_symbols(tables):
     assert docs == {"r:m.A.f": ("src/a.py#00000000", 'm.A.f\n@x @y\n"""Hi."""'), "r:m.A": ("src/a.py#00000002", "m.A")}
 
 
-@pytest.mark.parametrize("blocks", [(20_000, 500), (7, 2)])
+@pytest.mark.parametrize("blocks", [(20_000, 500), (20_000, 500, 0), (7, 2, 4)])
 def test_dense_search_matches_brute_force(tables, blocks):
     dice = np.random.default_rng(5)
     vectors = np.round(dice.normal(size=(60, 8)), 2)
