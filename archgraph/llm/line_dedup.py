@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archgraph.llm.near_duplicates import shingle_sets
+from archgraph.llm.sized import bounded_batches
 from archgraph.llm.text import BLANK, byte_table, hash_spans, row_offsets, spans, text_slices
 from archgraph.session import materialize
 
@@ -30,6 +31,7 @@ MIN_SITES = 10
 INDEPENDENT = 0.5
 SHINGLE_WORDS = 5
 SKETCH_BITS = 10
+SENT_LINES = 1 << 21  # boilerplate hashes that are sent to every task: at most 16 MB
 UNSURE = 4 * 1.04 / 2 ** (SKETCH_BITS / 2)  # four standard errors of an estimate
 
 _NOT_BREAK = ~byte_table((0x0A, 0x0A))
@@ -94,41 +96,63 @@ def boilerplate_lines(lines, min_sites=MIN_SITES, independent=INDEPENDENT):
 
 def remove_boilerplate(docs, id_column="doc_id", site="source", text="text", min_sites=MIN_SITES, independent=INDEPENDENT):
     """All documents with boilerplate lines taken out of the text, ``n_lines`` (not blank, before) and ``n_removed``."""
+    bounded_batches(docs.sparkSession)
     lines = materialize(line_rows(docs, id_column, site, text), "line-rows")
     found = boilerplate_lines(lines, min_sites, independent)
-    hits = lines.select("key", "text_hash", "line").join(found, "line")
-    hits = materialize(hits.groupBy("key", "text_hash").agg(F.collect_set("line").alias("hit_lines")), "line-hits")  # at most the lines of one document
-    hits = hits.withColumnsRenamed({"key": "hit_key", "text_hash": "hit_hash"})
     kept = [name for name in docs.columns if name not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in kept if name != text]).alias("row"), F.col(f"`{id_column}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    joined = rows.join(hits, F.col("key").eqNullSafe(F.col("hit_key")) & (F.xxhash64("text") == F.col("hit_hash")), "left")
-    rows = joined.select("row", "text", "hit_lines")
+    sent = None
+    if found.count() <= SENT_LINES:
+        sent = np.sort(found.toArrow().column("line").to_numpy())
+        rows = rows.select("row", "text")
+    else:
+        rows = rows.transform(_with_hits, lines, found)
     schema = T.StructType([rows.schema["row"], T.StructField("text", docs.schema[text].dataType), *T.StructType.fromDDL("n_lines long, n_removed long").fields])
 
     def clean(batches):
         for batch in batches:
-            texts, hit = batch.column("text"), batch.column("hit_lines")
+            texts = batch.column("text")
             for first, data, offsets in text_slices(texts):
                 many = len(offsets) - 1
                 start, end, row = trimmed_lines(data, offsets)
-                number = np.bincount(row, minlength=many)
-                removed = np.zeros(many, dtype=np.int64)
-                touched = np.flatnonzero(np.asarray(hit.slice(first, many).is_valid()))
+                line = hash_spans(data, start, end).view(np.int64)
+                if sent is not None:
+                    bad = np.zeros(len(line), dtype=bool) if not len(sent) else sent[np.minimum(np.searchsorted(sent, line), len(sent) - 1)] == line
+                else:
+                    bad = _is_hit(line, row, batch.column("hit_lines").slice(first, many))
                 replaced = {}
-                for own in touched.tolist():
-                    at = np.flatnonzero(row == own)
-                    bad = np.isin(hash_spans(data[offsets[own] : offsets[own + 1]], start[at] - offsets[own], end[at] - offsets[own]).view(np.int64), np.array(hit[first + own].as_py()))
-                    removed[own] = bad.sum()
-                    replaced[own] = _without(data[offsets[own] : offsets[own + 1]].tobytes(), (start[at] - offsets[own])[bad])
+                for own in np.unique(row[bad]).tolist():
+                    lines_of = slice(*np.searchsorted(row, [own, own + 1]))
+                    own_bad = start[lines_of][bad[lines_of]] - offsets[own]
+                    replaced[own] = _without(data[offsets[own] : offsets[own + 1]].tobytes(), own_bad)
                 part = texts.slice(first, many)
                 if replaced:
                     part = pa.array([replaced.get(i, value) for i, value in enumerate(part.to_pylist())], texts.type)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, many), part, pa.array(number, pa.int64()), pa.array(removed)], names=schema.fieldNames())
+                number, removed = np.bincount(row, minlength=many), np.bincount(row[bad], minlength=many)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, many), part, pa.array(number, pa.int64()), pa.array(removed, pa.int64())], names=schema.fieldNames())
 
     out = rows.mapInArrow(clean, schema)
     return out.select(*[F.col("text").alias(text) if name == text else F.col("row").getField(name).alias(name) for name in kept], "n_lines", "n_removed")
 
 
+def _with_hits(rows, lines, found):
+    """The documents with the hashes of their own boilerplate lines, for lists of lines too long to send to every task."""
+    hits = lines.select("key", "text_hash", "line").join(found, "line")
+    hits = materialize(hits.groupBy("key", "text_hash").agg(F.collect_set("line").alias("hit_lines")), "line-hits")  # at most the lines of one document
+    hits = hits.withColumnsRenamed({"key": "hit_key", "text_hash": "hit_hash"})
+    joined = rows.join(hits, F.col("key").eqNullSafe(F.col("hit_key")) & (F.xxhash64("text") == F.col("hit_hash")), "left")
+    return joined.select("row", "text", "hit_lines")
+
+
+def _is_hit(line, row, hits):
+    """Which lines are in the list of their own row."""
+    bad = np.zeros(len(line), dtype=bool)
+    for own in np.flatnonzero(np.asarray(hits.is_valid())).tolist():
+        lines_of = slice(*np.searchsorted(row, [own, own + 1]))
+        bad[lines_of] = np.isin(line[lines_of], np.array(hits[own].as_py()))
+    return bad
+
+
 def _without(raw, starts):
     """The text without the lines that the given bytes are in."""
     gone = set(np.searchsorted([i for i, byte in enumerate(raw) if byte == 0x0A], starts).tolist())

@@ -37,8 +37,10 @@ def corpus():
     return rows + [(1000 + i, copied, f"s{i % 16}") for i in range(40)], frozenset(copied.split("\n"))
 
 
-@pytest.mark.parametrize("min_sites", [10, 3, 13])
-def test_lines_go_by_their_number_of_sites(make, min_sites):
+@pytest.mark.parametrize("min_sites, sent", [(10, None), (3, None), (13, None), (10, 0)])
+def test_lines_go_by_their_number_of_sites(make, monkeypatch, min_sites, sent):
+    if sent is not None:
+        monkeypatch.setattr(ld, "SENT_LINES", sent)
     rows, copies = corpus()
     found = ld.remove_boilerplate(make(rows), min_sites=min_sites).collect()
     got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in found)
