@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 GROUP_ROWS = 1 << 15
+GROUP_BYTES = 32 << 20
 
 
 def dealt(df, keys):
@@ -13,14 +14,14 @@ def dealt(df, keys):
 
 def whole_groups(batches, keys):
     """``(table, begins)`` of consecutive whole groups; ``begins`` has the first row of each group and the number of rows."""
-    held = []
-    rows = 0
+    held, rows, size = [], 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < GROUP_ROWS:
+        size += batch.nbytes
+        if rows < GROUP_ROWS and size < GROUP_BYTES:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         begins = _begins(table, keys)
@@ -28,7 +29,7 @@ def whole_groups(batches, keys):
             last = int(begins[-1])
             yield table.slice(0, last).combine_chunks(), np.append(begins[:-1], last)
             table = table.slice(last).combine_chunks()
-        held, rows = table.to_batches(), 0
+        held, rows, size = table.to_batches(), 0, 0
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, np.append(_begins(table, keys), table.num_rows)

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from archgraph.llm.components import connected_components
 from archgraph.llm.grouped import dealt, fixed_binary_matrix, spanning_links, whole_groups
+from archgraph.llm.sized import bounded_batches, broadcast_if_small
 from archgraph.llm.text import LOWER, NOT_BLANK, hash_spans, mix64, row_offsets, shingles, spans, text_slices, word_counts
 from archgraph.session import materialize
 
@@ -172,7 +173,7 @@ def confirmed_links(docs, classes, groups, percent, shingle_words, id_column="do
     named = groups.join(sizes, "component").join(classes.select("node", "low", "high", "stand_in"), "node")
     wanted = materialize(named.select("node", "component", "members", "low", "high", F.col("stand_in.key").alias("wanted_key"), F.col("stand_in.text_hash").alias("wanted_hash")), "wanted-sets")
     texts = docs.select(F.col(f"`{id_column}`").alias("own_key"), F.col(f"`{text}`").alias("text"))
-    found = texts.join(wanted, (F.xxhash64("text") == F.col("wanted_hash")) & F.col("own_key").eqNullSafe(F.col("wanted_key")))
+    found = texts.join(broadcast_if_small(wanted), (F.xxhash64("text") == F.col("wanted_hash")) & F.col("own_key").eqNullSafe(F.col("wanted_key")))
     found = found.select("node", "component", "members", "low", "high", "text")
 
     def build(batches):
@@ -238,6 +239,7 @@ def similar_sets(sets, percent):
 
 def judged_documents(docs, id_column="doc_id", text="text", shingle_words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT, coordinates=COORDINATES):
     """Per document: ``key`` (its id), ``text_hash``, ``n_shingles``, ``component`` (a number of its group, null for empty sets), ``component_id``."""
+    bounded_batches(docs.sparkSession)
     matches = needed_matches(coordinates, percent)
     signed = materialize(signatures(docs, id_column, text, shingle_words, coordinates), "signatures")
     classes = set_classes(signed)
@@ -259,17 +261,26 @@ def near_duplicates(docs, id_column="doc_id", **options):
 
 
 def without_near_duplicates(docs, id_column="doc_id", text="text", **options):
-    """One document of every group, the one with the smallest id, and all documents with empty sets; the columns of ``docs``."""
+    """One document of every group, the one with the smallest id, and all documents with empty sets; the columns of ``docs``.
+
+    The few that go are taken out by an anti-join, so the texts that stay are
+    not shuffled while the list of those is small.
+    """
     judged = materialize(judged_documents(docs, id_column, text, **options).where("component is not null"), "judged")
     first = judged.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_hash")).alias("first"))
-    repeats = judged.groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("keeper rows"))
-    keepers = first.select(F.col("first.key").alias("keeper key"), F.col("first.text_hash").alias("keeper hash"))
-    keepers = keepers.join(repeats, F.col("keeper key").eqNullSafe(F.col("key")) & (F.col("keeper hash") == F.col("text_hash")))
-    keepers = materialize(keepers.select("keeper key", "keeper hash", "keeper rows"), "keepers")
-    own_key, own_text = F.col(f"`{id_column}`"), F.col(f"`{text}`")
-    met = docs.join(keepers, own_key.eqNullSafe(F.col("`keeper key`")) & (F.xxhash64(own_text) == F.col("`keeper hash`")))
-    columns = [F.col(f"`{name}`") for name in docs.columns]
-    single = met.where("`keeper rows` = 1").select(*columns)
-    repeated = met.where("`keeper rows` > 1").dropDuplicates(["keeper key", "keeper hash"]).select(*columns)
-    empty = docs.where(own_text.isNull() | ~own_text.rlike(r"[^\x20\x09-\x0D]"))
-    return single.unionByName(repeated).unionByName(empty)
+    first = materialize(first, "group-keepers")
+    rows = judged.groupBy("component", "key", "text_hash").agg(F.count(F.lit(1)).alias("rows")).join(first, "component")
+    keeps = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("text_hash") == F.col("first.text_hash"))
+    rows = rows.select(F.col("key").alias("judged key"), F.col("text_hash").alias("judged hash"), keeps.alias("keeps"), "rows")
+    rows = materialize(rows.where(~F.col("keeps") | (F.col("rows") > 1)), "not-kept")
+
+    def same(df):
+        return df[id_column].eqNullSafe(F.col("`judged key`")) & (F.xxhash64(df[text]) == F.col("`judged hash`"))
+
+    left = docs.join(broadcast_if_small(rows), same(docs), "left_anti")
+    repeated = rows.where("keeps")
+    if repeated.isEmpty():
+        return left
+    met = docs.join(broadcast_if_small(repeated), same(docs))
+    once = met.dropDuplicates(["judged key", "judged hash"]).select(*[F.col(f"`{name}`") for name in docs.columns])
+    return left.unionByName(once)

@@ -3,9 +3,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from archgraph.llm import grouped
 from archgraph.llm import near_duplicates as nd
+from archgraph.llm import sized
 from archgraph.llm.components import connected_components
 from archgraph.llm.grouped import spanning_links
 
@@ -71,7 +74,9 @@ def test_groups_are_those_of_all_pairs(make, monkeypatch, size, percent, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
-def test_odd_documents(odd):
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_odd_documents(odd, monkeypatch, most):
+    monkeypatch.setattr(sized, "BROADCAST_ROWS", most)
     rows = [(r.doc_id, r.text, r.source) for r in odd.collect()]
     found = nd.near_duplicates(odd, shingle_words=3, percent=85).collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
@@ -118,3 +123,16 @@ def test_spanning_links_join_what_all_links_join():
         tree = np.eye(12, dtype=int)
         tree[one, other] = tree[other, one] = 1
         assert ((np.linalg.matrix_power(tree, 12) > 0) == reach).all()
+
+
+@pytest.mark.parametrize("rows, size", [(1, 1 << 30), (7, 1 << 30), (1 << 30, 40), (1 << 30, 1 << 30)])
+def test_groups_are_whole_whatever_the_batches(monkeypatch, rows, size):
+    monkeypatch.setattr(grouped, "GROUP_ROWS", rows)
+    monkeypatch.setattr(grouped, "GROUP_BYTES", size)
+    keys = np.repeat(np.arange(12), [1, 5, 2, 9, 1, 1, 3, 4, 1, 2, 6, 1])
+    table = pa.table({"k": keys, "v": np.arange(len(keys))})
+    seen = []
+    for part, begins in grouped.whole_groups(table.to_batches(max_chunksize=3), ["k"]):
+        for begin, end in zip(begins[:-1], begins[1:]):
+            seen.append((part["k"][int(begin)].as_py(), part["v"].to_numpy()[begin:end].tolist()))
+    assert seen == [(k, np.flatnonzero(keys == k).tolist()) for k in range(12)]
