@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from archgraph.llm.sized import bounded_batches
 from archgraph.llm.text import text_slices
 
 WIDTH = 5
@@ -56,6 +57,7 @@ def usable_labels(labels, id_column="doc_id", label="quality", held_out=HELD_OUT
 
 def sample_chunks(docs, labels, id_column="doc_id", text="text"):
     """Chunks of the bounded training sample: ``(bytes of n x chunk length, document number, good of each document)`` and class counts."""
+    bounded_batches(docs.sparkSession)
     usable = usable_labels(labels)
     counts = {row.good: row["count"] for row in usable.groupBy("good").count().collect()}
     drawn = [
@@ -203,9 +205,11 @@ def quality_scores(docs, fitted, keep=("doc_id",), text="text", threshold=THRESH
     """``keep`` columns, ``score`` and ``predicted`` (1 from the threshold on) of every document."""
     model, constant = fitted
     own = ("score", "predicted")
-    kept = [name for name in keep if name not in own]
+    asked = [name for name in keep if name not in own]
+    kept = [name for name in asked if name != text]
     rows = docs.select(*[F.col(f"`{name}`").alias(name) for name in kept], F.col(f"`{text}`").alias("scored text"))
-    schema = T.StructType([*(rows.schema[n] for n in kept), T.StructField("score", T.DoubleType())])
+    passed = [*kept, "scored text"] if text in asked else kept  # a text goes to Python once
+    schema = T.StructType([*(rows.schema[n] for n in passed), T.StructField("score", T.DoubleType())])
 
     def score(batches):
         tables = _tables(model) if model else None
@@ -213,6 +217,7 @@ def quality_scores(docs, fitted, keep=("doc_id",), text="text", threshold=THRESH
             for first, data, offsets in text_slices(batch.column("scored text"), _SLICE):
                 many = len(offsets) - 1
                 scores = score_texts(model, tables, data, offsets) if model else np.full(many, constant)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, many) for i in range(len(kept))), pa.array(scores)], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, many) for i in range(len(passed))), pa.array(scores)], names=schema.fieldNames())
 
-    return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored.select(*[F.col("`scored text`").alias(text) if name == text else F.col(f"`{name}`") for name in asked], *own)

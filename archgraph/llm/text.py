@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-KEPT_POWERS = (2 << 20) + 1
+KEPT_POWERS = SLICE_BYTES + 1
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _WRAP = (1 << 64) - 1

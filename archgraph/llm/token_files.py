@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archgraph.llm.order import part_of
+from archgraph.llm.sized import bounded_batches
 from archgraph.llm.text import ragged, row_offsets
 from archgraph.llm.tokens import Encoder, word_level_cuts
 from archgraph.session import new_folder
@@ -77,6 +78,7 @@ def _bytes_of(column):
 def write_token_files(docs, folder, tokenizer, end_id=END_ID, id_column="doc_id", text="text"):
     """Tokenise all documents once, count ids over all of them, and write the files."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(f"`{id_column}`").alias("key"), F.col(f"`{text}`").alias("text"))
     ordered = rows.repartitionByRange(
         int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("key").asc_nulls_first(), F.xxhash64("text")

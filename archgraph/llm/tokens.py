@@ -14,7 +14,7 @@ import numpy as np
 from archgraph.llm.text import LOWER, byte_table, hash_spans, ragged, row_offsets, text_slices
 
 REMEMBERED_PIECES = 300_000
-TOKEN_SLICE_BYTES = 2 << 20
+TOKEN_SLICE_BYTES = 1 << 19
 
 # Classes of bytes whose change always ends a piece. All that is not surely one of them is OPEN: no cut
 # is made beside it, and pieces that hold it are split by the library itself. Apostrophes are open, as
