@@ -30,8 +30,10 @@ SHINGLE_WORDS = 5
 
 def good_quality(spark, docs, sf_dir):
     fitted = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select(whole_row(docs).alias("row"), "text")
-    return quality_scores(rows, fitted, keep=["row"]).where("predicted = 1").select("row.*")
+    rest = docs.drop("text")
+    rows = docs.select(whole_row(rest).alias("row"), "text")
+    good = quality_scores(rows, fitted, keep=["row", "text"]).where("predicted = 1")
+    return good.select(*[F.col("text") if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns])
 
 
 def without_boilerplate(spark, docs, sf_dir):
