@@ -48,6 +48,32 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+def test_no_link_of_a_dense_group_is_lost(spark):
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(6000, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[:2000] = points[0] + draw.normal(size=(2000, 64)) * 0.175 / 8
+    points[4000:5000] = points[5000:] + draw.normal(size=(1000, 64)) * 0.31 / 8  # cosines on both sides of the threshold
+    points = points.astype(np.float32)
+    links, group = brute(points)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vd.near_duplicate_vectors(table(spark, list(enumerate(points.tolist())))).collect()}
+    assert 1000 * 1000 < links.sum() and 200 < (links[4000:5000] > 0).sum() < 900
+    assert found == {i: (int(links[i]), int(group[i])) for i in range(len(points))}
+
+
+def test_guests_reach_every_cell_of_a_partner():
+    draw = np.random.default_rng(6)
+    for width in (3, 8):
+        found = draw.normal(size=(9, width))
+        found /= np.linalg.norm(found, axis=1, keepdims=True)
+        points = draw.normal(size=(700, width))
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        own, guest = vd.visited_cells(points, found)
+        one, other = np.nonzero(points @ points.T >= vd.THRESHOLD)
+        met = guest[one, own[other]].astype(int) + guest[other, own[one]]
+        assert (met == (own[one] != own[other])).all()
+
+
 def test_no_vectors_to_compare(spark):
     assert vd.near_duplicate_vectors(table(spark, [])).collect() == []
     assert {r.n_links for r in vd.near_duplicate_vectors(table(spark, ODD)).collect()} == {0}
