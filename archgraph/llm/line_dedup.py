@@ -1,14 +1,18 @@
 """Removal of boilerplate lines that spread over many sites.
 
-A line is compared by its text without blanks at its ends. Two HyperLogLog
-sketches per line are merged by aggregation: of the sites that hold it, and of
-the documents that hold it, where near copies count once (a document stands for
-itself by the smallest hash of its five-word shingles, which near copies mostly
-share). Lines whose estimates are too near a threshold to be sure get exact
-distinct counts. A line is boilerplate if it is on at least ``MIN_SITES`` sites
-and at least ``INDEPENDENT`` of its documents are independent: lines that are
-widespread only because whole documents were copied stay, for near-duplicate
-removal to judge with their document.
+A line is compared by its text without blanks at its ends. A HyperLogLog sketch
+of the sites that hold it is merged by aggregation; lines whose estimate is too
+near the threshold to be sure get exact distinct counts. Lines on at least
+``MIN_SITES`` sites are candidates.
+
+A candidate is boilerplate if ``MIN_SITES`` independent documents can be named
+that hold it on as many different sites. Near copies count as one document,
+which can be named for any one of its sites: lines that are widespread only
+because whole documents were copied stay, for near-duplicate removal to judge
+with their document, and copies outvote nothing. Documents are copies if the
+smallest hashes of the five-word shingles of their lines are equal, candidates
+left out, so a passage that unrelated documents share does not make them
+copies. A document of candidates only is known by all of its shingles.
 
 Boilerplate lines are removed from all documents. A document's other lines stay
 as they are. Blank lines are never removed. A null site is a site of its own.
@@ -19,16 +23,17 @@ these names.
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archgraph.llm.near_duplicates import shingle_sets
-from archgraph.llm.sized import bounded_batches
-from archgraph.llm.text import BLANK, byte_table, hash_spans, row_offsets, spans, text_slices
+from archgraph.llm.sized import bounded_batches, broadcast_if_small
+from archgraph.llm.text import BLANK, LOWER, NOT_BLANK, byte_table, hash_spans, row_offsets, shingles, spans, text_slices
 from archgraph.session import materialize
 
 MIN_SITES = 10
-INDEPENDENT = 0.5
+INDEPENDENT = True  # near copies count as one document
 SHINGLE_WORDS = 5
 SKETCH_BITS = 10
 SENT_LINES = 1 << 21  # boilerplate hashes that are sent to every task: at most 16 MB
@@ -49,49 +54,123 @@ def trimmed_lines(data, offsets):
     return word[low[some]], word[high[some]] + 1, row[some]
 
 
+def _least(hashes, counts):
+    """The smallest of every row's hashes, 0 for rows without any."""
+    out = np.zeros(len(counts), dtype=np.uint64)
+    if (counts > 0).any():
+        out[counts > 0] = np.minimum.reduceat(hashes, row_offsets(counts)[:-1][counts > 0])
+    return out.view(np.int64)
+
+
+def _line_least(data, offsets, start, end):
+    """The smallest shingle hash of every line."""
+    if not len(start):
+        return np.zeros(0, dtype=np.int64)
+    lower = LOWER[data]
+    first, last, _ = spans(lower, offsets, NOT_BLANK)
+    counts = np.searchsorted(first, end) - np.searchsorted(first, start)
+    return _least(*shingles(hash_spans(lower, first, last), counts, SHINGLE_WORDS))
+
+
 def line_rows(docs, id_column, site, text):
-    """``key``, ``text_hash``, ``site``, ``line`` (its hash), ``stands_for``: one row per document and distinct line."""
+    """``key``, ``text_hash``, ``site``, ``line`` (its hash), ``least`` and ``whole`` (smallest shingle hash of the line and of the document): one row per document and distinct line."""
     rows = docs.select(
         F.col(f"`{id_column}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"),
         F.coalesce(F.concat(F.lit("s"), F.col(f"`{site}`").cast("string")), F.lit("n")).alias("site"), F.col(f"`{text}`").alias("text"),
     )
-    schema = T.StructType([rows.schema["key"], *T.StructType.fromDDL("text_hash long, site string, line long, stands_for long").fields])
+    schema = T.StructType([rows.schema["key"], *T.StructType.fromDDL("text_hash long, site string, line long, least long, whole long").fields])
 
     def cut(batches):
         for batch in batches:
             for first, data, offsets in text_slices(batch.column("text")):
                 start, end, row = trimmed_lines(data, offsets)
                 line = hash_spans(data, start, end).view(np.int64)
+                sets, counts = shingle_sets(data, offsets, SHINGLE_WORDS)
+                whole = _least(sets, counts)
+                least = _line_least(data, offsets, start, end)
                 order = np.lexsort((line, row))
-                line, row = line[order], row[order]
+                line, row, least = line[order], row[order], least[order]
                 fresh = np.ones(len(line), dtype=bool)
                 fresh[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
-                line, row = line[fresh], row[fresh]
-                sets, counts = shingle_sets(data, offsets, SHINGLE_WORDS)
-                least = np.zeros(len(counts), dtype=np.uint64)
-                least[counts > 0] = sets[row_offsets(counts)[:-1][counts > 0]]
+                line, row, least = line[fresh], row[fresh], least[fresh]
                 at = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("key").take(at), batch.column("text_hash").take(at), batch.column("site").take(at), pa.array(line), pa.array(least.view(np.int64)[row]),
+                    batch.column("key").take(at), batch.column("text_hash").take(at), batch.column("site").take(at), pa.array(line), pa.array(least), pa.array(whole[row]),
                 ], names=schema.fieldNames())
 
     return rows.mapInArrow(cut, schema)
 
 
+def wide_lines(lines, min_sites=MIN_SITES):
+    """``line``: hashes of the lines on at least ``min_sites`` sites."""
+    sketched = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sites"), F.count(F.lit(1)).alias("held"))
+    measured = sketched.select("line", "held", F.hll_sketch_estimate("sites").alias("sites"))
+    possible = (F.col("held") >= min_sites) & (F.col("sites") >= min_sites * (1 - UNSURE))
+    sure = F.col("sites") >= min_sites * (1 + UNSURE)
+    likely = materialize(measured.where(possible).select("line", sure.alias("sure")), "likely-lines")
+    unsure = lines.join(likely.where("not sure").select("line"), "line")
+    sites = unsure.groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
+    return materialize(likely.where("sure").select("line").union(sites.where(F.col("sites") >= min_sites).select("line")), "wide-lines")
+
+
+def held_lines(lines, wide):
+    """``line``, ``site``, ``stands_for``: by which documents the wide lines are held, near copies as one."""
+    doc = F.xxhash64("key", "text_hash").alias("doc")
+    marked = lines.select(doc, "site", "line", "least", "whole").join(broadcast_if_small(wide.withColumn("wide", F.lit(True))), "line", "left")
+    own = marked.groupBy("doc").agg(F.min(F.when(F.col("wide").isNull(), F.col("least"))).alias("own"), F.count("wide").alias("held")).where("held > 0 and own is not null")
+    own = materialize(own.select("doc", "own"), "own-lines")
+    named = marked.where("wide").join(own, "doc", "left")
+    return named.select("line", "site", F.coalesce("own", "whole").alias("stands_for")).distinct()
+
+
 def boilerplate_lines(lines, min_sites=MIN_SITES, independent=INDEPENDENT):
     """``line``: hashes of the boilerplate lines."""
-    sketched = lines.groupBy("line").agg(
-        F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sites"), F.hll_sketch_agg("stands_for", F.lit(SKETCH_BITS)).alias("documents"), F.count(F.lit(1)).alias("held")
-    )
-    measured = sketched.select("line", "held", F.hll_sketch_estimate("sites").alias("sites"), F.hll_sketch_estimate("documents").alias("documents"))
-    possible = (F.col("held") >= min_sites) & (F.col("sites") >= min_sites * (1 - UNSURE)) & (F.col("documents") >= F.col("held") * independent * (1 - UNSURE))
-    sure = (F.col("sites") >= min_sites * (1 + UNSURE)) & (F.col("documents") >= F.col("held") * independent * (1 + UNSURE))
-    wide = materialize(measured.where(possible).select("line", sure.alias("sure")), "wide-lines")
-    unsure = lines.join(wide.where("not sure").select("line"), "line")
-    sites = unsure.groupBy("line", "site").agg(F.count(F.lit(1)).alias("held")).groupBy("line").agg(F.count(F.lit(1)).alias("sites"), F.sum("held").alias("held"))
-    documents = unsure.groupBy("line", "stands_for").agg(F.lit(1)).groupBy("line").agg(F.count(F.lit(1)).alias("documents"))
-    exact = sites.join(documents, "line").where((F.col("sites") >= min_sites) & (F.col("documents") >= F.col("held") * independent))
-    return materialize(wide.where("sure").select("line").union(exact.select("line")), "boilerplate-lines")
+    wide = wide_lines(lines, min_sites)
+    if not independent or wide.isEmpty():
+        return wide
+    held = materialize(held_lines(lines, wide), "held-lines")
+    one_site = held.groupBy("line", "stands_for").agg(F.min_by("site", F.xxhash64("site", "stands_for")).alias("site"))
+    sites = one_site.groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
+    sites = materialize(sites.select("line", (F.col("sites") >= min_sites).alias("sure")), "independent-sites")
+    named = named_on_sites(held.join(sites.where("not sure").select("line"), "line"), min_sites)
+    return materialize(sites.where("sure").select("line").union(named), "boilerplate-lines")
+
+
+def named_on_sites(held, min_sites):
+    """``line`` of those for which ``min_sites`` pairs of ``held`` have no document and no site in common.
+
+    More than ``min_sites`` pairs of one document or of one site are of no
+    use to that: with those alone all others could be paired first. Of what is
+    left, ``min_sites`` squared pairs always hold enough, so no list is longer.
+    """
+    for one, other in (("stands_for", "site"), ("site", "stands_for")):
+        turn = F.row_number().over(Window.partitionBy("line", one).orderBy(F.xxhash64(other), other))
+        held = held.withColumn("turn", turn).where(F.col("turn") <= min_sites).drop("turn")
+    held = materialize(held, "pairs-of-lines")
+    counts = materialize(held.groupBy("line").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= min_sites), "numbers-of-pairs")
+    enough = F.col("pairs") >= min_sites**2
+    few = held.join(counts.where(~enough).select("line"), "line").groupBy("line").agg(F.collect_list(F.struct("stands_for", "site")).alias("pairs"))
+    paired = F.udf(lambda pairs: _most_pairs(pairs) >= min_sites, "boolean")
+    return counts.where(enough).select("line").union(few.where(paired("pairs")).select("line"))
+
+
+def _most_pairs(pairs):
+    """The most pairs without a common document or site, by augmenting paths."""
+    sites = {}
+    for document, site in pairs:
+        sites.setdefault(document, []).append(site)
+    holder = {}
+
+    def place(document, tried):
+        for site in sites[document]:
+            if site not in tried:
+                tried.add(site)
+                if site not in holder or place(holder[site], tried):
+                    holder[site] = document
+                    return True
+        return False
+
+    return sum(place(document, set()) for document in sites)
 
 
 def remove_boilerplate(docs, id_column="doc_id", site="source", text="text", min_sites=MIN_SITES, independent=INDEPENDENT):

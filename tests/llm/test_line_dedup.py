@@ -61,6 +61,31 @@ def test_unsure_lines_are_counted_exactly(make, monkeypatch):
         assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in ld.remove_boilerplate(make(rows)).collect()) == expected
 
 
+def test_copies_do_not_outvote_independent_documents(make):
+    words = lambda i: f"only document {i} has these words x{i} y{i}"
+    rows = [(i, f"{words(i)}\nCommon footer", f"s{i % 20}") for i in range(100)]
+    rows += [(1000 + i, f"{words(-1)}\nCommon footer", f"s{i % 20}") for i in range(400)]
+    found = {r.doc_id: r.text for r in ld.remove_boilerplate(make(rows)).collect()}
+    assert found == {i: text.split("\n")[0] for i, text, _ in rows}
+
+
+def test_a_shared_passage_does_not_make_documents_copies(make):
+    passage = [" ".join(f"p{line}w{i}" for i in range(40)) for line in range(6)]
+    rows = [(i, "\n".join([f"short own text {i} here q{i}", *passage]), f"s{i % 20}") for i in range(60)]
+    found = {r.doc_id: r.text for r in ld.remove_boilerplate(make(rows)).collect()}
+    assert found == {i: text.split("\n")[0] for i, text, _ in rows}
+
+
+def test_copies_are_one_document_on_one_site(make):
+    own = lambda i: f"own text of group {i} g{i} h{i}"
+    rows = [(100 * g + c, f"{own(g)}\nTen groups", f"s{c}") for g in range(10) for c in range(10)]
+    rows += [(2000 + 100 * g + c, f"{own(50 + g)}\nNine groups", f"s{c}") for g in range(9) for c in range(20)]
+    rows += [(5000 + c, f"{own(80)}\nOne site else", f"s{c}") for c in range(10)] + [(6000 + c, f"{own(90 + c)}\nOne site else", "s0") for c in range(20)]
+    found = {r.doc_id: (r.text, r.n_removed) for r in ld.remove_boilerplate(make(rows)).collect()}
+    gone = {i for i, (_, removed) in found.items() if removed}
+    assert gone == {i for i, text, _ in rows if text.endswith("Ten groups")}
+
+
 def test_odd_documents(odd, nothing, make):
     found = ld.remove_boilerplate(odd, min_sites=2, independent=0.0)
     assert found.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_removed"]
