@@ -8,8 +8,9 @@ their means over all chunks give one probability. Only the bytes are input.
 
 The network is fitted on the driver to a bounded sample: at most
 ``SAMPLE_DOCS`` labelled documents of each class and ``SAMPLE_CHUNKS`` random
-chunks of each. Class shares come from all usable labels. Scoring reads every
-byte of every text, in one map without a shuffle.
+chunks of each; of a repeated id one text is taken. Class shares come from all
+usable labels. Scoring reads every byte of every text, in one map without a
+shuffle.
 
 Null and empty texts are one chunk of padding. Documents whose labels
 contradict each other count by the majority; ties are good. Without labels of
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 
 from archgraph.llm.sized import bounded_batches
 from archgraph.llm.text import text_slices
+from archgraph.session import materialize
 
 WIDTH = 5
 FILTERS = 16
@@ -65,13 +67,19 @@ def sample_chunks(docs, labels, id_column="doc_id", text="text"):
     ]
     drawn = drawn[0].union(drawn[1])  # at most 2 * SAMPLE_DOCS rows of two numbers
     rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(drawn), "doc_id")
+    text_hash = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")
+    one_text = rows.select("doc_id", text_hash).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
 
     def cut(batches):
+        seen = set()  # at most as many as drawn ids
         for batch in batches:
             for first, data, offsets in text_slices(batch.column("text")):
                 for row in range(len(offsets) - 1):
                     own = data[offsets[row] : offsets[row + 1]]
                     doc_id = batch.column("doc_id")[first + row].as_py()
+                    if doc_id in seen:
+                        continue
+                    seen.add(doc_id)
                     draw = np.random.default_rng([SEED, zlib.crc32(str(doc_id).encode())])
                     last = max(0, len(own) - _CHUNK // 2)
                     begins = np.unique(draw.integers(0, last + 1, SAMPLE_CHUNKS)) if last else np.zeros(1, dtype=int)
@@ -81,7 +89,11 @@ def sample_chunks(docs, labels, id_column="doc_id", text="text"):
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first + row, 1), batch.column("good").slice(first + row, 1), pa.array([pieces], pa.binary())], names=["doc_id", "good", "pieces"])
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("good", T.IntegerType()), T.StructField("pieces", T.BinaryType())])
-    found = sorted(rows.select("doc_id", "good", "text").mapInArrow(cut, schema).collect(), key=lambda r: (str(r.doc_id), bytes(r.pieces)))
+    # A repeated id gives one row: its smallest text hash, and one of the rows with equal texts.
+    wanted = materialize(one_text, "sampled-ids")  # at most as many rows as drawn ids
+    own = rows.select("doc_id", "good", "text", text_hash).join(F.broadcast(wanted), ["doc_id", "text_hash"])
+    cuts = own.select("doc_id", "good", "text").mapInArrow(cut, schema)
+    found = sorted(cuts.groupBy("doc_id", "good").agg(F.min("pieces").alias("pieces")).collect(), key=lambda r: (str(r.doc_id), bytes(r.pieces)))
     width = _CHUNK + WIDTH - 1
     pieces = [np.frombuffer(bytes(r.pieces), dtype=np.uint8).reshape(-1, width) for r in found]
     owner = np.repeat(np.arange(len(found)), [len(p) for p in pieces])

@@ -37,6 +37,19 @@ def test_held_out_rows_are_never_learned_from(tables):
     assert {zlib.crc32(str(r.doc_id).encode()) % 4 for r in usable.collect()} == {0, 1, 3}
 
 
+def test_a_repeated_id_is_sampled_once(make, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    usable = {r.doc_id for r in ql.usable_labels(labels).collect()}
+    often = min(usable)
+    rows = [(i, f"text {i} " * 20, "a") for i in range(40)] + [(often, f"text {often} " * (20 + i % 3), "a") for i in range(300)]
+    docs = make(rows).repartition(3)
+    chunks, owner, good, _ = ql.sample_chunks(docs, labels)
+    assert len(good) == len(usable) == len(set(owner.tolist()))
+    assert len(chunks) <= ql.SAMPLE_CHUNKS * len(usable)
+    again = ql.sample_chunks(docs.repartition(5), labels)
+    assert all(np.array_equal(a, b) for a, b in zip((chunks, owner, good), again))
+
+
 def test_scores_do_not_depend_on_batches_and_see_the_end(fitted):
     model, _ = fitted
     tables_ = ql._tables(model)
