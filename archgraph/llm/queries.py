@@ -4,6 +4,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
 from archgraph.llm import statements
+from archgraph.llm.curve_packing import pack_along_curve
 from archgraph.llm.language_model import fit_language_model, language_scores
 from archgraph.llm.licenses import license_places, license_summary
 from archgraph.llm.line_dedup import remove_boilerplate
@@ -77,8 +78,14 @@ def op10_license_scan(spark, sf_dir):
     return license_summary(license_places(table(spark, sf_dir, "documents")))
 
 
+def op13_curve_packing(spark, sf_dir):
+    pieces = pack_along_curve(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_embedding_near_dedup, op3_language_model_scores, op4_line_dedup, op5_mix_sources, op6_token_files, op7_minhash_near_dedup, op8_nearest_neighbours, op9_quality_classifier, op10_license_scan,
+    op13_curve_packing,
 )}
 
 

@@ -1,5 +1,7 @@
 """Bounds: broadcasts behind a count of the rows, and the size of Arrow batches."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 400_000  # of a few numbers each: at most some 30 MB
@@ -18,6 +20,17 @@ def bounded_batches(spark):
         spark.conf.set(_BATCH_SETTING, str(ARROW_BYTES))
 
 
+@contextmanager
+def scoped_batches(spark):
+    """The same bound for the jobs run inside the block; the session keeps its own setting afterwards."""
+    before = spark.conf.get(_BATCH_SETTING)
+    bounded_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
 def broadcast_if_small(written, rows=None):
     """A written table of narrow rows, sent to all tasks if it has few rows; else left to a shuffle join."""
     most = BROADCAST_ROWS if rows is None else rows
