@@ -8,11 +8,13 @@ from archgraph.llm.curve_packing import pack_along_curve
 from archgraph.llm.language_model import fit_language_model, language_scores
 from archgraph.llm.licenses import license_places, license_summary
 from archgraph.llm.line_dedup import remove_boilerplate
+from archgraph.llm.max_sketches import best_documents
 from archgraph.llm.mixing import mix_sources
 from archgraph.llm.near_duplicates import near_duplicates
 from archgraph.llm.nearest import nearest
 from archgraph.llm.packing import pack, token_pieces
 from archgraph.llm.quality import HELD_OUT, fit_quality, quality_scores, remainder
+from archgraph.llm.spelling import spelling_variants
 from archgraph.llm.token_files import read_token_files, write_token_files
 from archgraph.llm.vector_duplicates import near_duplicate_vectors
 from archgraph.session import materialize, new_folder
@@ -78,6 +80,14 @@ def op10_license_scan(spark, sf_dir):
     return license_summary(license_places(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_max_sketch_search(spark, sf_dir):
+    return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_curve_packing(spark, sf_dir):
     pieces = pack_along_curve(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -85,8 +95,8 @@ def op13_curve_packing(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_embedding_near_dedup, op3_language_model_scores, op4_line_dedup, op5_mix_sources, op6_token_files, op7_minhash_near_dedup, op8_nearest_neighbours, op9_quality_classifier, op10_license_scan,
-    op13_curve_packing,
+    op11_spelling_variants, op12_max_sketch_search, op13_curve_packing,
 )}
 
 
-STATEMENTS = {"op5_mix_sources": statements.MIX}
+STATEMENTS = {"op5_mix_sources": statements.MIX, "op11_spelling_variants": statements.VARIANTS, "op12_max_sketch_search": statements.RANK}
