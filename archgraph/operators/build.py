@@ -19,7 +19,12 @@ def build_nodes(symbols: DataFrame) -> DataFrame:
 
 
 def build_edges(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Resolved relationships between known nodes, and repository-to-file edges.
+    """Resolved relationships between known nodes, and repository-to-file edges."""
+    return relationship_edges(nodes, resolved).unionByName(repository_edges(nodes))
+
+
+def relationship_edges(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Resolved relationships between known nodes.
 
     An edge is (source, type, target, line); of several the last one's file
     and confidence count. Both joins have one row per key on the node side.
@@ -43,9 +48,12 @@ def build_edges(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
             F.col("start_line").alias(f"{side}_start"),
         )
 
-    between = keyed.join(ends("src"), "src").join(ends("dst"), "dst")
-    names = EDGES.fieldNames()
-    to_files = nodes.filter(F.col("symbol_type") == "file").select(
+    return keyed.join(ends("src"), "src").join(ends("dst"), "dst").select(*EDGES.fieldNames())
+
+
+def repository_edges(nodes: DataFrame) -> DataFrame:
+    """The edge from a repository to each of its files: columns of the file's node, no join."""
+    return nodes.filter(F.col("symbol_type") == "file").select(
         "repo_id", F.col("repo_id").alias("src"), F.col("uid").alias("dst"),
         F.lit("CONTAINS").alias("relationship_type"), F.lit(None).cast("string").alias("source_file"),
         F.lit(None).cast("int").alias("source_line"), F.lit(None).cast("double").alias("confidence"),
@@ -53,8 +61,7 @@ def build_edges(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("src_path"), F.lit(None).cast("int").alias("src_start"),
         F.col("symbol_type").alias("dst_type"), F.col("qualified_name").alias("dst_name"),
         F.col("file_path").alias("dst_path"), F.col("start_line").alias("dst_start"),
-    )
-    return between.select(*names).unionByName(to_files.select(*names))
+    ).select(*EDGES.fieldNames())
 
 
 def graph_counts(symbols: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -1,15 +1,14 @@
-"""Degrees, symbol search and neighbourhoods."""
+"""Degrees, starting points and neighbourhoods."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.functions.text import contains_ignoring_case, is_test_path, strip
+from archgraph.functions.text import is_test_path
 from archgraph.operators.topk import top_k
-from archgraph.schemas import DEFINITION_TYPES, REPOSITORY_NODE, SEARCHABLE_TYPES
+from archgraph.schemas import DEFINITION_TYPES, REPOSITORY_NODE
 from archgraph.session import materialize
 
 # Default numbers of rows.
-SEARCH_LIMIT = 20
 SUGGESTION_LIMIT = 6
 OUTGOING_LIMIT = 8
 INCOMING_LIMIT = 5
@@ -55,28 +54,6 @@ def suggest_symbols(nodes: DataFrame, edges: DataFrame, limit: int = SUGGESTION_
     return best.join(shown, "uid")
 
 
-def search_symbols(nodes: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """Case-insensitive substring search; queries are (query_id, repo_id, query).
-
-    An equi-join on the repository whose residual condition is the match, so
-    only matches leave the join.
-    """
-    asked = (
-        queries.select("query_id", "repo_id", strip(F.col("query")).alias("query"))
-        .filter(F.col("query") != "")
-        .withColumnRenamed("repo_id", "query_repo")
-    )
-    shown = nodes.filter(F.col("symbol_type").isin(*SEARCHABLE_TYPES)).select(
-        "repo_id", "uid", "symbol_type", "name", "qualified_name", "file_path", "start_line"
-    )
-    matches = shown.join(
-        asked,
-        (F.col("repo_id") == F.col("query_repo"))
-        & contains_ignoring_case(F.col("qualified_name"), F.col("query")),
-    ).drop("query_repo")
-    return top_k(matches, ["query_id"], [F.length("qualified_name"), F.col("uid")], limit)
-
-
 def neighbourhood(edges: DataFrame, uids: DataFrame, outgoing=OUTGOING_LIMIT, incoming=INCOMING_LIMIT) -> DataFrame:
     """Up to 8 outgoing edges and 5 incoming calls of every uid.
 

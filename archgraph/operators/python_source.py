@@ -146,6 +146,10 @@ _STRINGS = re.compile(
 )
 _CONTINUES = re.compile(r"(?:else|elif|except|finally)\b|[)\]}]")
 _HEADER = re.compile(r"(?:async\s+def|def|class)\b")
+_CLAUSE = re.compile(r"(?:async\s+)?(if|elif|else|for|while|try|except|finally|with|match|case)\b")
+# What a clause's word is read as, at the same columns, so that its expressions parse alone.
+_READ_AS = {"elif": "if  ", "match": "while"}
+_WITHOUT_EXPRESSION = {"else", "try", "except", "finally", "case"}
 
 
 def _inside_strings(source):
@@ -185,7 +189,7 @@ def _parsed(lines, first, last, indent, more=()):
 
 
 def _recovered(lines, first, last, indent, inside):
-    """Statements of every block that parses; a class or function that does not keeps what parses inside."""
+    """Statements of every block that parses; of a compound one that does not, what parses inside."""
     found = []
     for begin, end in _blocks(lines, first, last, indent, inside):
         body = _parsed(lines, begin, end, indent)
@@ -196,21 +200,57 @@ def _recovered(lines, first, last, indent, inside):
 def _salvaged(lines, first, last, indent, inside):
     while last > first and not lines[last - 1].strip():
         last -= 1
+    if first < last and _CLAUSE.match(lines[first].strip()):
+        return _clauses(lines, first, last, indent, inside)
     header = next((i for i in range(first, last) if i not in inside and _HEADER.match(lines[i].strip())), None)
     if header is None or _indent(lines[header]) != indent:
         return []
+    node, end = _header(lines, first, header, last, indent)
+    if node is None:
+        return []
+    node[-1].body = _body(lines, end, last, indent, inside)
+    node[-1].end_lineno = last
+    return node
+
+
+def _header(lines, first, header, last, indent):
+    """The statement that the line ``header`` opens, with an empty body, and the line after; lines from ``first`` on decorate it."""
     for end in range(header + 1, last + 1):
         node = _parsed(lines, first, end, indent, [lines[header][:indent] + " pass"])
         if node is not None:
-            break
+            return node, end
         if end < last and lines[end].strip() and _indent(lines[end]) <= indent and not _CONTINUES.match(lines[end].strip()):
-            return []
-    else:
-        return []
-    inner = next((_indent(line) for i, line in enumerate(lines[end:last], end) if line.strip() and i not in inside), 0)
-    node[-1].body = _recovered(lines, end, last, inner, inside) if inner > indent else []
-    node[-1].end_lineno = last
-    return node
+            break
+    return None, first
+
+
+def _body(lines, first, last, indent, inside):
+    inner = next((_indent(line) for i, line in enumerate(lines[first:last], first) if line.strip() and i not in inside), 0)
+    return _recovered(lines, first, last, inner, inside) if inner > indent else []
+
+
+def _clauses(lines, first, last, indent, inside):
+    """What parses inside of every clause of an if, loop, try, with or match, and the clauses' own expressions."""
+    starts = [first] + [i for i in range(first + 1, last)
+                        if i not in inside and _indent(lines[i]) == indent and _CLAUSE.match(lines[i].strip())]
+    found = []
+    for begin, end in zip(starts, [*starts[1:], last]):
+        word = _CLAUSE.match(lines[begin].strip()).group(1)
+        node, after = None, begin
+        if word not in _WITHOUT_EXPRESSION:
+            plain = lines[begin]
+            lines[begin] = lines[begin].replace(word, _READ_AS.get(word, word), 1)
+            node, after = _header(lines, begin, begin, end, indent)
+            lines[begin] = plain
+        if node is None:  # the clause has no expression, or the fault is in it
+            after = next((i + 1 for i in range(begin, end) if i not in inside and lines[i].split("#")[0].rstrip().endswith(":")), end)
+        body = _body(lines, after, end, indent, inside)
+        if node is None:
+            found.extend(body)
+        else:
+            node[-1].body = body
+            found.extend(node)
+    return found
 
 
 def _statements(source):
@@ -227,8 +267,9 @@ def extract_python(path: str, source: str):
     """Yield ('symbol' | 'relationship' | 'error', fields) in emission order.
 
     A file that does not parse as a whole gives one error and all that parses:
-    statements are taken one by one, and a class or function with a fault
-    inside keeps its own symbol and its other statements.
+    statements are taken one by one, at any depth. A class or function with a
+    fault inside keeps its own symbol, and an if, loop, try, with or match the
+    statements of its clauses.
     """
     source = source.removeprefix("\ufeff")
     module = module_name(path)

@@ -1,4 +1,12 @@
-"""TF-IDF index and exact cosine search, one corpus per repository."""
+"""TF-IDF index and exact cosine search, one corpus per repository.
+
+The index keeps, for blocks of neighbouring documents, the greatest weight of
+every term. A question's weights times these bound the score of every document
+of a block. The blocks of highest bounds are scored first; the k-th score found
+there is a threshold, and blocks that cannot reach it are never scored. (Block
+maxima: Ding, Suel, "Faster top-k document retrieval using block-max indexes",
+SIGIR 2011.)
+"""
 
 from typing import NamedTuple
 
@@ -25,11 +33,14 @@ SQUARES = "decimal(28,9)"
 # Cosines of a matrix product agree to this, wherever in a block a vector stands.
 DENSE_UNITS = 1e12
 QUERIES_SENT = 2_000
+# A block has at most 2 ** BLOCK_BITS documents, neighbours in the order of their ids.
+BLOCK_BITS = 5
 
 
 class TfidfIndex(NamedTuple):
     vocabulary: DataFrame  # repo_id, term, df, total, idf
-    weights: DataFrame  # repo_id, doc_id, term, weight (unit length per document)
+    weights: DataFrame  # repo_id, block, doc_id, term, weight (unit length per document)
+    blocks: DataFrame  # repo_id, block, term, top_weight
     docs: DataFrame  # repo_id, doc_id
 
 
@@ -69,32 +80,46 @@ def _length(raw):
 
 
 def fit_tfidf(docs: DataFrame, max_terms: int | None = None) -> TfidfIndex:
-    """Build the index over docs (repo_id, doc_id, text); idf = ln((1 + n) / (1 + df)) + 1.
+    """Build the index over docs (repo_id, doc_id, text)."""
+    return index_of_counts(materialize(term_counts(docs, ["repo_id", "doc_id"]), "tfidf-counts"), docs.select("repo_id", "doc_id"), max_terms)
+
 
-    The vocabulary of a repository holds all its terms; with ``max_terms``
-    those of most occurrences, ties by term.
+def term_vocabulary(counts: DataFrame, docs: DataFrame, max_terms: int | None = None) -> DataFrame:
+    """Terms of every repository with their idf = ln((1 + n) / (1 + df)) + 1.
+
+    All terms; with ``max_terms`` those of most occurrences, ties by term.
     """
-    counts = materialize(term_counts(docs, ["repo_id", "doc_id"]), "tfidf-counts")
     sizes = docs.groupBy("repo_id").agg(F.count("*").alias("n"))
     per_term = counts.groupBy("repo_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     best = per_term
     if max_terms is not None:
         best = top_k(per_term, ["repo_id"], [F.col("total").desc(), F.col("term")], max_terms).drop("rank")
-    vocabulary = materialize(
-        best.join(sizes, "repo_id").select(
-            "repo_id", "term", "df", "total",
-            (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")),
-        "tfidf-vocabulary",
-    )
+    return best.join(sizes, "repo_id").select(
+        "repo_id", "term", "df", "total", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def index_of_counts(counts: DataFrame, docs: DataFrame, max_terms: int | None = None) -> TfidfIndex:
+    """The index from counts (repo_id, doc_id, term, tf) and all documents (repo_id, doc_id); no text is read."""
+    vocabulary = materialize(term_vocabulary(counts, docs, max_terms), "tfidf-vocabulary")
     # A document has at most as many rows here as distinct words, which bounds the window.
     whole = Window.partitionBy("repo_id", "doc_id")
     raw = counts.join(vocabulary, ["repo_id", "term"]).select(
         "repo_id", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    unit = raw.withColumn("weight", F.col("raw") / _length(F.col("raw"))(whole)).drop("raw")
     weights = materialize(
-        raw.withColumn("weight", F.col("raw") / _length(F.col("raw"))(whole)).drop("raw"),
-        "tfidf-weights",
-    )
-    return TfidfIndex(vocabulary, weights, docs.select("repo_id", "doc_id"))
+        unit.join(document_blocks(docs), ["repo_id", "doc_id"]).select("repo_id", "block", "doc_id", "term", "weight"), "tfidf-weights")
+    return TfidfIndex(vocabulary, weights, materialize(block_maxima(weights), "tfidf-blocks"), docs)
+
+
+def document_blocks(docs: DataFrame, bits: int | None = None) -> DataFrame:
+    """Written ``repo_id, doc_id, block``: neighbours in the order of ids share a block; no task orders a whole repository."""
+    place = F.monotonically_increasing_id()  # rises along the range partitions
+    ordered = docs.select("repo_id", "doc_id").distinct().repartitionByRange("repo_id", "doc_id").sortWithinPartitions("repo_id", "doc_id")
+    return materialize(ordered.withColumn("block", F.shiftright(place, BLOCK_BITS if bits is None else bits)), "tfidf-docs")
+
+
+def block_maxima(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("repo_id", "block", "term").agg(F.max("weight").alias("top_weight"))
 
 
 def question_weights(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -106,23 +131,56 @@ def question_weights(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return raw.withColumn("query_weight", F.col("raw") / _length(F.col("raw"))(whole)).drop("raw")
 
 
+def _products(weight: str):
+    """Sum of the products with the question's weights; a greater weight never gives a smaller sum."""
+    return F.sum(F.floor(F.col(weight) * F.col("query_weight") * float(SCORE_UNITS))) / float(SCORE_UNITS)
+
+
+def block_bounds(asked: DataFrame, index: TfidfIndex) -> DataFrame:
+    """The most that a document of each block can score: query_id, repo_id, block, bound; blocks without a term are absent."""
+    return index.blocks.join(asked, ["repo_id", "term"]).groupBy("query_id", "repo_id", "block").agg(_products("top_weight").alias("bound"))
+
+
+def scored_blocks(asked: DataFrame, index: TfidfIndex, chosen: DataFrame) -> DataFrame:
+    """Exact scores of the documents of the chosen (query_id, repo_id, block): query_id, repo_id, doc_id, score."""
+    terms = chosen.select("query_id", "repo_id", "block").join(asked, ["query_id", "repo_id"])
+    return index.weights.join(terms, ["repo_id", "block", "term"]).groupBy("query_id", "repo_id", "doc_id").agg(_products("weight").alias("score"))
+
+
+def best_scores(asked: DataFrame, index: TfidfIndex, k: int) -> DataFrame:
+    """Exact scores of all documents that can be among the k best of a question, and of few others.
+
+    The k blocks of highest bounds hold at least k documents with a common
+    term, if there are so many; the k-th best of them is the threshold. Of the
+    other blocks only those with a bound at or above it are scored.
+    """
+    key = ["query_id", "repo_id"]
+    bounds = materialize(block_bounds(asked, index), "block-bounds")
+    ranked = top_k(bounds, key, [F.col("bound").desc(), F.col("block")], k)
+    first = materialize(ranked, "first-blocks")
+    scores = materialize(scored_blocks(asked, index, first), "first-scores")
+    kth = top_k(scores, key, [F.col("score").desc(), F.col("doc_id")], k).filter(F.col("rank") == k)
+    threshold = materialize(kth.select(*key, F.col("score").alias("threshold")), "thresholds")
+    left = (
+        bounds.join(threshold, key, "left").filter(F.col("bound") >= F.coalesce("threshold", F.lit(0.0)))
+        .join(first, [*key, "block"], "left_anti")
+    )
+    left = materialize(left.select(*key, "block"), "later-blocks")
+    return scores if left.isEmpty() else scores.unionByName(scored_blocks(asked, index, left))
+
+
 def search(questions: DataFrame, index: TfidfIndex, k: int = TOP_K, pad: bool = False) -> DataFrame:
     """Exact top k by cosine: query_id, repo_id, doc_id, score, rank.
 
-    Question and document terms meet in an equi-join; the products are summed
-    per (question, document) with a map-side combine. With ``pad`` a question
-    always gets k hits (or all documents): documents without a common term
-    follow at score 0 in document order, of which the first k of a repository
-    are always enough.
+    Only documents of blocks that can hold a hit are scored; their terms meet
+    those of the question in an equi-join, and the products are summed with a
+    map-side combine. With ``pad`` a question always gets k hits (or all
+    documents): documents without a common term follow at score 0 in document
+    order, of which the first k of a repository are always enough.
     """
     asked = materialize(question_weights(questions, index.vocabulary), "question-weights")
-    scored = (
-        index.weights.join(asked, ["repo_id", "term"])
-        .groupBy("query_id", "repo_id", "doc_id")
-        .agg((F.sum(F.floor(F.col("weight") * F.col("query_weight") * float(SCORE_UNITS))) / float(SCORE_UNITS)).alias("score"))
-    )
     order = [F.col("score").desc(), F.col("doc_id")]
-    hits = top_k(scored, ["query_id", "repo_id"], order, k)
+    hits = top_k(best_scores(asked, index, k), ["query_id", "repo_id"], order, k)
     if not pad:
         return hits
     first = top_k(index.docs, ["repo_id"], [F.col("doc_id")], k).drop("rank")
@@ -143,29 +201,40 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, rows_pe
     multiplied with the vectors where those are; a task keeps k rows per query
     and only they are shuffled. More queries meet the vectors block by block.
     Both ways give the same rows.
+
+    Vectors that are null or empty, or hold null or non-finite components, take
+    no part, and a query meets vectors of its own number of dimensions only. A
+    zero vector scores 0 with all.
     """
-    asked = queries.select("query_id", "repo_id", "embedding")
+    asked = _comparable(queries.select("query_id", "repo_id", "embedding"))
+    stored = _comparable(vectors.select("repo_id", "vec_id", "embedding"))
     if asked.limit(queries_sent + 1).count() <= queries_sent:
-        found = _best_in_place(asked, vectors.select("repo_id", "vec_id", "embedding"), k)
+        found = _best_in_place(asked, stored, k)
     else:
-        found = _best_by_blocks(queries, vectors, k, rows_per_block, queries_per_block)
+        found = _best_by_blocks(asked, stored, k, rows_per_block, queries_per_block)
     return top_k(found, ["query_id", "repo_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
+def _comparable(rows: DataFrame) -> DataFrame:
+    """Rows whose embedding has numbers only, with its ``dims``."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return rows.filter(F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0)).withColumn("dims", F.size("embedding"))
+
+
 def _best_in_place(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """At most k rows per query and task, in a map over the vectors."""
     rows = asked.toPandas()  # counted before
-    matrices = {repo: (own["query_id"].to_numpy(), _unit(own["embedding"])) for repo, own in rows.groupby("repo_id")}
+    matrices = {repo: (own["query_id"].to_numpy(), _unit(own["embedding"])) for repo, own in rows.groupby(["repo_id", "dims"])}
     types = dict(vectors.dtypes)["vec_id"], dict(asked.dtypes)["query_id"]
     columns = ["query_id", "repo_id", "vec_id", "score"]
 
     def scan(batches):
         best = []
         for batch in batches:
-            for repo, own in batch.groupby("repo_id"):
-                if repo in matrices:
-                    ids, matrix = matrices[repo]
-                    best.append(_best_of_product(ids, matrix, repo, own.sort_values("vec_id", ignore_index=True), k))
+            for part, own in batch.groupby(["repo_id", "dims"]):
+                if part in matrices:
+                    ids, matrix = matrices[part]
+                    best.append(_best_of_product(ids, matrix, part[0], own.sort_values("vec_id", ignore_index=True), k))
             if len(best) > 1:
                 best = [_first_of_each(pd.concat(best), k)]
         yield best[0] if best else pd.DataFrame(columns=columns)
@@ -199,16 +268,17 @@ def _best_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, rows_per_blo
     """
     vector_blocks = _block_counts(vectors, rows_per_block, "vector_blocks")
     query_blocks = _block_counts(queries, queries_per_block, "query_blocks")
-    blocks = materialize(vector_blocks.join(query_blocks, "repo_id"), "dense-blocks")
+    alike = ["repo_id", "dims"]
+    blocks = materialize(vector_blocks.join(query_blocks, alike), "dense-blocks")
 
     def every(count):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    dealt_vectors = vectors.join(blocks, "repo_id").select(
-        "repo_id", F.pmod(F.xxhash64("vec_id"), F.col("vector_blocks")).cast("int").alias("vector_block"),
+    dealt_vectors = vectors.join(blocks, alike).select(
+        *alike, F.pmod(F.xxhash64("vec_id"), F.col("vector_blocks")).cast("int").alias("vector_block"),
         every("query_blocks").alias("query_block"), "vec_id", "embedding")
-    dealt_queries = queries.join(blocks, "repo_id").select(
-        "repo_id", every("vector_blocks").alias("vector_block"),
+    dealt_queries = queries.join(blocks, alike).select(
+        *alike, every("vector_blocks").alias("vector_block"),
         F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("query_block"),
         "query_id", "embedding")
     id_types = dict(vectors.dtypes)["vec_id"], dict(queries.dtypes)["query_id"]
@@ -219,17 +289,17 @@ def _best_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, rows_per_blo
         ids, repo = query_rows["query_id"].to_numpy(), query_rows["repo_id"].iloc[0]
         return _best_of_product(ids, _unit(query_rows["embedding"]), repo, vector_rows.sort_values("vec_id", ignore_index=True), k)
 
-    cell = ["repo_id", "vector_block", "query_block"]
+    cell = [*alike, "vector_block", "query_block"]
     return dealt_queries.groupBy(*cell).cogroup(dealt_vectors.groupBy(*cell)).applyInPandas(
         best_of_block, f"query_id {id_types[1]}, repo_id string, vec_id {id_types[0]}, score double")
 
 
 def _block_counts(rows: DataFrame, size: int, name: str) -> DataFrame:
-    return rows.groupBy("repo_id").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    return rows.groupBy("repo_id", "dims").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
 
 def _unit(embeddings: pd.Series) -> np.ndarray:
-    """Rows scaled to length one; a zero row stays zero."""
+    """Rows of equal dimensions scaled to length one; a zero row stays zero."""
     matrix = np.concatenate(embeddings.to_numpy()).astype(np.float64).reshape(len(embeddings), -1)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.operators.degrees import neighbourhood
-from archgraph.operators.tfidf import TOP_K, TfidfIndex, fit_tfidf, search, search_documents
+from archgraph.operators.tfidf import TOP_K, TfidfIndex, fit_tfidf, index_of_counts, search, search_documents, term_counts
 from archgraph.schemas import Graph
 from archgraph.session import materialize
-from archgraph.sources.graph_store import BUCKETS, current_rows, write_snapshot
+from archgraph.sources.graph_store import current_rows
 
 # Evidence size, score parts and label thresholds.
 EVIDENCE_HITS = 6
@@ -48,17 +48,21 @@ def index_symbols(symbols: DataFrame) -> RepositoryIndex:
     return RepositoryIndex(documents, fit_tfidf(documents.select("repo_id", "doc_id", "text")))
 
 
-def write_index(index: RepositoryIndex, store: str, batch_id: int, buckets: int = BUCKETS) -> None:
-    """Keep the index of a batch's repositories beside their graph."""
-    write_snapshot(index.documents, store, "documents", batch_id, buckets)
-    write_snapshot(index.terms.vocabulary, store, "vocabulary", batch_id, buckets)
-    write_snapshot(index.terms.weights, store, "weights", batch_id, buckets)
+def index_rows(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the store keeps of the index: documents, and the term counts of each.
+
+    Both belong to the file that the symbols are in. Weights depend on all
+    documents of a repository and are made when the index is read.
+    """
+    documents = search_documents(symbols)
+    return documents, term_counts(documents, ["repo_id", "file_path", "doc_id"])
 
 
 def read_index(spark: SparkSession, store: str, repo_ids=None) -> RepositoryIndex:
-    """The current index of all repositories, or of some."""
-    documents, vocabulary, weights = (current_rows(spark, store, n, repo_ids) for n in ("documents", "vocabulary", "weights"))
-    return RepositoryIndex(documents, TfidfIndex(vocabulary, weights, documents.select("repo_id", "doc_id")))
+    """The current index of all repositories, or of some; weights are those of a fit to their current documents."""
+    documents = current_rows(spark, store, "documents", repo_ids)
+    counts = materialize(current_rows(spark, store, "term_counts", repo_ids), "stored-counts")
+    return RepositoryIndex(documents, index_of_counts(counts, documents.select("repo_id", "doc_id")))
 
 
 def gather_evidence(hits: DataFrame, documents: DataFrame, edges: DataFrame, shown: int = EVIDENCE_HITS) -> DataFrame:

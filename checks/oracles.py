@@ -456,6 +456,14 @@ SELECT repo_id, uid, degree, place AS rank, symbol_type, name, qualified_name, f
              AND contains(lower(qualified_name), lower(trim(query)))
             WHERE trim(query) <> '' AND symbol_type IN ('file', 'class', 'function', 'method')) m""",
         "query_id", "length(qualified_name), uid", 20),
+    "search_short_queries": _ranked(
+        """(SELECT concat(q.repo_id, '/', query) AS query_id, uid, symbol_type, qualified_name
+            FROM og_nodes n JOIN (
+              SELECT DISTINCT repo_id, unnest([substr(trim(query), 1, 1), substr(trim(query), 2, 2)]) AS query
+              FROM fx_symbol_queries WHERE trim(query) <> '') q
+              ON q.repo_id = n.repo_id AND contains(lower(qualified_name), lower(query))
+            WHERE symbol_type IN ('file', 'class', 'function', 'method')) m""",
+        "query_id", "length(qualified_name), uid", 20),
     "file_view_nodes": "SELECT * FROM og_files",
     "file_view_edges": """
 SELECT p.repo_id, a.uid AS source_uid, b.uid AS target_uid, 'USES' AS relationship_type, weight::DOUBLE AS weight

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import classify
-from archgraph.operators import build, components, degrees, extract, reach, resolve, tfidf, views
+from archgraph.operators import build, components, degrees, extract, reach, resolve, symbol_search, tfidf, views
 from archgraph.plans import ask, graph, impact, smells
 from archgraph.schemas import RELATIONSHIPS, SOURCE_FILES, SYMBOLS, Graph
 from archgraph.session import materialize, new_folder
@@ -69,6 +69,11 @@ def code_graph(spark, sf_dir) -> Graph:
     return graph.build_graph(*extracted(spark, sf_dir))
 
 
+@once
+def symbol_name_index(spark, sf_dir) -> symbol_search.SymbolIndex:
+    return symbol_search.symbol_index(code_graph(spark, sf_dir).nodes)
+
+
 @once
 def document_index(spark, sf_dir) -> tfidf.TfidfIndex:
     return tfidf.fit_tfidf(derived(spark, sf_dir, "fx_docs"))
@@ -291,8 +296,19 @@ def suggest_symbols(spark, sf_dir):
 
 @query
 def search_symbols(spark, sf_dir):
-    return degrees.search_symbols(code_graph(spark, sf_dir).nodes, derived(spark, sf_dir, "fx_symbol_queries")).select(
-        "query_id", "rank", "uid", "symbol_type", "qualified_name")
+    found = symbol_search.search_symbols(
+        code_graph(spark, sf_dir).nodes, derived(spark, sf_dir, "fx_symbol_queries"), index=symbol_name_index(spark, sf_dir))
+    return found.select("query_id", "rank", "uid", "symbol_type", "qualified_name")
+
+
+@query
+def search_short_queries(spark, sf_dir):
+    """Queries of one and two letters: the beginnings of the words that are asked for."""
+    words = derived(spark, sf_dir, "fx_symbol_queries").filter(F.trim("query") != "")
+    parts = words.select("repo_id", F.explode(F.array(F.substring(F.trim("query"), 1, 1), F.substring(F.trim("query"), 2, 2))).alias("query")).distinct()
+    asked = parts.withColumn("query_id", F.concat("repo_id", F.lit("/"), "query"))
+    found = symbol_search.search_symbols(code_graph(spark, sf_dir).nodes, asked, index=symbol_name_index(spark, sf_dir))
+    return found.select("query_id", "rank", "uid", "symbol_type", "qualified_name")
 
 
 @query

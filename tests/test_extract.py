@@ -239,9 +239,9 @@ def test_what_parses_of_a_broken_file_is_kept():
     assert len(errors) == 1 and symbols[0]["docstring"].startswith('"""Text')
     found = {(s["name"], s["symbol_type"], s["start_line"], s["end_line"]) for s in symbols[1:]}
     assert found == {("os", "import", 4, 4), ("A", "class", 8, 22), ("sound", "method", 10, 11), ("broken", "method", 13, 16),
-                     ("last", "method", 19, 22), ("tail", "function", 30, 31)}
+                     ("last", "method", 19, 22), ("guarded", "function", 26, 26), ("tail", "function", 30, 31)}
     calls = [r["target_name"] for r in relationships if r["relationship_type"] == "calls"]
-    assert calls == ["one", "two", "y.go"]
+    assert calls == ["one", "two", "three", "y.go"]
 
 
 def test_whole_callee_text_is_the_target():
@@ -290,3 +290,100 @@ def test_resolution_within_a_file(tables):
     assert found[("Entity", "inherits")] == ("shop.orders.Entity", 0.75)
     assert found[("self.create", "calls")] == ("shop.orders.Order.create", 0.75)
     assert found[("json", "imports")] == ("shop/orders.py::import::json::1", 0.95)
+
+
+BLOCKS = """\
+import os
+
+if os.name == "nt" and detect(os):
+    import ntpath
+    class Windows(Base):
+        def path(self):
+            return joined(self)
+    x = = 1
+elif fallback():
+    def posix():
+        return plain()
+else:
+    y = [1, 2
+    def other():
+        pass
+
+try:
+    import fast
+    z = = 2
+    def quick():
+        return fast.run()
+except (ImportError, lookup.Error) as problem:
+    def slow():
+        return problem
+finally:
+    def last():
+        pass
+
+for item in listed(
+        os):
+    print "x"
+    def in_loop(): return item
+
+while waiting():
+    broken broken
+    class Waits:
+        pass
+
+with opened(os) as f, other(f):
+    f = = f
+    async def within():
+        return f.read()
+
+def outer():
+    before()
+    if check():
+        a = = 1
+        inner_call()
+        def nested():
+            deep()
+    after()
+
+match os.name:
+    case "posix":
+        b = = 3
+        def matched():
+            pass
+    case other if guard(other):
+        def guarded():
+            pass
+
+if bad = = header:
+    def under_bad_header():
+        pass
+
+def sound_tail():
+    pass
+"""
+
+
+def test_broken_blocks_keep_every_sound_definition():
+    emitted = list(extract_python("m.py", BLOCKS))
+    lines = BLOCKS.split("\n")
+    found = {(f["qualified_name"], f["symbol_type"]) for kind, f in emitted if kind == "symbol"}
+    expected = {("m", "file"), ("os", "import"), ("ntpath", "import"), ("fast", "import"), ("m.Windows", "class"), ("m.Windows.path", "method"),
+                ("m.posix", "function"), ("m.other", "function"), ("m.quick", "function"), ("m.slow", "function"), ("m.last", "function"),
+                ("m.in_loop", "function"), ("m.Waits", "class"), ("m.within", "function"), ("m.outer", "function"), ("m.outer.nested", "function"),
+                ("m.matched", "function"), ("m.guarded", "function"), ("m.under_bad_header", "function"), ("m.sound_tail", "function")}
+    assert found == expected
+    for kind, f in emitted:
+        if kind == "symbol" and f["symbol_type"] in ("class", "function", "method"):
+            assert f["name"] in lines[f["start_line"] - 1]
+    calls = {(f["source_id"], f["target_name"]) for kind, f in emitted if kind == "relationship" and f["relationship_type"] == "calls"}
+    assert calls == {("m.Windows.path", "joined"), ("m.posix", "plain"), ("m.quick", "fast.run"), ("m.within", "f.read"), ("m.outer", "before"),
+                     ("m.outer", "check"), ("m.outer", "inner_call"), ("m.outer.nested", "deep"), ("m.outer", "after")}
+    assert [kind for kind, _ in emitted].count("error") == 1
+
+
+@pytest.mark.parametrize("fault", ["x = = 1", "print 'y'", "return return", "a b c", "def f(:"])
+@pytest.mark.parametrize("opening", ["if c:", "while c:", "for i in c:", "with c:", "try:", "class K:", "def k():"])
+def test_a_fault_in_a_block_costs_its_own_line(opening, fault):
+    source = f"{opening}\n    def first(): pass\n    {fault}\n    def second(): pass\n" + ("finally:\n    pass\n" if opening == "try:" else "")
+    names = {f["name"] for kind, f in extract_python("m.py", source) if kind == "symbol"}
+    assert {"first", "second"} <= names

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from archgraph.operators.degrees import degrees, neighbourhood, search_symbols, suggest_symbols
+from archgraph.operators.degrees import degrees, neighbourhood, suggest_symbols
+from archgraph.operators.symbol_search import search_symbols
 from archgraph.operators.topk import top_k
 from archgraph.operators.views import class_view, file_view
 from archgraph.plans.graph import only_repositories

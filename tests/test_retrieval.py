@@ -7,12 +7,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from archgraph.functions.stopwords import ENGLISH
 from archgraph.operators.tfidf import fit_tfidf, search, search_dense, search_documents
+from archgraph.operators.topk import top_k
 from archgraph.plans.ask import (
     Answers, answer_context, build_prompts, compute_confidence, evidence_blocks, index_symbols,
 )
+from archgraph.session import materialize
 from tests.conftest import call
 
 WORDS = "alpha beta gamma delta été naïve order_id x2 the and payment refund ledger cart".split()
@@ -163,3 +166,35 @@ def test_blocks_without_evidence(tables):
                         "file_path string, start_line int, end_line int, related array<struct<relationship_type: string, "
                         "direction: string, qualified_name: string, file_path: string, start_line: int, confidence: double>>")
     assert build_prompts(evidence_blocks(questions, empty)).first().evidence_block.startswith("Nothing in the repository")
+
+
+def test_blocks_that_cannot_hold_a_hit_are_not_scored(spark, tables, monkeypatch):
+    """Rows of the scoring step against all pairs with a common term; the hits are the same."""
+    from archgraph.operators import tfidf
+
+    dice = np.random.default_rng(11)
+    common = [f"common{i}" for i in range(30)]
+    docs = tables.rows("repo_id string, doc_id string, text string", *[
+        ("r", f"module{i // 40:03}#{i:05}", " ".join([*dice.choice(common, 12), *(f"topic{i // 40}x{j}" for j in dice.integers(0, 25, 8))])) for i in range(2000)])
+    questions = tables.rows("query_id string, repo_id string, question string", *[
+        (f"q{q}", "r", f"common1 common2 common3 common4 topic{q}x1 topic{q}x2 topic{q}x3 topic{q}x4") for q in range(20)])
+    index = fit_tfidf(docs)
+    asked = tfidf.question_weights(questions, index.vocabulary)
+    kept = materialize(tfidf.best_scores(asked, index, 5), "kept")
+    every = materialize(index.weights.join(asked, ["repo_id", "term"]).groupBy("query_id", "repo_id", "doc_id").agg(
+        tfidf._products("weight").alias("score")), "every")
+    assert kept.count() < every.count() / 4
+    order = [F.col("score").desc(), F.col("doc_id")]
+    ids = ["query_id", "rank", "doc_id", "score"]
+    assert top_k(kept, ["query_id"], order, 5).select(*ids).exceptAll(top_k(every, ["query_id"], order, 5).select(*ids)).isEmpty()
+
+
+@pytest.mark.parametrize("blocks", [(20_000, 500), (7, 2, 0)])
+def test_dense_search_takes_whatever_the_store_got(tables, blocks):
+    nan, inf = float("nan"), float("inf")
+    vectors = tables.rows("repo_id string, vec_id long, embedding array<float>", ("r", 1, [1.0, 0.0]), ("r", 2, None), ("r", 3, []), ("r", 4, [1.0, None]),
+                          ("r", 5, [nan, 1.0]), ("r", 6, [inf, 1.0]), ("r", 7, [1.0, 0.0, 0.0]), ("r", 8, [0.0, 0.0]), ("r", 9, [0.6, 0.8]), ("s", 1, [1.0, 0.0]))
+    queries = tables.rows("query_id long, repo_id string, embedding array<double>", (1, "r", [2.0, 0.0]), (2, "r", [0.0, 0.0, 3.0]), (3, "r", None), (4, "r", [nan, 0.0]),
+                          (5, "r", [1.0]), (6, "none", [1.0, 0.0]))
+    found = search_dense(queries, vectors, 5, *blocks).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in found) == [(1, 1, 1, 1.0), (1, 2, 9, 0.6), (1, 3, 8, 0.0), (2, 1, 7, 0.0)]
