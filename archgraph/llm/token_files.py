@@ -13,10 +13,15 @@ the control stream and the data stream. Frames are rows of Parquet files, so
 Spark's commit protocol covers them: a lost or repeated task leaves no half
 files. The order of frames is in the column ``first_place``.
 
+Texts are tokenised where they are read. Only their ids, two bytes each where
+they allow it, are sorted by document.
+
 Null and empty texts are the end id alone. Documents with equal ids are
-ordered by a hash of their text; a null id comes first.
+ordered by a checksum of their tokens; a null id comes first.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
@@ -24,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archgraph.llm.order import part_of
-from archgraph.llm.sized import bounded_batches
+from archgraph.llm.sized import broadcast_if_small, scoped_batches
 from archgraph.llm.text import ragged, row_offsets
 from archgraph.llm.tokens import Encoder, word_level_cuts
-from archgraph.session import new_folder
+from archgraph.session import materialize, new_folder
 
 END_ID = 2
 FRAME_IDS = 1 << 18
@@ -78,13 +83,9 @@ def _bytes_of(column):
 def write_token_files(docs, folder, tokenizer, end_id=END_ID, id_column="doc_id", text="text"):
     """Tokenise all documents once, count ids over all of them, and write the files."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col(f"`{id_column}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    ordered = rows.repartitionByRange(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("key").asc_nulls_first(), F.xxhash64("text")
-    ).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     key = rows.schema["key"]
-    coded = T.StructType([T.StructField("place", T.LongType()), key, T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
+    coded = T.StructType([key, T.StructField("tie", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def tokenise(batches):
         encoder = Encoder.of(tokenizer, word_level_cuts)
@@ -93,13 +94,17 @@ def write_token_files(docs, folder, tokenizer, end_id=END_ID, id_column="doc_id"
                 many = len(counts)
                 closed = np.insert(ids, np.cumsum(counts), end_id)
                 narrow = closed.astype("<u4" if len(closed) and closed.max() > 0xFFFF else "<u2")
+                cuts = (row_offsets(counts + 1) * narrow.itemsize).tolist()
+                raw_bytes = memoryview(narrow.tobytes())
+                ties = [zlib.crc32(raw_bytes[a:b]) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("place").slice(first, many), batch.column("key").slice(first, many),
+                    batch.column("key").slice(first, many), pa.array(ties, pa.int64()),
                     pa.array(counts + 1, pa.int64()), _binary((counts + 1) * narrow.itemsize, narrow),
-                ], names=["place", "key", "n", "ids"])
+                ], names=["key", "tie", "n", "ids"])
 
     raw = new_folder(spark, "token-ids")
-    ordered.mapInArrow(tokenise, coded).write.option("compression", "zstd").parquet(raw)
+    with scoped_batches(spark):
+        rows.mapInArrow(tokenise, coded).write.option("compression", "zstd").parquet(raw)
     tokens = spark.read.schema(coded).parquet(raw)
 
     def ids_in(batch):
@@ -155,7 +160,11 @@ def write_token_files(docs, folder, tokenizer, end_id=END_ID, id_column="doc_id"
                     pa.array([control[c[first] : c[last]].tobytes()], pa.binary()), pa.array([data[d[first] : d[last]].tobytes()], pa.binary()),
                 ], names=[f.name for f in frame])
 
-    tokens.mapInArrow(frames, frame).write.option("compression", "zstd").parquet(f"{folder}/frames")
+    order = [F.col("key").asc_nulls_first(), F.col("tie")]
+    sorted_tokens = tokens.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    placed = sorted_tokens.select(F.monotonically_increasing_id().alias("place"), "key", "n", "ids")
+    with scoped_batches(spark):
+        placed.mapInArrow(frames, frame).write.option("compression", "zstd").parquet(f"{folder}/frames")
 
 
 def read_token_files(spark, folder):
@@ -167,7 +176,8 @@ def read_token_files(spark, folder):
     parts = parts.select("part", F.coalesce(F.sum("part_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     within = F.coalesce(F.sum("ids_total").over(Window.partitionBy("part").orderBy("first_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = index.withColumn("within", within).join(parts, "part").select("first_place", (F.col("part_start") + F.col("within")).alias("frame_start"))
-    placed = frames.join(starts, "first_place").select("frame_start", "keys", "counts", "control", "data")
+    # Two numbers a frame: the frames stay where they are while these are few.
+    placed = frames.join(broadcast_if_small(materialize(starts, "frame-starts")), "first_place").select("frame_start", "keys", "counts", "control", "data")
     schema = T.StructType([T.StructField("key", frames.schema["keys"].dataType.elementType), *T.StructType.fromDDL("start long, n_tokens long, ids binary").fields])
 
     def decode(batches):
