@@ -9,26 +9,28 @@ idea of in- and out-signatures with pointer jumping is published: Alabandi,
 Sands, Biros, Burtscher, "A High-Performance MPI/OpenMP and CUDA
 Strongly-Connected Components code", SC 2023.)
 
-Components never cross repositories. All vertices are numbered once, so that
-every later step handles pairs of longs. Repositories whose arcs fit a bounded
+Components never cross repositories. Repositories whose arcs fit a bounded
 number of bytes are solved in grouped tasks, which cost one shuffle for all of
-them together; the others, of any size, by rounds over tables: per round one
-join of arcs with the signatures that changed and one maximum per vertex,
-which combines on the map side. Both ways are exact and give the same result.
+them together. The others, of any size, have their vertices numbered, so that
+every later step handles pairs of longs, and are solved by rounds over tables:
+per round one join of arcs with the signatures that changed and one maximum per
+vertex, which combines on the map side. Both ways are exact and give the same
+result.
 """
 
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archgraph.operators.groups import whole_groups
 from archgraph.session import materialize
 
-# Most bytes of numbered arcs of a repository that one task may hold.
-LOCAL_BYTES = 32 << 20
-ARC_BYTES = 16
+# Most bytes of names at the ends of a repository's arcs that one task may hold.
+LOCAL_BYTES = 64 << 20
 
 FORWARD, BACKWARD = 0, 1
 
@@ -41,7 +43,16 @@ def strongly_connected_components(edges: DataFrame, local_bytes: int = LOCAL_BYT
 
     Singletons are included, also vertices known only as targets.
     """
-    pairs = edges.select("repo_id", "src", "dst").distinct()
+    pairs = materialize(edges.select("repo_id", "src", "dst").distinct(), "scc-pairs")
+    size = F.sum(F.octet_length("src") + F.octet_length("dst"))
+    large = materialize(pairs.groupBy("repo_id").agg(size.alias("bytes")).filter(F.col("bytes") > local_bytes).select("repo_id"), "scc-large")
+    if large.isEmpty():
+        return _within_tasks(pairs)
+    return _within_tasks(pairs.join(large, "repo_id", "left_anti")).unionByName(_numbered(pairs.join(large, "repo_id", "left_semi")))
+
+
+def _numbered(pairs: DataFrame) -> DataFrame:
+    """Components of large repositories."""
     vertices = materialize(
         pairs.select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
         .withColumn("vertex", F.monotonically_increasing_id()),
@@ -51,15 +62,10 @@ def strongly_connected_components(edges: DataFrame, local_bytes: int = LOCAL_BYT
         pairs.filter(F.col("src") != F.col("dst"))
         .join(vertices.select(F.col("uid").alias("src"), F.col("vertex").alias("a")), "src")
         .join(vertices.select(F.col("uid").alias("dst"), F.col("vertex").alias("b")), "dst")
-        .select("repo_id", "a", "b"),
+        .select("a", "b"),
         "scc-arcs",
     )
-    sizes = materialize(
-        arcs.groupBy("repo_id").agg((F.count("*") * ARC_BYTES > local_bytes).alias("large")), "scc-sizes")
-    placed = arcs.join(sizes, "repo_id")
-    found = [placed.filter(~F.col("large")).groupBy("repo_id").applyInPandas(_grouped_roots, "vertex long, root long")]
-    if not sizes.filter("large").isEmpty():
-        found += _roots_by_rounds(materialize(placed.filter("large").select("a", "b"), "scc-arcs"))
+    found = [vertices.select("vertex", F.lit(None).cast("long").alias("root")).limit(0), *_roots_by_rounds(arcs)]
     rooted = materialize(
         vertices.join(reduce(DataFrame.unionByName, found), "vertex", "left")
         .select("uid", F.coalesce("root", "vertex").alias("root")),
@@ -70,24 +76,42 @@ def strongly_connected_components(edges: DataFrame, local_bytes: int = LOCAL_BYT
     return rooted.join(names, "root").select("uid", "component")
 
 
-def _grouped_roots(arcs: pd.DataFrame) -> pd.DataFrame:
-    """The same propagation on the numbered arcs of one small repository, as arrays."""
-    ends, numbers = pd.factorize(pd.concat([arcs["a"], arcs["b"]]))
+def _within_tasks(pairs: DataFrame) -> DataFrame:
+    """Components of repositories that fit a task, each in one."""
+
+    def solve(batches):
+        for group in whole_groups(batches, "repo_id"):
+            ends = pa.chunked_array([*group.column("src").chunks, *group.column("dst").chunks], pa.string()).combine_chunks().dictionary_encode()
+            names = ends.dictionary
+            a, b = ends.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(2, -1)
+            roots = _roots(a[a != b], b[a != b], len(names))
+            place = np.empty(len(names), dtype=np.int64)
+            order = pc.sort_indices(names).to_numpy()
+            place[order] = np.arange(len(names))
+            least = np.full(len(names), len(names))
+            np.minimum.at(least, roots, place)
+            yield pa.RecordBatch.from_arrays([names, names.take(pa.array(order[least[roots]]))], names=["uid", "component"])
+
+    return pairs.repartition("repo_id").sortWithinPartitions("repo_id").mapInArrow(solve, "uid string, component string")
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The same propagation on the arcs of one repository, as arrays: a member of its component for every vertex."""
     # Numbers in random order keep the phases few whatever the vertices are.
-    order = np.random.default_rng(len(numbers)).permutation(len(numbers))
-    a, b = order[ends].reshape(2, -1)
-    root = np.arange(len(numbers))
+    order = np.random.default_rng(n).permutation(n)
+    a, b = order[a], order[b]
+    root = np.arange(n)
     while len(a):
-        reached_by, reaches = _propagate(a, b, len(numbers)), _propagate(b, a, len(numbers))
+        reached_by, reaches = _propagate(a, b, n), _propagate(b, a, n)
         done = reached_by == reaches
         finished = np.unique(np.concatenate([a, b]))
         finished = finished[done[finished]]
         root[finished] = reaches[finished]
         within = (reached_by[a] == reached_by[b]) & (reaches[a] == reaches[b]) & ~done[a]
         a, b = a[within], b[within]
-    vertex_of = np.empty(len(numbers), dtype=np.int64)
-    vertex_of[order] = numbers
-    return pd.DataFrame({"vertex": numbers, "root": vertex_of[root[order]]})
+    vertex_of = np.empty(n, dtype=np.int64)
+    vertex_of[order] = np.arange(n)
+    return vertex_of[root[order]]
 
 
 def _propagate(origin: np.ndarray, vertex: np.ndarray, n: int) -> np.ndarray:

@@ -177,6 +177,24 @@ FROM (
                      'def helper', k, '(x):', chr(10),
                      '    return x.run()', chr(10)) END AS content
   FROM fx_members) f""",
+    # One file per part with a broken statement inside of a block; the size chooses the block.
+    "fx_broken_files": """
+SELECT repo_id, path, CAST(length(content) AS BIGINT) AS size_bytes, content
+FROM (
+  SELECT repo_id, concat('src/b', k, '.py') AS path,
+         concat('import os', chr(10),
+                CASE sz % 6 WHEN 0 THEN 'if os.name:' WHEN 1 THEN 'try:' WHEN 2 THEN 'with open(os) as f:'
+                            WHEN 3 THEN 'for x in os.listdir():' WHEN 4 THEN 'while os.name:'
+                            ELSE concat('match os.name:', chr(10), '    case 1:') END, chr(10),
+                margin, 'def first', k, '():', chr(10),
+                margin, '    return os.getcwd()', chr(10),
+                margin, 'x = = 1', chr(10),
+                margin, 'class Second', k, ':', chr(10),
+                margin, '    pass', chr(10),
+                CASE sz % 6 WHEN 1 THEN concat('finally:', chr(10), '    pass', chr(10)) ELSE '' END,
+                'def tail', k, '():', chr(10),
+                '    pass', chr(10)) AS content
+  FROM (SELECT *, CASE WHEN sz % 6 = 5 THEN '        ' ELSE '    ' END AS margin FROM fx_members) m) f""",
 }
 
 

@@ -415,6 +415,15 @@ FROM og_limits""",
     "accepted_files": """
 SELECT repo_id, path, size_bytes FROM fx_repo_files
 WHERE repo_id IN (SELECT repo_id FROM og_limits WHERE reject_reason IS NULL)""",
+    "scan_source_tree": f"""
+SELECT repo_id, path, size_bytes, md5(content) AS content_md5 FROM fx_source_files
+WHERE NOT list_has_any(string_split(path, '/'), [{_list(IGNORED_DIRS)}])""",
+    "extract_broken_blocks": """
+SELECT repo_id, unnest([module, 'os', concat(module, '.first', k), concat(module, '.Second', k), concat(module, '.tail', k)]) AS qualified_name,
+       unnest(['file', 'import', 'function', 'class', 'function']) AS symbol_type,
+       unnest([1, 1, 3 + shift, 6 + shift, 8 + shift + more]) AS start_line
+FROM (SELECT repo_id, k, concat('src.b', k) AS module, CASE sz % 6 WHEN 5 THEN 1 ELSE 0 END AS shift,
+             CASE sz % 6 WHEN 1 THEN 2 ELSE 0 END AS more FROM fx_members) m""",
     "validate_repo_urls": "SELECT id, owner, repo, clone_url, url_error FROM og_urls",
     "register_repositories": """
 SELECT id, clone_url AS url, owner, repo AS name, 'pending' AS status FROM og_urls WHERE url_error IS NULL""",

@@ -10,7 +10,7 @@ from archgraph.operators import build, components, degrees, extract, reach, reso
 from archgraph.plans import ask, graph, impact, smells
 from archgraph.schemas import RELATIONSHIPS, SOURCE_FILES, SYMBOLS, Graph
 from archgraph.session import materialize, new_folder
-from archgraph.sources import files, graph_store, repositories, urls
+from archgraph.sources import files, graph_store, repositories, tree, urls
 from archgraph.streaming.ingest import stream_ingest
 from checks.derived import derived, given
 
@@ -161,6 +161,30 @@ def accepted_files(spark, sf_dir):
     return files.accepted_files(listed, limited).select("repo_id", "path", "size_bytes")
 
 
+@once
+def source_tree(spark, sf_dir) -> str:
+    """The source files as a folder of repositories, written by the tasks that hold them."""
+    folder = new_folder(spark, "source-tree")
+
+    def write(rows):
+        system, base = tree.open_root(folder)
+        for row in rows:
+            path = f"{base}/{row.repo_id}/{row.path}"
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as stream:
+                stream.write(row.content.encode())
+
+    derived(spark, sf_dir, "fx_source_files").repartition(8, "path").foreachPartition(write)
+    return folder
+
+
+@query
+def scan_source_tree(spark, sf_dir):
+    """All files of a folder of repositories, without those in ignored folders."""
+    scanned = tree.read_source_tree(spark, source_tree(spark, sf_dir), languages=["python"])
+    return scanned.select("repo_id", "path", "size_bytes", F.md5("content").alias("content_md5"))
+
+
 @query
 def validate_repo_urls(spark, sf_dir):
     return urls.validate_repo_urls(derived(spark, sf_dir, "fx_repo_urls")).select(
@@ -247,6 +271,13 @@ def extract_with_registered_extractor(spark, sf_dir):
     return symbols.select("repo_id", "uid", "seq", "name", "qualified_name", "symbol_type", "language")
 
 
+@query
+def extract_broken_blocks(spark, sf_dir):
+    """One file per part with a fault inside of an if, try, with, for, while or match."""
+    symbols = extract.extract_ir(derived(spark, sf_dir, "fx_broken_files")).symbols
+    return symbols.select("repo_id", "qualified_name", "symbol_type", "start_line")
+
+
 # Resolution and construction ----------------------------------------------
 
 @query
@@ -423,7 +454,7 @@ def strongly_connected_components(spark, sf_dir):
 def strongly_connected_components_by_rounds(spark, sf_dir):
     """The same with the largest repositories solved by rounds over tables."""
     calls = code_graph(spark, sf_dir).edges.filter(F.col("relationship_type") == "CALLS")
-    return components.strongly_connected_components(calls, local_bytes=32_000)
+    return components.strongly_connected_components(calls, local_bytes=180_000)
 
 
 @query
