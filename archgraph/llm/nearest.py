@@ -14,7 +14,9 @@ summation, so equal vectors have equal scores wherever they are.
 
 Centroids are fitted to a bounded sample (``vectors.SAMPLE``); every vector is
 an entry. Vectors that are null, zero or hold null or non-finite components take
-no part. Shorter vectors are filled up with zeros. Ties go to the smaller id.
+no part, nor do rows without an id. Shorter vectors are filled up with zeros, so
+the widest sets the memory of a task. Ties go to the smaller id. Equal query rows
+are one query; an id with several rows is one neighbour, with its best score.
 """
 
 import heapq
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archgraph.llm.grouped import dealt, whole_groups
+from archgraph.llm.text import mix64
 from archgraph.llm.vectors import SAMPLE, centroids, comparable, matrix, widest
 from archgraph.session import materialize
 
@@ -64,19 +67,27 @@ def with_cells(entries, halves, width):
 
 
 def walk(first, second, counts, wanted):
-    """Cells in the order of summed products until they hold ``wanted`` entries; ``first`` and ``second`` are one query's products."""
-    left, right = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    heap, seen, visited, held = [(-(first[left[0]] + second[right[0]]), 0, 0)], {(0, 0)}, [], 0
+    """Cells in the order of summed products until they hold ``wanted`` entries; ``first`` and ``second`` are one query's products.
+
+    The heap holds the next pair of every row of the table of sums that has
+    been reached: a row begins when the first pair of the row before it is taken.
+    """
+    left, right = np.argsort(-first, kind="stable").tolist(), np.argsort(-second, kind="stable").tolist()
+    rows, columns = (-first)[left].tolist(), (-second)[right].tolist()
+    numbers, wide, high = counts.tolist(), len(columns), len(rows)
+    heap, visited, held = [(rows[0] + columns[0], 0, 0)], [], 0
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(left[i]) * len(second) + int(right[j])
-        if counts[cell]:
+        _, i, j = heap[0]
+        cell = left[i] * wide + right[j]
+        if numbers[cell]:
             visited.append(cell)
-            held += int(counts[cell])
-        for onward in ((i + 1, j), (i, j + 1)):
-            if onward not in seen and onward[0] < len(left) and onward[1] < len(right):
-                seen.add(onward)
-                heapq.heappush(heap, (-(first[left[onward[0]]] + second[right[onward[1]]]), *onward))
+            held += numbers[cell]
+        if j + 1 < wide:
+            heapq.heapreplace(heap, (rows[i] + columns[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if not j and i + 1 < high:
+            heapq.heappush(heap, (rows[i + 1] + columns[0], i + 1, 0))
     return visited
 
 
@@ -117,8 +128,8 @@ def nearest(vectors, queries, neighbours=NEIGHBOURS, share=SHARE, id_column="vec
     def place(batches):
         for batch in batches:
             cell, ids = batch.column("cell").to_numpy(), batch.column("id").to_numpy()
-            group = first_group[cell] + ids % group_number[cell]
-            yield pa.RecordBatch.from_arrays([pa.array(group), *batch.columns], names=["group", *batch.schema.names])
+            mixed = (mix64(ids.astype(np.uint64)) % group_number[cell].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(first_group[cell] + mixed), *batch.columns], names=["group", *batch.schema.names])
 
     placed = entries.mapInArrow(place, T.StructType([T.StructField("group", T.LongType()), *entries.schema.fields]))
     half = halves[0].shape[1]
@@ -131,36 +142,40 @@ def nearest(vectors, queries, neighbours=NEIGHBOURS, share=SHARE, id_column="vec
             packed = [np.packbits(np.isin(np.arange(len(counts)), c)).tobytes() for c in cells]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, "visited"])
 
-    asked = usable(queries)
+    asked = usable(queries).distinct().withColumn("asked", F.monotonically_increasing_id())
+    asked = materialize(asked, "asked-vectors")  # a distinct query's number must not change
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     asked = asked.mapInArrow(visit, T.StructType([*asked.schema.fields, T.StructField("visited", T.BinaryType())]))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     asked = materialize(asked, "walked-queries")
 
-    sent_queries = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), "block", F.lit(True).alias("asks"), "id", "vector", F.lit(0).cast("long").alias("cell"), "visited")
-    sent_entries = placed.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(False).alias("asks"), "id", "vector", "cell", F.lit(None).cast("binary").alias("visited"))
+    sent_queries = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), "block", "asked", "id", "vector", F.lit(0).cast("long").alias("cell"), "visited")
+    sent_entries = placed.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(None).cast("long").alias("asked"), "id", "vector", "cell", F.lit(None).cast("binary").alias("visited"))
     keys = ["group", "block"]
 
     def search(batches):
         for table, begins in whole_groups(batches, keys):
             points = matrix(table.column("vector"), width)
-            asks, ids, cell = (table.column(c).to_numpy() for c in ("asks", "id", "cell"))
+            ids, cell = (table.column(c).to_numpy() for c in ("id", "cell"))
+            asks = table.column("asked").is_valid().to_numpy()
+            numbers = table.column("asked").fill_null(-1).to_numpy()
             visited = table.column("visited")
             for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist()):
                 query = begin + np.flatnonzero(asks[begin:end])
                 entry = begin + np.flatnonzero(~asks[begin:end])
                 if len(query) and len(entry):
                     masks = np.unpackbits(np.frombuffer(b"".join(visited[int(i)].as_py() for i in query), np.uint8).reshape(len(query), -1), axis=1)
-                    yield _best(points[query], ids[query], masks, points[entry], ids[entry], cell[entry], neighbours)
+                    yield _best(points[query], numbers[query], ids[query], masks, points[entry], ids[entry], cell[entry], neighbours)
 
-    found = dealt(sent_queries.unionByName(sent_entries), keys).mapInArrow(search, "query_id long, found_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("found_id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
+    found = dealt(sent_queries.unionByName(sent_entries), keys).mapInArrow(search, "asked long, query_id long, found_id long, score double")
+    best = found.groupBy("asked", "query_id", "found_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("asked").orderBy(F.col("score").desc(), F.col("found_id"))
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
     return ranked.select("query_id", "rank", F.col("found_id").alias(id_column), "score")
 
 
-def _best(asked, asked_ids, masks, points, ids, cell, neighbours):
-    """The best entries in visited cells of each query, as a record batch."""
+def _best(asked, numbers, asked_ids, masks, points, ids, cell, neighbours):
+    """The best ids in visited cells of each query, as a record batch; an id with several rows counts once, with its best score."""
     order = np.argsort(cell, kind="stable")
     points, ids, cell = points[order], ids[order], cell[order]
     begins = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
@@ -169,12 +184,22 @@ def _best(asked, asked_ids, masks, points, ids, cell, neighbours):
         rows = np.flatnonzero(masks[:, cell[begin]])
         scores[rows, begin:end] = asked[rows] @ points[begin:end].T
     scores[asked_ids[:, None] == ids[None, :]] = -np.inf
-    last = min(neighbours, len(points)) - 1
-    floor = -np.partition(-scores, last, axis=1)[:, last]
+    by_id = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, ids[by_id][1:] != ids[by_id][:-1]))
+    of_ids = scores if len(first) == len(ids) else np.maximum.reduceat(scores[:, by_id], first, axis=1)
+    last = min(neighbours, of_ids.shape[1]) - 1
+    floor = -np.partition(-of_ids, last, axis=1)[:, last]
     query, entry = np.nonzero((scores >= floor[:, None] - _MARGIN) & (scores > -np.inf))
     exact = (asked[query] * points[entry]).sum(axis=1)
+    order = np.lexsort((-exact, ids[entry], query))
+    query, entry, exact = query[order], entry[order], exact[order]
+    once = np.ones(len(query), dtype=bool)
+    once[1:] = (query[1:] != query[:-1]) | (ids[entry[1:]] != ids[entry[:-1]])
+    query, entry, exact = query[once], entry[once], exact[once]
     order = np.lexsort((ids[entry], -exact, query))
     query, entry, exact = query[order], entry[order], exact[order]
     turn = np.arange(len(query)) - np.searchsorted(query, query)
     kept = turn < neighbours
-    return pa.RecordBatch.from_arrays([pa.array(asked_ids[query[kept]]), pa.array(ids[entry[kept]]), pa.array(exact[kept])], names=["query_id", "found_id", "score"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(numbers[query[kept]]), pa.array(asked_ids[query[kept]]), pa.array(ids[entry[kept]]), pa.array(exact[kept])],
+        names=["asked", "query_id", "found_id", "score"])

@@ -122,6 +122,34 @@ def test_share_finds_nine_tenths(spark):
     assert len(found) == len(wanted) and len(found & wanted) >= 0.9 * len(wanted)
 
 
+@pytest.mark.parametrize("group", [8192, 32])
+def test_repeated_queries_and_entries_count_once(spark, monkeypatch, group):
+    """Every row twice, a third of all rows one vector id, and an id with two vectors."""
+    monkeypatch.setattr(nn, "GROUP_ENTRIES", group)
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(120, 6)).astype(np.float32)
+    rows = list(enumerate(points.tolist()))
+    vectors = table(spark, [*rows, *rows, *[rows[7]] * 120, (3, (-points[3]).tolist())])
+    found = nn.nearest(vectors, table(spark, [rows[20], rows[20], rows[40]]), share=1.0).collect()
+    for query in (20, 40):
+        scores = (points[query].astype(np.float64) * points).sum(axis=1)
+        scores[3] = max(scores[3], -scores[3])
+        best = sorted((i for i in range(120) if i != query), key=lambda i: (-scores[i], i))[:20]
+        own = sorted((r.rank, r.vec_id) for r in found if r.query_id == query)
+        assert own == list(enumerate(best, 1))
+    assert len(found) == 40
+
+
+def test_ids_with_a_common_factor_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(nn, "GROUP_ENTRIES", 40)
+    vectors = table(spark, [(20 * i, [1.0, 1.0 + i % 3 / 1e6]) for i in range(400)])
+    rows = nn.nearest(vectors, vectors.where("vec_id = 0"), share=1.0).collect()
+    assert len(rows) == 20
+    ids = np.arange(400, dtype=np.uint64) * np.uint64(20)
+    dealt = np.bincount((nn.mix64(ids) % np.uint64(10)).astype(np.int64), minlength=10)
+    assert dealt.min() > 20 and dealt.max() < 65
+
+
 def test_fewer_candidates_than_neighbours(spark):
     vectors = table(spark, [(i, [1.0, float(i)]) for i in range(4)])
     rows = nn.nearest(vectors, vectors.where("vec_id = 0"), share=1.0).collect()
