@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archgraph.llm.grouped import dealt, whole_groups
+from archgraph.llm.order import shuffle_width
 from archgraph.llm.text import mix64
 from archgraph.llm.vectors import SAMPLE, centroids, comparable, matrix, widest
 from archgraph.session import materialize
@@ -145,6 +146,7 @@ def nearest(vectors, queries, neighbours=NEIGHBOURS, share=SHARE, id_column="vec
     asked = usable(queries).distinct().withColumn("asked", F.monotonically_increasing_id())
     asked = materialize(asked, "asked-vectors")  # a distinct query's number must not change
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    asked = asked.repartition(shuffle_width(asked.sparkSession), "asked")  # few rows, much work each
     asked = asked.mapInArrow(visit, T.StructType([*asked.schema.fields, T.StructField("visited", T.BinaryType())]))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     asked = materialize(asked, "walked-queries")
