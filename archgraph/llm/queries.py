@@ -73,7 +73,8 @@ def op8_nearest_neighbours(spark, sf_dir):
 def op9_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(remainder(F.col("doc_id")) == HELD_OUT, F.lit(False))  # a null id has no remainder
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op10_license_scan(spark, sf_dir):
