@@ -1,15 +1,36 @@
 """The registered queries as SQL over the given tables."""
 
-from archgraph.functions.classify import API_DECORATOR, DATABASE_PACKAGES, SERVICE_SUFFIXES, standard_library
+import sys
+
 from archgraph.functions.stopwords import ENGLISH
 from archgraph.plans.ask import NO_RELATIONSHIPS, RULES
-from archgraph.plans.smells import SMELL_TYPES
-from archgraph.sources.files import IGNORED_DIRS, SUFFIX_LANGUAGE
-from archgraph.sources.repositories import STAGES
-from archgraph.sources.urls import REPOSITORY_URL
 from checks.derived import DERIVED, with_derived
 
 
+# Fixed values, stated here a second time so that a wrong one in the engine shows as a difference.
+API_DECORATOR = r"(?i)\.(route|get|post|put|delete|patch|websocket)\s*\(|@api_view|@action\b"
+DATABASE_PACKAGES = (
+    "sqlalchemy", "django", "psycopg2", "pymongo", "redis", "sqlite3", "peewee", "tortoise", "asyncpg", "pymysql",
+    "sqlmodel", "mongoengine", "sqlalchemy_utils",
+)
+SERVICE_SUFFIXES = ("Service", "Repository", "Controller", "Manager", "Client", "Gateway", "Handler")
+SMELL_TYPES = ("circular_dependency", "god_class", "large_function", "dead_code_candidate")
+STAGES = ("cloning", "cloned", "parsing", "building_graph", "embedding", "ready")
+REPOSITORY_URL = r"^https://github\.com/([A-Za-z0-9](?:[A-Za-z0-9-]{0,38}))/([A-Za-z0-9_.-]{1,100}?)(?:\.git)?/?$"
+IGNORED_DIRS = (
+    ".git", "node_modules", "venv", ".venv", "__pycache__", "dist", "build",
+    ".next", ".nuxt", "target", ".idea", ".vscode", "vendor", "site-packages",
+    ".mypy_cache", ".pytest_cache", ".ruff_cache", "coverage", ".tox", "egg-info",
+)
+SUFFIX_LANGUAGE = {
+    ".py": "python",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript",
+    ".ts": "typescript", ".tsx": "typescript",
+    ".java": "java",
+    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".h": "cpp",
+}
+
+
 def _list(values):
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -209,7 +230,7 @@ FROM og_dependents d JOIN og_nodes n ON n.uid = d.uid""",
     "og_category": f"""
 SELECT DISTINCT dotted, split_part(dotted, '.', 1) AS package,
        CASE WHEN split_part(dotted, '.', 1) IN ({_list(DATABASE_PACKAGES)}) THEN 'database'
-            WHEN split_part(dotted, '.', 1) IN ({_list(standard_library())}) THEN NULL
+            WHEN split_part(dotted, '.', 1) IN ({_list(sorted(sys.stdlib_module_names))}) THEN NULL
             WHEN dotted LIKE '\\_%' ESCAPE '\\' OR dotted LIKE '.%' OR dotted = '' THEN NULL ELSE 'external_service' END AS category
 FROM fx_imports""",
     "og_external": """

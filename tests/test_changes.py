@@ -56,7 +56,7 @@ def test_random_changes_give_the_graph_of_all_files(spark, tmp_path):
     dice, store = random.Random(3), str(tmp_path / "store")
     files = {(r, f"pkg/m{i}.py"): source(dice, i) for r in ("big", "other") for i in range(25 if r == "big" else 8)}
     ingest_batch(batch(spark, [(r, p, c) for (r, p), c in files.items()]), 0, store, buckets=2)
-    for number in range(1, 4):
+    for number in range(1, 3):
         rows = {}
         for kind in ("new", "gone", "same", "other", "new"):
             repo, i = ("other" if kind == "other" else "big", dice.randrange(8 if kind == "other" else 27))
@@ -67,7 +67,7 @@ def test_random_changes_give_the_graph_of_all_files(spark, tmp_path):
             if content is not None:
                 files[key] = content
         ingest_batch(batch(spark, [(*key, content) for key, content in rows.items()]), number, store, buckets=2)
-    assert graph_store.live_entries(spark, store).filter("NOT is_base").count() == 6
+    assert graph_store.live_entries(spark, store).filter("NOT is_base").count() == 4
     analyzed = same_as_analysis(spark, store, files)
     index = read_index(spark, store).terms
     full = fit_tfidf(search_documents(analyzed.extracted.symbols).select("repo_id", "doc_id", "text"))
@@ -112,7 +112,7 @@ def test_what_a_batch_lists_does_not_follow_the_history(spark, tmp_path, monkeyp
     ingest_batch(batch(spark, [(r, p, c) for (r, p), c in files.items()]), 0, store, buckets=1)
     listed, entries = [], []
     original = graph_store.read_batches
-    for number in range(1, 7):
+    for number in range(1, 6):
         opened = []
         monkeypatch.setattr(graph_store, "read_batches", lambda s, st, name, batches: opened.extend(batches) or original(s, st, name, batches))
         files["r", "m3.py"] = f"def f3():\n    return f{number}()\n"
