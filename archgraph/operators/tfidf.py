@@ -206,8 +206,8 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, rows_pe
     no part, and a query meets vectors of its own number of dimensions only. A
     zero vector scores 0 with all.
     """
-    asked = _comparable(queries.select("query_id", "repo_id", "embedding"))
-    stored = _comparable(vectors.select("repo_id", "vec_id", "embedding"))
+    asked = comparable(queries.select("query_id", "repo_id", "embedding"))
+    stored = comparable(vectors.select("repo_id", "vec_id", "embedding"))
     if asked.limit(queries_sent + 1).count() <= queries_sent:
         found = _best_in_place(asked, stored, k)
     else:
@@ -215,7 +215,7 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, rows_pe
     return top_k(found, ["query_id", "repo_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
-def _comparable(rows: DataFrame) -> DataFrame:
+def comparable(rows: DataFrame) -> DataFrame:
     """Rows whose embedding has numbers only, with its ``dims``."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return rows.filter(F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0)).withColumn("dims", F.size("embedding"))
@@ -224,7 +224,7 @@ def _comparable(rows: DataFrame) -> DataFrame:
 def _best_in_place(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """At most k rows per query and task, in a map over the vectors."""
     rows = asked.toPandas()  # counted before
-    matrices = {repo: (own["query_id"].to_numpy(), _unit(own["embedding"])) for repo, own in rows.groupby(["repo_id", "dims"])}
+    matrices = {repo: (own["query_id"].to_numpy(), unit_rows(own["embedding"])) for repo, own in rows.groupby(["repo_id", "dims"])}
     types = dict(vectors.dtypes)["vec_id"], dict(asked.dtypes)["query_id"]
     columns = ["query_id", "repo_id", "vec_id", "score"]
 
@@ -234,7 +234,7 @@ def _best_in_place(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             for part, own in batch.groupby(["repo_id", "dims"]):
                 if part in matrices:
                     ids, matrix = matrices[part]
-                    best.append(_best_of_product(ids, matrix, part[0], own.sort_values("vec_id", ignore_index=True), k))
+                    best.append(best_of_product(ids, matrix, part[0], own.sort_values("vec_id", ignore_index=True), k))
             if len(best) > 1:
                 best = [_first_of_each(pd.concat(best), k)]
         yield best[0] if best else pd.DataFrame(columns=columns)
@@ -247,9 +247,9 @@ def _first_of_each(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby(["repo_id", "query_id"], sort=False).head(k)
 
 
-def _best_of_product(ids, matrix, repo, vector_rows: pd.DataFrame, k: int) -> pd.DataFrame:
+def best_of_product(ids, matrix, repo, vector_rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of the vectors, which are in the order of their ids, for every query."""
-    scores = np.floor(matrix @ _unit(vector_rows["embedding"]).T * DENSE_UNITS) / DENSE_UNITS
+    scores = np.floor(matrix @ unit_rows(vector_rows["embedding"]).T * DENSE_UNITS) / DENSE_UNITS
     best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     return pd.DataFrame({
         "query_id": np.repeat(ids, best.shape[1]), "repo_id": repo,
@@ -287,7 +287,7 @@ def _best_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, rows_per_blo
         if query_rows.empty or vector_rows.empty:
             return pd.DataFrame(columns=["query_id", "repo_id", "vec_id", "score"])
         ids, repo = query_rows["query_id"].to_numpy(), query_rows["repo_id"].iloc[0]
-        return _best_of_product(ids, _unit(query_rows["embedding"]), repo, vector_rows.sort_values("vec_id", ignore_index=True), k)
+        return best_of_product(ids, unit_rows(query_rows["embedding"]), repo, vector_rows.sort_values("vec_id", ignore_index=True), k)
 
     cell = [*alike, "vector_block", "query_block"]
     return dealt_queries.groupBy(*cell).cogroup(dealt_vectors.groupBy(*cell)).applyInPandas(
@@ -298,7 +298,7 @@ def _block_counts(rows: DataFrame, size: int, name: str) -> DataFrame:
     return rows.groupBy("repo_id", "dims").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
 
-def _unit(embeddings: pd.Series) -> np.ndarray:
+def unit_rows(embeddings: pd.Series) -> np.ndarray:
     """Rows of equal dimensions scaled to length one; a zero row stays zero."""
     matrix = np.concatenate(embeddings.to_numpy()).astype(np.float64).reshape(len(embeddings), -1)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)

@@ -602,6 +602,8 @@ SELECT p.repo_id AS id, concat('https://github.com/org/', p.repo_id, '.git') AS
 FROM og_profile p JOIN {_STREAMED} ON s.repo_id = p.repo_id""",
 }
 
+STATEMENTS["search_dense_index_topk"] = STATEMENTS["search_dense_topk"]
+
 _RECURSIVE = ("og_reach", "og_closure")
 
 

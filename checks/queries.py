@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import classify
-from archgraph.operators import build, components, degrees, extract, reach, resolve, symbol_search, tfidf, views
+from archgraph.operators import build, components, degrees, dense_index, extract, reach, resolve, symbol_search, tfidf, views
 from archgraph.plans import ask, graph, impact, smells
 from archgraph.schemas import RELATIONSHIPS, SOURCE_FILES, SYMBOLS, Graph
 from archgraph.session import materialize, new_folder
@@ -517,8 +517,7 @@ def search_topk_padded(spark, sf_dir):
     return rounded(hits)
 
 
-@query
-def search_dense_topk(spark, sf_dir):
+def _label_questions(spark, sf_dir):
     """The mean vector of every label asks among all vectors."""
     rows = given(spark, sf_dir, "embeddings")
     means = (
@@ -528,7 +527,19 @@ def search_dense_topk(spark, sf_dir):
                                           lambda p: p["mean"]).alias("embedding"))
     )
     queries = means.select(F.col("label").alias("query_id"), F.lit("all").alias("repo_id"), "embedding")
-    return rounded(tfidf.search_dense(queries, rows.select(F.lit("all").alias("repo_id"), "vec_id", "embedding")))
+    return queries, rows.select(F.lit("all").alias("repo_id"), "vec_id", "embedding")
+
+
+@query
+def search_dense_topk(spark, sf_dir):
+    return rounded(tfidf.search_dense(*_label_questions(spark, sf_dir)))
+
+
+@query
+def search_dense_index_topk(spark, sf_dir):
+    """The same rows by way of pivots and rings."""
+    queries, vectors = _label_questions(spark, sf_dir)
+    return rounded(dense_index.search_dense_index(queries, dense_index.build_dense_index(vectors)))
 
 
 @query
