@@ -1,4 +1,8 @@
-"""Degrees, starting points and neighbourhoods."""
+"""Degrees, starting points and neighbourhoods.
+
+Degrees are counted from edges, or read from a table of counts by symbol and
+kind of edge that is kept up to date by signed differences (``edge_counts``).
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +17,11 @@ SUGGESTION_LIMIT = 6
 OUTGOING_LIMIT = 8
 INCOMING_LIMIT = 5
 
+COUNTED = ["repo_id", "uid", "symbol_type", "file_path", "relationship_type"]
+
 
 def incidences(edges: DataFrame, types=None) -> DataFrame:
-    """One row per edge and end (repo_id, uid, symbol_type, file_path); a self-loop gives one."""
+    """One row per edge and end (repo_id, relationship_type, uid, symbol_type, file_path); a self-loop gives one."""
     wanted = edges if types is None else edges.filter(F.col("relationship_type").isin(*types))
 
     def end(side):
@@ -23,33 +29,64 @@ def incidences(edges: DataFrame, types=None) -> DataFrame:
                         F.col(f"{side}_path").alias("file_path"))
 
     ends = F.when(F.col("src") == F.col("dst"), F.array(end("src"))).otherwise(F.array(end("src"), end("dst")))
-    return wanted.select("repo_id", F.explode(ends).alias("end")).select("repo_id", "end.*")
+    return wanted.select("repo_id", "relationship_type", F.explode(ends).alias("end")).select("repo_id", "relationship_type", "end.*")
+
+
+def edge_counts(edges: DataFrame, sign: int = 1) -> DataFrame:
+    """Edges of every symbol and kind: repo_id, uid, symbol_type, file_path, relationship_type, change.
+
+    ``sign`` -1 takes them away: counts of the edges before and after are added
+    up by ``merged_counts``. What a symbol shows at the ends of its edges
+    (type and path) is part of the key, so a symbol that moves leaves nothing behind.
+    """
+    ends = incidences(edges).filter(F.col("symbol_type") != REPOSITORY_NODE)
+    return ends.groupBy(*COUNTED).agg((F.count("*") * sign).alias("change"))
+
+
+def merged_counts(changes: DataFrame) -> DataFrame:
+    """The sum of signed differences, without what is gone; ``degree`` by symbol and kind of edge."""
+    return changes.groupBy(*COUNTED).agg(F.sum("change").alias("degree")).filter(F.col("degree") != 0)
 
 
 def degrees(edges: DataFrame, types=None, only: DataFrame | None = None) -> DataFrame:
     """Incident edges per uid (degree > 0); ``only`` restricts to the uids of a table."""
     ends = incidences(edges, types).filter(F.col("symbol_type") != REPOSITORY_NODE)
-    counted = ends.groupBy("repo_id", "uid").agg(F.count("*").alias("degree"))
+    return _only(ends.groupBy("repo_id", "uid").agg(F.count("*").alias("degree")), only)
+
+
+def counted_degrees(counts: DataFrame, types=None, only: DataFrame | None = None) -> DataFrame:
+    """The rows of ``degrees`` from a table of counts."""
+    return _only(_of_types(counts, types).groupBy("repo_id", "uid").agg(F.sum("degree").alias("degree")), only)
+
+
+def _of_types(counts: DataFrame, types) -> DataFrame:
+    return counts if types is None else counts.filter(F.col("relationship_type").isin(*types))
+
+
+def _only(counted: DataFrame, only: DataFrame | None) -> DataFrame:
     if only is None:
         return counted
     # Counted before the join: the edges of a hub are one row per task by then.
     return counted.join(only.select("uid").distinct(), "uid").select(*counted.columns)
 
 
-def ranked_by_degree(edges: DataFrame, symbol_types, limit: int, types=None) -> DataFrame:
-    """The non-test symbols of most edges in every repository: repo_id, uid, degree, rank."""
+def ranked_by_degree(edges: DataFrame, symbol_types, limit: int, types=None, counts: DataFrame | None = None) -> DataFrame:
+    """The non-test symbols of most edges in every repository: repo_id, uid, degree, rank.
+
+    With ``counts`` no edge is read.
+    """
+    ends, degree = (incidences(edges, types), F.count("*")) if counts is None else (_of_types(counts, types), F.sum("degree"))
     counted = (
-        incidences(edges, types)
-        .filter(F.col("symbol_type").isin(*symbol_types) & ~is_test_path(F.col("file_path")))
+        ends.filter(F.col("symbol_type").isin(*symbol_types) & ~is_test_path(F.col("file_path")))
         .groupBy("repo_id", "uid")
-        .agg(F.count("*").alias("degree"))
+        .agg(degree.alias("degree"))
     )
     return top_k(counted, ["repo_id"], [F.col("degree").desc(), F.col("uid")], limit)
 
 
-def suggest_symbols(nodes: DataFrame, edges: DataFrame, limit: int = SUGGESTION_LIMIT) -> DataFrame:
+def suggest_symbols(nodes: DataFrame, edges: DataFrame, limit: int = SUGGESTION_LIMIT, counts: DataFrame | None = None) -> DataFrame:
     """Well-connected starting points; node columns are joined to the few that are left."""
-    best = ranked_by_degree(edges, DEFINITION_TYPES, limit, ("CALLS", "INHERITS"))
+    best = ranked_by_degree(edges, DEFINITION_TYPES, limit, ("CALLS", "INHERITS"), counts)
     shown = nodes.select("uid", "symbol_type", "name", "qualified_name", "file_path", "start_line")
     return best.join(shown, "uid")
 

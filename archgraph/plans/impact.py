@@ -9,7 +9,7 @@ from archgraph.functions.classify import (
     SERVICE_SUFFIXES, classify_import, is_api_endpoint, is_service_component, is_test,
 )
 from archgraph.functions.text import first_segment
-from archgraph.operators.degrees import degrees
+from archgraph.operators.degrees import counted_degrees, degrees
 from archgraph.operators.reach import dependents
 from archgraph.operators.topk import top_k
 from archgraph.schemas import Graph
@@ -28,13 +28,17 @@ class ImpactReport(NamedTuple):
     external_dependencies: DataFrame  # target_uid, name, category
 
 
-def find_targets(graph: Graph, targets: DataFrame) -> DataFrame:
-    """Targets (repo_id, uid) with their own columns and degree; ``found`` is false for unknown ones."""
+def find_targets(graph: Graph, targets: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Targets (repo_id, uid) with their own columns and degree; ``found`` is false for unknown ones.
+
+    With ``counts`` (a store's ``read_degrees``) degrees are not counted from the edges.
+    """
     asked = targets.select("repo_id", F.col("uid").alias("target_uid")).distinct()
     own = graph.nodes.select(
         "repo_id", F.col("uid").alias("target_uid"), F.col("qualified_name").alias("target_qualified_name"),
         F.col("symbol_type").alias("target_symbol_type"), F.col("file_path").alias("target_file_path"))
-    counted = degrees(graph.edges, only=targets).select(F.col("uid").alias("target_uid"), "degree")
+    every = degrees(graph.edges, only=targets) if counts is None else counted_degrees(counts, only=targets)
+    counted = every.select(F.col("uid").alias("target_uid"), "degree")
     return (
         asked.join(own, ["repo_id", "target_uid"], "left")
         .join(counted, "target_uid", "left")

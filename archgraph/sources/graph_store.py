@@ -7,7 +7,9 @@ of the changes after it. A change writes only rows that are new or different,
 and the keys of all rows that it replaces or removes: files for extracted rows
 and the text index, symbols for nodes, sources for edges. A row counts unless a
 later change names its key. Edges from a repository to its files are columns of
-the files' nodes and are not stored.
+the files' nodes and are not stored. Degrees are kept as signed differences: a
+base counts all edges, a change those that it takes away and adds, and the sum
+is the present count.
 
 The manifest tells which batches are finished and what they are to a
 repository. It is written last, so a batch is seen whole or not at all. A batch
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archgraph.operators.build import repository_edges
+from archgraph.operators.degrees import merged_counts
 from archgraph.schemas import EDGES, IR_ROWS, REPOSITORIES, REPOSITORY_NODE, STATUS_LOG, SYMBOLS, Graph
 
 BUCKETS = 64
@@ -50,6 +53,7 @@ SCHEMAS = {
         for name in ("repo_id", "doc_id", "symbol_uid", "text", "symbol_type", "name", "qualified_name", "file_path",
                      "start_line", "end_line")] + _PLACE),
     "term_counts": T.StructType([*_texts("repo_id", "file_path", "doc_id", "term"), T.StructField("tf", T.LongType()), *_PLACE]),
+    "degrees": T.StructType([*_texts("repo_id", "uid", "symbol_type", "file_path", "relationship_type"), T.StructField("change", T.LongType()), *_PLACE]),
     "file_keys": T.StructType([*_texts("repo_id", "file_path"), *_PLACE]),
     "node_keys": T.StructType([*_texts("repo_id", "uid"), *_PLACE]),
     "edge_keys": T.StructType([*_texts("repo_id", "src"), *_PLACE]),
@@ -273,3 +277,8 @@ def read_graph(spark: SparkSession, store: str, repo_ids=None) -> Graph:
     """The current graph."""
     nodes = current_rows(spark, store, "nodes", repo_ids)
     return Graph(nodes, current_rows(spark, store, "edges", repo_ids).unionByName(repository_edges(nodes)))
+
+
+def read_degrees(spark: SparkSession, store: str, repo_ids=None) -> DataFrame:
+    """Edges of every symbol by kind (repo_id, uid, symbol_type, file_path, relationship_type, degree); no edge is read."""
+    return merged_counts(current_rows(spark, store, "degrees", repo_ids))

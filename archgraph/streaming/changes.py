@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.functions.text import last_segment, symbol_uid
-from archgraph.operators.build import build_nodes, relationship_edges
+from archgraph.operators.build import build_nodes, relationship_edges, repository_edges
+from archgraph.operators.degrees import edge_counts, merged_counts
 from archgraph.operators.extract import split_rows
 from archgraph.operators.resolve import name_links, resolve_relationships
-from archgraph.schemas import DEFINITION_TYPES
+from archgraph.schemas import DEFINITION_TYPES, EDGES
 from archgraph.session import materialize
 
 
@@ -26,6 +27,7 @@ class GraphChange(NamedTuple):
     node_keys: DataFrame  # repo_id, uid: what they replace, and what is gone
     edges: DataFrame
     edge_keys: DataFrame  # repo_id, src: sources whose edges are replaced
+    degrees: DataFrame  # signed differences of the edges of symbols
     counts: DataFrame  # repo_id and the differences of file_count, symbol_count, relationship_count
 
 
@@ -67,8 +69,17 @@ def graph_change(before: DataFrame, nodes: DataFrame, edges: DataFrame, arrived:
     rows = all_after.relationships.withColumn("src", source).join(edge_keys, ["repo_id", "src"], "left_semi").drop("src")
     nodes_after = nodes.join(node_keys, ["repo_id", "uid"], "left_anti").unionByName(new_nodes.select(*nodes.columns))
     new_edges = relationship_edges(nodes_after, resolve_relationships(all_after.symbols, materialize(rows, "touched-relationships")))
+    new_edges = materialize(new_edges, "changed-edges")
     counts = _count_changes(was, now, concerned, links_before, links_after)
-    return GraphChange(new_nodes, node_keys, new_edges, edge_keys, counts)
+    return GraphChange(new_nodes, node_keys, new_edges, edge_keys, _degree_changes(old_nodes, new_nodes, edges, new_edges, edge_keys), counts)
+
+
+def _degree_changes(old_nodes, new_nodes, edges, new_edges, edge_keys) -> DataFrame:
+    """Edges of the sources concerned and of the repository to its files, taken away as they were and added as they are."""
+    old_edges = edges.join(edge_keys, ["repo_id", "src"], "left_semi")
+    both = [edge_counts(rows.select(*EDGES.fieldNames()).unionByName(repository_edges(nodes)), sign)
+            for rows, nodes, sign in ((old_edges, old_nodes, -1), (new_edges, new_nodes, 1))]
+    return merged_counts(both[0].unionByName(both[1])).withColumnRenamed("degree", "change")
 
 
 def _differing(before: DataFrame, after: DataFrame, key) -> DataFrame:

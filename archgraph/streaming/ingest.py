@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.operators.build import graph_counts
+from archgraph.operators.degrees import edge_counts
 from archgraph.operators.extract import REMOVED, extract_rows, split_rows
 from archgraph.operators.resolve import resolve_relationships
 from archgraph.plans.ask import index_rows
@@ -91,7 +92,7 @@ def ingest_batch(files: DataFrame, batch_id: int, store: str, buckets: int = BUC
 
 def _write(parts, store, batch_id, buckets, before_index):
     """One write per table, as a batch's second write of a folder would replace its first."""
-    for name in ("ir", "nodes", "edges", "file_keys", "node_keys", "edge_keys", "documents", "term_counts"):
+    for name in ("ir", "nodes", "edges", "degrees", "file_keys", "node_keys", "edge_keys", "documents", "term_counts"):
         if name == "documents":
             before_index()
         tables = [part[name] for part in parts if name in part]
@@ -120,6 +121,7 @@ def _whole(spark, store, repos, before, rows, files):
     return {
         "ir": ir, "nodes": graph.nodes, "edges": graph.edges.filter(F.col("src_type") != REPOSITORY_NODE), "documents": documents,
         "term_counts": term_counts, "counts": counts.select("repo_id", "file_count", "symbol_count", "relationship_count"),
+        "degrees": edge_counts(graph.edges),
     }
 
 
@@ -135,7 +137,7 @@ def _changed(spark, store, repos, before, rows, files):
         "repo_id", *[(F.coalesce(F.col(f"so_far.{n}"), F.lit(0)) + d).alias(n) for n, d in difference.items()])
     return {
         "ir": own.select(*ir.columns), "file_keys": keys, "nodes": change.nodes, "node_keys": change.node_keys, "edges": change.edges,
-        "edge_keys": change.edge_keys, "documents": documents, "term_counts": term_counts, "counts": counts,
+        "edge_keys": change.edge_keys, "documents": documents, "term_counts": term_counts, "counts": counts, "degrees": change.degrees,
     }
 
 

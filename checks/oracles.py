@@ -576,6 +576,9 @@ SELECT q.query_id, 'user', concat('<question>', question, '</question>', chr(10)
        '</evidence>', chr(10), 'Answer from the evidence only.')
 FROM fx_symbol_questions q JOIN os_blocks b ON b.query_id = q.query_id""",
     "stream_ingest_graph": _STREAMED_KINDS,
+    "stream_degrees": f"""
+SELECT k.repo_id, kind AS relationship_type, CASE WHEN kind = 'CONTAINS' THEN 2 * n - f ELSE 2 * n END AS ends
+FROM ({_STREAMED_KINDS}) k JOIN {_STREAMED} ON s.repo_id = k.repo_id WHERE kind = upper(kind)""",
     "stream_removed_files": _STREAMED_KINDS.replace(_STREAMED, f"(SELECT repo_id, f - h AS f, g, 0 AS h FROM {_STREAMED}) t"),
     "stream_ingest_index": "SELECT repo_id, term, df, total, round(idf, 6) AS idf FROM oi_vocabulary",
     "stored_repositories": f"""

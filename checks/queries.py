@@ -594,6 +594,13 @@ def stream_ingest_index(spark, sf_dir):
     return vocabulary.select("repo_id", "term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
+@query
+def stream_degrees(spark, sf_dir):
+    """Ends of edges by kind, from the counts that the stream keeps."""
+    counts = graph_store.read_degrees(spark, streamed_store(spark, sf_dir))
+    return counts.groupBy("repo_id", "relationship_type").agg(F.sum("degree").alias("ends"))
+
+
 @query
 def stream_removed_files(spark, sf_dir):
     """All source files arrive, then the broken ones are removed; symbols and edges that are left."""

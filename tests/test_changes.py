@@ -5,9 +5,11 @@ import random
 from pyspark.sql import functions as F
 
 from archgraph.operators.build import graph_counts
+from archgraph.operators.degrees import counted_degrees, degrees, edge_counts, merged_counts, suggest_symbols
 from archgraph.operators.tfidf import fit_tfidf, search_documents
 from archgraph.plans.ask import read_index
 from archgraph.plans.graph import analyze_files
+from archgraph.plans.impact import find_targets
 from archgraph.schemas import SOURCE_FILES
 from archgraph.sources import graph_store, repositories
 from archgraph.streaming import ingest
@@ -41,6 +43,8 @@ def same_as_analysis(spark, store, files):
     assert sorted(map(str, graph.nodes.select(columns).collect())) == sorted(map(str, analyzed.graph.nodes.select(columns).collect()))
     edges = graph.edges.columns
     assert sorted(map(str, graph.edges.collect())) == sorted(map(str, analyzed.graph.edges.select(edges).collect()))
+    kept = sorted(map(str, graph_store.read_degrees(spark, store).collect()))
+    assert kept == sorted(map(str, merged_counts(edge_counts(analyzed.graph.edges)).collect()))
     counts = {r.repo_id: (r.symbol_count, r.relationship_count) for r in graph_counts(analyzed.extracted.symbols, analyzed.resolved).collect()}
     latest = {r.repo_id: r for r in repositories.latest_status(graph_store.read_status(spark, store)).collect()}
     assert {r: (latest[r].symbol_count, latest[r].relationship_count) for r in counts} == counts
@@ -69,6 +73,11 @@ def test_random_changes_give_the_graph_of_all_files(spark, tmp_path):
         ingest_batch(batch(spark, [(*key, content) for key, content in rows.items()]), number, store, buckets=2)
     assert graph_store.live_entries(spark, store).filter("NOT is_base").count() == 4
     analyzed = same_as_analysis(spark, store, files)
+    graph, counts = analyzed.graph, graph_store.read_degrees(spark, store)
+    assert sorted(map(str, degrees(graph.edges, ("CALLS",)).collect())) == sorted(map(str, counted_degrees(counts, ("CALLS",)).collect()))
+    assert sorted(map(str, suggest_symbols(*graph).collect())) == sorted(map(str, suggest_symbols(*graph, counts=counts).collect()))
+    targets = suggest_symbols(*graph).select("repo_id", "uid")
+    assert sorted(map(str, find_targets(graph, targets).collect())) == sorted(map(str, find_targets(graph, targets, counts).collect()))
     index = read_index(spark, store).terms
     full = fit_tfidf(search_documents(analyzed.extracted.symbols).select("repo_id", "doc_id", "text"))
     for own, other in ((index.vocabulary, full.vocabulary), (index.weights.drop("block"), full.weights.drop("block"))):
