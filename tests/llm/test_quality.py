@@ -89,3 +89,26 @@ def test_odd_documents_and_missing_labels(spark, odd, nothing, tables, fitted):
 def test_fitting_is_repeatable(tables, fitted):
     again, _ = ql.fit_quality(*tables)
     assert all(np.allclose(again[k], fitted[0][k], atol=1e-4) for k in again)
+
+
+def test_score_is_that_of_a_plain_convolution(fitted):
+    """Loops over positions, filters and chunks, from the weights alone."""
+    model = {name: np.asarray(value, dtype=np.float64) for name, value in fitted[0].items()}
+
+    def plain(raw):
+        def filters_at(start):
+            window = [raw[i] if i < len(raw) else 0 for i in range(start, start + 5)]
+            return sum(model["bytes"][byte] @ model["filters"][place] for place, byte in enumerate(window)) + model["filter_bias"]
+
+        cells = max(4, -(-(len(raw) + 4) // 64))
+        # The last four windows of the padded text would read past it.
+        starts = [[p for p in range(64 * c, 64 * c + 64) if p < 64 * cells - 4] for c in range(cells)]
+        pooled = [np.maximum(np.max([filters_at(p) for p in own], axis=0), 0) for own in starts]
+        firsts = sorted({min(first, cells - 4) for first in range(0, cells - 4 + 3, 3)})
+        hidden = [np.maximum(np.max(pooled[f : f + 4], axis=0) @ model["hidden"] + model["hidden_bias"], 0) for f in firsts]
+        return 1 / (1 + np.exp(-(np.mean(hidden, axis=0) @ model["out"] + model["out_bias"][0])))
+
+    texts = ["", "x", "Plain words, and more of them. " * 9, "a | b » ünï" * 61, "1234567" * 90 + "end"]
+    for text in texts:
+        (_, data, offsets), = text_slices(pa.array([text]))
+        assert ql.score_texts(fitted[0], ql._tables(fitted[0]), data, offsets)[0] == pytest.approx(plain(text.encode()), abs=1e-5)
