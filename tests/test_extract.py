@@ -10,7 +10,7 @@ import typing
 import pytest
 from pyspark.sql import functions as F
 
-from archgraph.operators.extract import extract_ir, parse_summary
+from archgraph.operators.extract import extract_ir, extract_rows, parse_summary
 from archgraph.operators.python_source import extract_python
 from archgraph.operators.resolve import resolve_relationships
 
@@ -387,3 +387,10 @@ def test_a_fault_in_a_block_costs_its_own_line(opening, fault):
     source = f"{opening}\n    def first(): pass\n    {fault}\n    def second(): pass\n" + ("finally:\n    pass\n" if opening == "try:" else "")
     names = {f["name"] for kind, f in extract_python("m.py", source) if kind == "symbol"}
     assert {"first", "second"} <= names
+
+
+def test_files_of_one_part_are_parsed_by_several_tasks(spark):
+    files = spark.range(0, 400, 1, 1).selectExpr("'r' repo_id", "concat('f', id, '.py') path", "length('x = 1') size_bytes", "'def f(): pass' content")
+    rows = extract_rows(files).withColumn("task", F.spark_partition_id())
+    assert rows.select("task").distinct().count() > 1
+    assert rows.filter("kind = 'symbol'").count() == 800
