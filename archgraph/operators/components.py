@@ -12,10 +12,11 @@ Strongly-Connected Components code", SC 2023.)
 Components never cross repositories. Repositories whose arcs fit a bounded
 number of bytes are solved in grouped tasks, which cost one shuffle for all of
 them together. The others, of any size, have their vertices numbered, so that
-every later step handles pairs of longs, and are solved by rounds over tables:
-per round one join of arcs with the signatures that changed and one maximum per
-vertex, which combines on the map side. Both ways are exact and give the same
-result.
+every later step handles pairs of longs. If their arcs, trimmed, fit the same
+bound as such pairs, they are solved in grouped tasks after all; if not, by
+rounds over tables: per round one join of arcs with the signatures that changed
+and one maximum per vertex, which combines on the map side. All ways are exact
+and give the same result.
 """
 
 from functools import reduce
@@ -31,6 +32,8 @@ from archgraph.session import materialize
 
 # Most bytes of names at the ends of a repository's arcs that one task may hold.
 LOCAL_BYTES = 64 << 20
+# Bytes of an arc whose ends are numbered.
+ARC_BYTES = 16
 
 FORWARD, BACKWARD = 0, 1
 
@@ -38,20 +41,26 @@ FORWARD, BACKWARD = 0, 1
 TRIM_WORTHWHILE = 10
 
 
-def strongly_connected_components(edges: DataFrame, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+def strongly_connected_components(edges: DataFrame, local_bytes: int = LOCAL_BYTES, numbered_bytes: int | None = None) -> DataFrame:
     """(repo_id, src, dst) -> (uid, component); component is the least uid of its members.
 
-    Singletons are included, also vertices known only as targets.
+    Singletons are included, also vertices known only as targets. Repositories
+    with more than ``local_bytes`` of names have their vertices numbered; those
+    of them with at most ``numbered_bytes`` of trimmed arcs are solved in a task
+    each, the others by rounds. Who asks for another ``local_bytes`` asks for
+    rounds, unless both are given.
     """
+    if numbered_bytes is None:
+        numbered_bytes = LOCAL_BYTES if local_bytes == LOCAL_BYTES else 0
     pairs = materialize(edges.select("repo_id", "src", "dst").distinct(), "scc-pairs")
     size = F.sum(F.octet_length("src") + F.octet_length("dst"))
     large = materialize(pairs.groupBy("repo_id").agg(size.alias("bytes")).filter(F.col("bytes") > local_bytes).select("repo_id"), "scc-large")
     if large.isEmpty():
         return _within_tasks(pairs)
-    return _within_tasks(pairs.join(large, "repo_id", "left_anti")).unionByName(_numbered(pairs.join(large, "repo_id", "left_semi")))
+    return _within_tasks(pairs.join(large, "repo_id", "left_anti")).unionByName(_numbered(pairs.join(large, "repo_id", "left_semi"), numbered_bytes))
 
 
-def _numbered(pairs: DataFrame) -> DataFrame:
+def _numbered(pairs: DataFrame, numbered_bytes: int) -> DataFrame:
     """Components of large repositories."""
     vertices = materialize(
         pairs.select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
@@ -62,10 +71,17 @@ def _numbered(pairs: DataFrame) -> DataFrame:
         pairs.filter(F.col("src") != F.col("dst"))
         .join(vertices.select(F.col("uid").alias("src"), F.col("vertex").alias("a")), "src")
         .join(vertices.select(F.col("uid").alias("dst"), F.col("vertex").alias("b")), "dst")
-        .select("a", "b"),
+        .select("repo_id", "a", "b"),
         "scc-arcs",
     )
-    found = [vertices.select("vertex", F.lit(None).cast("long").alias("root")).limit(0), *_roots_by_rounds(arcs)]
+    found = [vertices.select("vertex", F.lit(None).cast("long").alias("root")).limit(0)]
+    if numbered_bytes:
+        arcs, _ = _trim(arcs, arcs.count())
+        fits = F.count("*") * ARC_BYTES <= numbered_bytes
+        small = materialize(arcs.groupBy("repo_id").agg(fits.alias("fits")).filter("fits").select("repo_id"), "scc-small")
+        found.append(_roots_within_tasks(arcs.join(small, "repo_id", "left_semi")))
+        arcs = materialize(arcs.join(small, "repo_id", "left_anti"), "scc-arcs")
+    found.extend(_roots_by_rounds(arcs.select("a", "b")))
     rooted = materialize(
         vertices.join(reduce(DataFrame.unionByName, found), "vertex", "left")
         .select("uid", F.coalesce("root", "vertex").alias("root")),
@@ -95,6 +111,19 @@ def _within_tasks(pairs: DataFrame) -> DataFrame:
     return pairs.repartition("repo_id").sortWithinPartitions("repo_id").mapInArrow(solve, "uid string, component string")
 
 
+def _roots_within_tasks(arcs: DataFrame) -> DataFrame:
+    """(vertex, root) of the vertices on numbered arcs (repo_id, a, b) of repositories that fit a task."""
+
+    def solve(batches):
+        for group in whole_groups(batches, "repo_id"):
+            ends = np.concatenate([group.column("a").to_numpy(), group.column("b").to_numpy()])
+            numbers, places = np.unique(ends, return_inverse=True)
+            a, b = places.reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(numbers[_roots(a, b, len(numbers))])], names=["vertex", "root"])
+
+    return arcs.repartition("repo_id").sortWithinPartitions("repo_id").mapInArrow(solve, "vertex long, root long")
+
+
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The same propagation on the arcs of one repository, as arrays: a member of its component for every vertex."""
     # Numbers in random order keep the phases few whatever the vertices are.
@@ -145,7 +174,7 @@ def _trim(arcs: DataFrame, left: int):
         entered = materialize(arcs.select(F.col("b").alias("a")).distinct(), "scc-entered")
         departed = materialize(arcs.select(F.col("a").alias("b")).distinct(), "scc-departed")
         kept = materialize(
-            arcs.join(entered, "a", "left_semi").join(departed, "b", "left_semi").select("a", "b"),
+            arcs.join(entered, "a", "left_semi").join(departed, "b", "left_semi").select(*arcs.columns),
             "scc-trimmed",
         )
         n = kept.count()

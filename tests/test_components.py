@@ -21,11 +21,11 @@ def brute(arcs):
     return {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
 
 
-def components(tables, repositories, local_bytes):
+def components(tables, repositories, local_bytes, *more):
     """Components of several repositories (name -> arcs) in one run; names are prefixed."""
     rows = [(repo, f"{repo}:{a}", f"{repo}:{b}") for repo, arcs in repositories.items() for a, b in arcs]
     edges = tables.rows("repo_id string, src string, dst string", *rows)
-    found = strongly_connected_components(edges, local_bytes).collect()
+    found = strongly_connected_components(edges, local_bytes, *more).collect()
     assert len({r.uid for r in found}) == len(found)
     return {r.uid: r.component for r in found}
 
@@ -80,3 +80,19 @@ def test_small_and_large_repositories_together(tables):
 @pytest.mark.parametrize("local_bytes", [0, 160])
 def test_no_edges(tables, local_bytes):
     assert components(tables, {}, local_bytes) == {}
+
+
+@pytest.mark.parametrize("numbered_bytes", [16 * 30, 1 << 20])
+def test_numbered_arcs_within_tasks(tables, numbered_bytes):
+    repositories = SMALL | random_repositories(range(200, 210))
+    assert components(tables, repositories, 0, numbered_bytes) == expected(repositories)
+
+
+def test_numbered_arcs_that_fit_take_no_rounds(tables, monkeypatch):
+    from archgraph.operators import components as module
+
+    def unused(arcs):
+        raise AssertionError("signatures by rounds")
+
+    monkeypatch.setattr(module, "_signatures", unused)
+    assert components(tables, {"r": SMALL["figure eight"]}, 0, 1000) == expected({"r": SMALL["figure eight"]})
