@@ -28,7 +28,15 @@ def build_graph(symbols: DataFrame, relationships: DataFrame) -> Graph:
 
 def link_graph(symbols: DataFrame, resolved: DataFrame) -> Graph:
     """The written graph; files are sorted by repository, so questions about a few skip row groups."""
-    nodes = materialize(build_nodes(symbols).sortWithinPartitions("repo_id"), "nodes")
+    return link_nodes(written_nodes(symbols), resolved)
+
+
+def written_nodes(symbols: DataFrame) -> DataFrame:
+    return materialize(build_nodes(symbols).sortWithinPartitions("repo_id"), "nodes")
+
+
+def link_nodes(nodes: DataFrame, resolved: DataFrame) -> Graph:
+    """The written graph of nodes that are written already."""
     return Graph(nodes, materialize(build_edges(nodes, resolved).sortWithinPartitions("repo_id"), "edges"))
 
 

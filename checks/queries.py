@@ -64,9 +64,15 @@ def extracted(spark, sf_dir):
             materialize(relationships_of(spark, sf_dir), "relationships"))
 
 
+@once
+def graph_nodes(spark, sf_dir) -> DataFrame:
+    """The nodes alone, for what makes the edges itself."""
+    return graph.written_nodes(extracted(spark, sf_dir)[0])
+
+
 @once
 def code_graph(spark, sf_dir) -> Graph:
-    return graph.build_graph(*extracted(spark, sf_dir))
+    return graph.link_nodes(graph_nodes(spark, sf_dir), resolve.resolve_relationships(*extracted(spark, sf_dir)))
 
 
 @once
@@ -293,8 +299,7 @@ def build_nodes(spark, sf_dir):
 @query
 def build_edges(spark, sf_dir):
     symbols, relationships = extracted(spark, sf_dir)
-    nodes = code_graph(spark, sf_dir).nodes
-    return build.build_edges(nodes, resolve.resolve_relationships(symbols, relationships))
+    return build.build_edges(graph_nodes(spark, sf_dir), resolve.resolve_relationships(symbols, relationships))
 
 
 @query

@@ -91,3 +91,17 @@ def test_counts_and_violations(tables):
     counts = graph_counts(symbols, resolved).first()
     assert (counts.symbol_count, counts.relationship_count) == (3, 2)
     assert [(r.uid, r.occurrences) for r in unique_violations(symbols, ["uid"]).collect()] == [("r:m.x", 2)]
+
+
+def test_the_query_of_edges_makes_them_once(tables, monkeypatch):
+    from checks import queries
+
+    rows = (tables.symbols(("file", "src.a"), ("function", "src.a.f")),
+            tables.relationships(call("src.a", "src.a.f", kind="contains")))
+
+    def unused(*_):
+        raise AssertionError("the graph is built beside")
+
+    monkeypatch.setattr(queries, "extracted", lambda *_: rows)
+    monkeypatch.setattr(queries, "code_graph", unused)
+    assert queries.build_edges(tables.spark, "the rows of this test").count() == 2
