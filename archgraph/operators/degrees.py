@@ -17,6 +17,9 @@ SUGGESTION_LIMIT = 6
 OUTGOING_LIMIT = 8
 INCOMING_LIMIT = 5
 
+# Edges that a task sorts by symbol, about.
+EDGES_PER_TASK = 100_000
+
 COUNTED = ["repo_id", "uid", "symbol_type", "file_path", "relationship_type"]
 
 
@@ -99,6 +102,7 @@ def neighbourhood(edges: DataFrame, uids: DataFrame, outgoing=OUTGOING_LIMIT, in
     """
     # Written, so that adaptive execution can split the edges of a hub.
     asked = materialize(uids.select("uid").distinct(), "asked")
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // EDGES_PER_TASK))
     certainty = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
 
     def towards(rows, near, far, direction, limit):
@@ -110,7 +114,7 @@ def neighbourhood(edges: DataFrame, uids: DataFrame, outgoing=OUTGOING_LIMIT, in
         ).join(asked, "uid", "left_semi")
         order = [F.col("confidence").desc(), F.col("qualified_name"), F.col("source_line"),
                  F.col("other_uid"), F.col("relationship_type")]
-        best = top_k(seen, ["uid"], order, limit, rank="position", salted=True)
+        best = top_k(seen, ["uid"], order, limit, rank="position", salted=True, tasks=tasks)
         return best.drop("other_uid", "source_line")
 
     between = edges.filter(F.col("src_type") != REPOSITORY_NODE)

@@ -1,6 +1,7 @@
 """Degrees, search, neighbourhoods and views on a random graph, against plain Python."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -189,3 +190,17 @@ def test_questions_about_one_repository_read_no_other(tables):
     scan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in scan and "repo_id" in scan[scan.index("PushedFilters"):]
     assert {r.repo_id for r in class_view(*one).truncated.collect()} == {"s"}
+
+
+def test_neighbourhood_is_dealt_to_more_tasks_when_there_are_more_edges(repository, monkeypatch):
+    from archgraph.operators import degrees as module
+
+    graph = repository[0]
+    few = neighbourhood(graph.edges, graph.nodes)
+    monkeypatch.setattr(module, "EDGES_PER_TASK", max(1, graph.edges.count() // 20))
+    more = neighbourhood(graph.edges, graph.nodes)
+    assert few.exceptAll(more).isEmpty() and more.exceptAll(few).isEmpty()
+    plan = more._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 4 and "hashpartitioning(uid" in plan
+    parts = {int(n) for n in re.findall(r"hashpartitioning\(uid#\d+, (\d+)\), REPARTITION_BY_NUM", plan)}
+    assert len(parts) == 1 and min(parts) >= 20
