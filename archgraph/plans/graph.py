@@ -9,7 +9,10 @@ from archgraph.operators.build import build_edges, build_nodes
 from archgraph.operators.extract import ExtractedTables, extract_ir
 from archgraph.operators.resolve import resolve_relationships
 from archgraph.schemas import Graph
-from archgraph.session import materialize
+from archgraph.session import bounded_tasks, materialize
+
+# Relationships that a task joins to their ends and sorts, about.
+EDGES_PER_TASK = 100_000
 
 
 class AnalyzedFiles(NamedTuple):
@@ -23,21 +26,26 @@ def build_graph(symbols: DataFrame, relationships: DataFrame) -> Graph:
 
     Nodes are written first: edges read a few of their columns three times.
     """
-    return link_graph(symbols, resolve_relationships(symbols, relationships))
+    return link_graph(symbols, resolve_relationships(symbols, relationships), relationships.count())
 
 
-def link_graph(symbols: DataFrame, resolved: DataFrame) -> Graph:
+def link_graph(symbols: DataFrame, resolved: DataFrame, rows: int | None = None) -> Graph:
     """The written graph; files are sorted by repository, so questions about a few skip row groups."""
-    return link_nodes(written_nodes(symbols), resolved)
+    return link_nodes(written_nodes(symbols), resolved, rows)
 
 
 def written_nodes(symbols: DataFrame) -> DataFrame:
     return materialize(build_nodes(symbols).sortWithinPartitions("repo_id"), "nodes")
 
 
-def link_nodes(nodes: DataFrame, resolved: DataFrame) -> Graph:
-    """The written graph of nodes that are written already."""
-    return Graph(nodes, materialize(build_edges(nodes, resolved).sortWithinPartitions("repo_id"), "edges"))
+def link_nodes(nodes: DataFrame, resolved: DataFrame, rows: int | None = None) -> Graph:
+    """The written graph of nodes that are written already.
+
+    ``rows`` is the number of relationships, which are counted if it is not given.
+    """
+    with bounded_tasks(nodes.sparkSession, resolved.count() if rows is None else rows, EDGES_PER_TASK):
+        edges = materialize(build_edges(nodes, resolved).sortWithinPartitions("repo_id"), "edges")
+    return Graph(nodes, edges)
 
 
 def only_repositories(graph: Graph, repo_ids) -> Graph:

@@ -9,7 +9,7 @@ from archgraph.functions import classify
 from archgraph.operators import build, components, degrees, dense_index, extract, reach, resolve, symbol_search, tfidf, views
 from archgraph.plans import ask, graph, impact, smells
 from archgraph.schemas import RELATIONSHIPS, SOURCE_FILES, SYMBOLS, Graph
-from archgraph.session import materialize, new_folder
+from archgraph.session import bounded_tasks, materialize, new_folder
 from archgraph.sources import files, graph_store, repositories, tree, urls
 from archgraph.streaming.ingest import stream_ingest
 from checks.derived import derived, given
@@ -60,8 +60,9 @@ def relationships_of(spark, sf_dir) -> DataFrame:
 @once
 def extracted(spark, sf_dir):
     """Symbols and relationships as written tables."""
-    return (materialize(symbols_of(spark, sf_dir), "symbols"),
-            materialize(relationships_of(spark, sf_dir), "relationships"))
+    symbols = materialize(symbols_of(spark, sf_dir), "symbols")
+    with bounded_tasks(spark, given(spark, sf_dir, "lineitem").count(), graph.EDGES_PER_TASK):
+        return symbols, materialize(relationships_of(spark, sf_dir), "relationships")
 
 
 @once
@@ -72,7 +73,9 @@ def graph_nodes(spark, sf_dir) -> DataFrame:
 
 @once
 def code_graph(spark, sf_dir) -> Graph:
-    return graph.link_nodes(graph_nodes(spark, sf_dir), resolve.resolve_relationships(*extracted(spark, sf_dir)))
+    symbols, relationships = extracted(spark, sf_dir)
+    resolved = resolve.resolve_relationships(symbols, relationships)
+    return graph.link_nodes(graph_nodes(spark, sf_dir), resolved, relationships.count())
 
 
 @once

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from archgraph.operators.build import build_edges, build_nodes, graph_counts, unique_violations
 from archgraph.operators.resolve import resolve_relationships
+from archgraph.session import materialize
 from tests.conftest import call
 
 
@@ -105,3 +106,23 @@ def test_the_query_of_edges_makes_them_once(tables, monkeypatch):
     monkeypatch.setattr(queries, "extracted", lambda *_: rows)
     monkeypatch.setattr(queries, "code_graph", unused)
     assert queries.build_edges(tables.spark, "the rows of this test").count() == 2
+
+
+def test_edges_are_linked_in_tasks_of_bounded_size(spark, tables, monkeypatch):
+    """Partitions follow the relationships and small tasks stay small; the session has its settings again."""
+    from archgraph.plans import graph
+
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before, seen = [spark.conf.get(n) for n in names], {}
+
+    def recorded(df, label, *more):
+        seen[label] = [spark.conf.get(n) for n in names]
+        return materialize(df, label, *more)
+
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", 1)
+    monkeypatch.setattr(graph, "materialize", recorded)
+    rows = [call("m.f", "m.g", i) for i in range(30)]
+    linked = graph.build_graph(tables.symbols(("function", "m.f"), ("function", "m.g")), tables.relationships(*rows))
+    assert linked.edges.count() == 30
+    assert seen["edges"] == ["30", str(4 << 20)]
+    assert [spark.conf.get(n) for n in names] == before == seen["nodes"]
