@@ -1,10 +1,12 @@
 """TF-IDF index and exact cosine search, one corpus per repository.
 
-The index keeps, for blocks of neighbouring documents, the greatest weight of
-every term. A question's weights times these bound the score of every document
-of a block. The blocks of highest bounds are scored first; the k-th score found
-there is a threshold, and blocks that cannot reach it are never scored. (Block
-maxima: Ding, Suel, "Faster top-k document retrieval using block-max indexes",
+Neighbouring documents lie in one row of the index, whole, with their terms and
+weights. Questions of not too many terms are sent to the rows, so that no weight
+is shuffled. For more, the index marks the greatest weight of every term in
+blocks of documents: a question's weights times these bound the score of every
+document of a block. The blocks of highest bounds are scored first; the k-th
+score found there is a threshold, and blocks that cannot reach it are never
+scored. (Block maxima: Ding, Suel, "Faster top-k document retrieval using block-max indexes",
 SIGIR 2011.)
 """
 
@@ -12,14 +14,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archgraph.functions.stopwords import ENGLISH
 from archgraph.functions.text import strip
+from archgraph.operators.groups import ragged
 from archgraph.operators.topk import top_k
 from archgraph.schemas import SEARCHABLE_TYPES
-from archgraph.session import materialize
+from archgraph.session import materialize, settings
 
 # Fixed value: default hits.
 TOP_K = 8
@@ -30,6 +35,7 @@ TOKEN = r"([\p{L}\p{N}_]{2,})"
 # equal texts have equal scores, and ties fall to the document order.
 SCORE_UNITS = 10**15
 SQUARES = "decimal(28,9)"
+SQUARE_UNITS = 10**9
 # Cosines of a matrix product agree to this, wherever in a block a vector stands.
 DENSE_UNITS = 1e12
 QUERIES_SENT = 2_000
@@ -37,11 +43,22 @@ QUERIES_SENT = 2_000
 BLOCK_BITS = 5
 
 
+# A row of the index holds the documents of about so many words, whole.
+ROW_WORDS = 1 << 16
+# Whole texts that a task holds at once.
+BATCH_BYTES = 4 << 20
+# Question terms that are sent to every task; more meet the index in joins.
+ASKED_SENT = 100_000
+# Products that a task holds at once.
+PRODUCTS = 1 << 21
+
+
 class TfidfIndex(NamedTuple):
     vocabulary: DataFrame  # repo_id, term, df, total, idf
     weights: DataFrame  # repo_id, block, doc_id, term, weight (unit length per document)
     blocks: DataFrame  # repo_id, block, term, top_weight
     docs: DataFrame  # repo_id, doc_id
+    rows: DataFrame  # as written: neighbouring documents in one row, with their terms and weights
 
 
 def search_documents(symbols: DataFrame) -> DataFrame:
@@ -81,45 +98,219 @@ def _length(raw):
 
 def fit_tfidf(docs: DataFrame, max_terms: int | None = None) -> TfidfIndex:
     """Build the index over docs (repo_id, doc_id, text)."""
-    return index_of_counts(materialize(term_counts(docs, ["repo_id", "doc_id"]), "tfidf-counts"), docs.select("repo_id", "doc_id"), max_terms)
+    tokens = F.regexp_extract_all(F.lower(F.col("text")), F.lit(TOKEN), F.lit(1))
+    texts = _ordered(docs.select("repo_id", "doc_id", "text")).select("repo_id", "doc_id", "place", tokens.alias("terms"), F.lit(1).cast("long").alias("tf"))
+    return _index_of_rows(_counted_rows(texts), docs.select("repo_id", "doc_id"), max_terms)
 
 
-def term_vocabulary(counts: DataFrame, docs: DataFrame, max_terms: int | None = None) -> DataFrame:
-    """Terms of every repository with their idf = ln((1 + n) / (1 + df)) + 1.
+def term_vocabulary(per_term: DataFrame, docs: DataFrame, max_terms: int | None = None) -> DataFrame:
+    """Terms of every repository with their idf = ln((1 + n) / (1 + df)) + 1, from parts (repo_id, term, df, total).
 
     All terms; with ``max_terms`` those of most occurrences, ties by term.
     """
     sizes = docs.groupBy("repo_id").agg(F.count("*").alias("n"))
-    per_term = counts.groupBy("repo_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    best = per_term
+    best = per_term.groupBy("repo_id", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
     if max_terms is not None:
-        best = top_k(per_term, ["repo_id"], [F.col("total").desc(), F.col("term")], max_terms).drop("rank")
+        best = top_k(best, ["repo_id"], [F.col("total").desc(), F.col("term")], max_terms).drop("rank")
     return best.join(sizes, "repo_id").select(
         "repo_id", "term", "df", "total", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def index_of_counts(counts: DataFrame, docs: DataFrame, max_terms: int | None = None) -> TfidfIndex:
     """The index from counts (repo_id, doc_id, term, tf) and all documents (repo_id, doc_id); no text is read."""
-    vocabulary = materialize(term_vocabulary(counts, docs, max_terms), "tfidf-vocabulary")
-    # A document has at most as many rows here as distinct words, which bounds the window.
-    whole = Window.partitionBy("repo_id", "doc_id")
-    raw = counts.join(vocabulary, ["repo_id", "term"]).select(
-        "repo_id", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    unit = raw.withColumn("weight", F.col("raw") / _length(F.col("raw"))(whole)).drop("raw")
-    weights = materialize(
-        unit.join(document_blocks(docs), ["repo_id", "doc_id"]).select("repo_id", "block", "doc_id", "term", "weight"), "tfidf-weights")
-    return TfidfIndex(vocabulary, weights, materialize(block_maxima(weights), "tfidf-blocks"), docs)
-
+    ordered = _ordered(counts.select("repo_id", "doc_id", "term", "tf"))
+    return _index_of_rows(_counted_rows(ordered.select("repo_id", "doc_id", "place", F.array("term").alias("terms"), F.col("tf").cast("long"))), docs, max_terms)
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Rows of a document together, neighbours in the order of ids in one task; no task orders a whole repository."""
+    ordered = rows.repartitionByRange("repo_id", "doc_id").sortWithinPartitions("repo_id", "doc_id")
+    return ordered.withColumn("place", F.monotonically_increasing_id())  # rises along the range partitions
+
+
+def _index_of_rows(counted: DataFrame, docs: DataFrame, max_terms: int | None) -> TfidfIndex:
+    """Terms of a row meet the vocabulary once for all its documents, by their place in the row; whole postings
+    are shuffled once, packed in their rows."""
+    with settings(counted.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}):
+        counted = materialize(counted, "tfidf-counts")
+    listed = counted.select("repo_id", "part", F.posexplode(F.arrays_zip("terms", "dfs", "totals")).alias("place", "t"))
+    per_term = listed.select("repo_id", F.col("t.terms").alias("term"), F.col("t.dfs").alias("df"), F.col("t.totals").alias("total"))
+    vocabulary = materialize(term_vocabulary(per_term, docs, max_terms), "tfidf-vocabulary")
+    idf = (
+        listed.select("repo_id", "part", "place", F.col("t.terms").alias("term"))
+        .join(vocabulary.select("repo_id", "term", "idf"), ["repo_id", "term"]).select("repo_id", "part", "place", "idf").toDF("repo_id", "part", "place", "idf")
+    )
+    key, types = ["repo_id", "part"], dict(counted.dtypes)
+    schema = f"repo_id string, part long, docs {types['docs']}, blocks array<long>, terms array<string>, doc_no array<int>, term_no array<int>, weights array<double>, top array<boolean>"
+    rows = materialize(
+        counted.drop("dfs", "totals").groupBy(*key).cogroup(idf.groupBy(*key)).applyInArrow(_weighted, schema), "tfidf-weights")
+    doc_type = types["docs"][len("array<"):-1]
+    weights = rows.mapInArrow(_unfold(["block", "doc_id", "term", "weight"], False), f"repo_id string, block long, doc_id {doc_type}, term string, weight double")
+    blocks = rows.mapInArrow(_unfold(["block", "term", "top_weight"], True), "repo_id string, block long, term string, top_weight double")
+    return TfidfIndex(vocabulary, weights, blocks, docs, rows)
 
-def document_blocks(docs: DataFrame, bits: int | None = None) -> DataFrame:
-    """Written ``repo_id, doc_id, block``: neighbours in the order of ids share a block; no task orders a whole repository."""
-    place = F.monotonically_increasing_id()  # rises along the range partitions
-    ordered = docs.select("repo_id", "doc_id").distinct().repartitionByRange("repo_id", "doc_id").sortWithinPartitions("repo_id", "doc_id")
-    return materialize(ordered.withColumn("block", F.shiftright(place, BLOCK_BITS if bits is None else bits)), "tfidf-docs")
 
+def _counted_rows(texts: DataFrame) -> DataFrame:
+    """Documents (repo_id, doc_id, place, terms, tf), in order and of one or several rows each, packed with their counts.
 
-def block_maxima(weights: DataFrame) -> DataFrame:
-    return weights.groupBy("repo_id", "block", "term").agg(F.max("weight").alias("top_weight"))
+    ``part`` numbers the rows of a repository; ``dfs`` and ``totals`` belong to
+    ``terms``, and ``doc_no``, ``term_no`` and ``tfs`` to the postings.
+    """
+    schema = (f"repo_id string, part long, docs array<{dict(texts.dtypes)['doc_id']}>, blocks array<long>, terms array<string>, dfs array<long>, "
+              "totals array<long>, doc_no array<int>, term_no array<int>, tfs array<long>")
+    return texts.mapInArrow(_pack, schema)
+
+
+def _pack(batches):
+    held, words, block = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if block is None:
+            block = batch.column("place")[0].as_py() >> BLOCK_BITS
+        held.append(batch)
+        words += pc.sum(pc.list_value_length(batch.column("terms"))).as_py() or 0
+        if words < ROW_WORDS:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = int(_document_begins(table)[0][-1])  # it may go on in the next batch
+        for row in _packed_rows(table.slice(0, last), block):
+            block = row.column("blocks")[0].values[-1].as_py() + 1
+            yield row
+        rest = table.slice(last).combine_chunks()
+        held, words = rest.to_batches(), 0
+    if held:
+        yield from _packed_rows(pa.Table.from_batches(held).combine_chunks(), block)
+
+
+def _document_begins(table):
+    """First rows of documents, and whether a repository begins there."""
+    def codes(column):
+        return table.column(column).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+    def change(values):
+        return np.append(True, values[1:] != values[:-1])
+
+    new_repository = change(codes("repo_id"))
+    begins = np.flatnonzero(new_repository | change(codes("doc_id")))
+    return begins, new_repository[begins]
+
+
+def _packed_rows(table, block: int):
+    if not table.num_rows:
+        return
+    begins, new_repository = _document_begins(table)
+    lengths = pc.fill_null(pc.list_value_length(table.column("terms")), 0).to_numpy()
+    words = np.add.reduceat(lengths, begins)
+    share = np.cumsum(words, dtype=np.int64) // ROW_WORDS
+    cuts = np.flatnonzero(new_repository | np.append(True, share[1:] != share[:-1]))
+    for first, after in zip(cuts, np.append(cuts[1:], len(begins))):
+        stop = begins[after] if after < len(begins) else table.num_rows
+        own = table.slice(begins[first], stop - begins[first]).combine_chunks()
+        row = _packed_row(own, begins[first:after] - begins[first], lengths[begins[first]:stop], block)
+        if row is not None:
+            block += -(-(after - first) >> BLOCK_BITS)
+            yield row
+
+
+def _packed_row(own, begins, lengths, block: int):
+    number = len(begins)
+    of_row = np.repeat(np.arange(number), np.diff(np.append(begins, own.num_rows)))
+    words = pa.concat_arrays([c.flatten() for c in own.column("terms").chunks]).dictionary_encode()
+    if not len(words):
+        return None
+    code = words.indices.to_numpy().astype(np.int64)
+    known = len(words.dictionary)
+    kept = ~pc.is_in(words.dictionary, value_set=pa.array(ENGLISH)).to_numpy(zero_copy_only=False)[code]
+    if not kept.any():
+        return None
+    postings, at = np.unique((np.repeat(of_row, lengths) * known + code)[kept], return_inverse=True)
+    tfs = np.bincount(at, weights=np.repeat(own.column("tf").to_numpy(), lengths)[kept])
+    used, term_no = np.unique(postings % known, return_inverse=True)
+    lists = {
+        "docs": own.column("doc_id").combine_chunks().take(pa.array(begins)), "blocks": block + (np.arange(number) >> BLOCK_BITS),
+        "terms": words.dictionary.take(pa.array(used)), "dfs": np.bincount(term_no), "totals": np.bincount(term_no, weights=tfs).astype(np.int64),
+        "doc_no": (postings // known).astype(np.int32), "term_no": term_no.astype(np.int32), "tfs": tfs.astype(np.int64),
+    }
+    return _row(own.column("repo_id")[0].as_py(), block, lists)
+
+
+def _row(repo, part: int, lists: dict):
+    """One row with a list per column."""
+    columns = [pa.array([repo], pa.string()), pa.array([part], pa.int64())]
+    for values in lists.values():
+        values = values if isinstance(values, pa.Array) else pa.array(values)
+        columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+    return pa.RecordBatch.from_arrays(columns, names=["repo_id", "part", *lists])
+
+
+def _lists(row):
+    """The lists of a row as arrays; terms and ids stay Arrow arrays."""
+    own = {name: row[name].values for name in row if name not in ("repo_id", "part")}
+    return {name: v if name in ("docs", "terms") else v.to_numpy(zero_copy_only=False) for name, v in own.items()}
+
+
+def _rows_of(table):
+    for i in range(table.num_rows):
+        yield {name: table.column(name)[i] for name in table.schema.names}
+
+
+def _weighted(counted, idf):
+    """Rows with the weights of their documents; terms outside the vocabulary and documents without an id are left out."""
+    done = []
+    places, values = idf.column("place").to_numpy().astype(np.int64), idf.column("idf").to_numpy()
+    for row in _rows_of(counted):
+        own = _lists(row)
+        known = np.full(len(own["terms"]), np.nan)
+        known[places] = values
+        raw = own["tfs"] * known[own["term_no"]]
+        kept = ~np.isnan(raw) & own["docs"].is_valid().to_numpy(zero_copy_only=False)[own["doc_no"]]
+        raw, doc_no, term_no = raw[kept], own["doc_no"][kept], own["term_no"][kept]
+        weights = raw / _lengths(raw, doc_no, len(own["docs"]))[doc_no]
+        block = own["blocks"][doc_no]
+        order = np.lexsort((-weights, term_no, block))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (block[order][1:] != block[order][:-1]) | (term_no[order][1:] != term_no[order][:-1])
+        top = np.zeros(len(order), dtype=bool)
+        top[order[first]] = True
+        lists = {"docs": own["docs"], "blocks": own["blocks"], "terms": own["terms"], "doc_no": doc_no, "term_no": term_no, "weights": weights, "top": top}
+        done.append(_row(row["repo_id"].as_py(), row["part"].as_py(), lists))
+    if done:
+        return pa.Table.from_batches(done)
+    schema = pa.schema([("repo_id", pa.string()), ("part", pa.int64()), ("docs", counted.schema.field("docs").type), ("blocks", pa.list_(pa.int64())),
+                        ("terms", pa.list_(pa.string())), ("doc_no", pa.list_(pa.int32())), ("term_no", pa.list_(pa.int32())),
+                        ("weights", pa.list_(pa.float64())), ("top", pa.list_(pa.bool_()))])
+    return schema.empty_table()
+
+
+def _lengths(raw, doc_no, number):
+    """Euclidean lengths; squares are summed in whole multiples of 1e-9, so in any order."""
+    squares = raw * raw
+    whole = np.floor(squares)
+    units = np.rint((squares - whole) * SQUARE_UNITS)
+    sums = np.bincount(doc_no, weights=whole, minlength=number), np.bincount(doc_no, weights=units, minlength=number)
+    return np.sqrt([(int(w) * SQUARE_UNITS + int(u)) / SQUARE_UNITS for w, u in zip(*sums)])
+
+
+def _unfold(columns, only_top: bool):
+    """One row per posting of the written rows, or per greatest weight of a term in a block."""
+    def unfold(batches):
+        for batch in batches:
+            for row in _rows_of(batch):
+                own = _lists(row)
+                at = np.flatnonzero(own["top"]) if only_top else np.arange(len(own["weights"]))
+                doc_no, term_no = own["doc_no"][at], own["term_no"][at]
+                if not len(at):
+                    continue
+                values = {"block": pa.array(own["blocks"][doc_no]), "term": own["terms"].take(pa.array(term_no))}
+                if "doc_id" in columns:
+                    values["doc_id"] = own["docs"].take(pa.array(doc_no))
+                values["weight"] = values["top_weight"] = pa.array(own["weights"][at])
+                repo = pa.array(np.zeros(len(at), dtype=np.int32))
+                arrays = [pa.array([row["repo_id"].as_py()], pa.string()).take(repo), *(values[c] for c in columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["repo_id", *columns])
+
+    return unfold
 
 
 def question_weights(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -142,14 +333,105 @@ def block_bounds(asked: DataFrame, index: TfidfIndex) -> DataFrame:
 
 
 def scored_blocks(asked: DataFrame, index: TfidfIndex, chosen: DataFrame) -> DataFrame:
-    """Exact scores of the documents of the chosen (query_id, repo_id, block): query_id, repo_id, doc_id, score."""
+    """Exact scores of the documents of the chosen (query_id, repo_id, block): query_id, repo_id, doc_id, score.
+
+    Postings of terms that nobody asks for, and of blocks that nobody chose, are dropped before the join.
+    """
     terms = chosen.select("query_id", "repo_id", "block").join(asked, ["query_id", "repo_id"])
-    return index.weights.join(terms, ["repo_id", "block", "term"]).groupBy("query_id", "repo_id", "doc_id").agg(_products("weight").alias("score"))
+    near = (
+        index.weights.join(asked.select("repo_id", "term").distinct(), ["repo_id", "term"], "left_semi")
+        .join(chosen.select("repo_id", "block").distinct(), ["repo_id", "block"], "left_semi")
+    )
+    return near.join(terms, ["repo_id", "block", "term"]).groupBy("query_id", "repo_id", "doc_id").agg(_products("weight").alias("score"))
 
 
-def best_scores(asked: DataFrame, index: TfidfIndex, k: int) -> DataFrame:
+def best_scores(asked: DataFrame, index: TfidfIndex, k: int, asked_sent: int | None = None) -> DataFrame:
     """Exact scores of all documents that can be among the k best of a question, and of few others.
 
+    ``asked`` is a written table. Up to ``asked_sent`` question terms are
+    counted, sent to every task, and multiplied with the weights where those
+    are; no weight is shuffled, and a task keeps what can be among its own k
+    best. More question terms go by blocks. Both ways give the same hits.
+    """
+    most = ASKED_SENT if asked_sent is None else asked_sent
+    if asked.limit(most + 1).count() <= most:
+        return materialize(_best_of_rows(asked, index, k), "row-scores")
+    return _best_of_blocks(asked, index, k)
+
+
+def _best_of_rows(asked: DataFrame, index: TfidfIndex, k: int) -> DataFrame:
+    """Scores of whole documents, in a map over the rows of the index."""
+    named = asked.filter(F.col("query_id").isNotNull())  # as in the joins
+    terms = named.select("query_id", "repo_id", "term", "query_weight").toArrow().combine_chunks()  # counted before
+    ids = terms.column("query_id").combine_chunks().dictionary_encode()
+    frame = pd.DataFrame({"repo_id": terms.column("repo_id").to_pandas(), "term": terms.column("term").to_pandas(),
+                          "query": ids.indices.to_numpy(), "weight": terms.column("query_weight").to_numpy()})
+    sent = {}
+    for repo, own in frame.groupby("repo_id"):
+        own = own.sort_values("term", kind="stable")
+        words, starts, counts = np.unique(own["term"].to_numpy(dtype=object), return_index=True, return_counts=True)
+        queries, number = np.unique(own["query"].to_numpy(), return_inverse=True)
+        sent[repo] = pa.array(words, pa.string()), starts, counts, number, own["weight"].to_numpy(), ids.dictionary.take(pa.array(queries))
+    types = dict(asked.dtypes)["query_id"], dict(index.docs.dtypes)["doc_id"]
+
+    def scan(batches):
+        kth = {repo: np.zeros(len(own[-1])) for repo, own in sent.items()}  # no document of fewer is a hit any more
+        for batch in batches:
+            for row in _rows_of(batch):
+                repo = row["repo_id"].as_py()
+                if repo not in sent:
+                    continue
+                own = _lists(row)
+                doc, query, score = _row_scores(own, sent[repo])
+                if not len(doc):
+                    continue
+                hits = score >= kth[repo][query]
+                doc, query, score = doc[hits], query[hits], score[hits]
+                order = np.lexsort((doc, -score, query))
+                doc, query, score = doc[order], query[order], score[order]
+                begins = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, dtype=np.int64)
+                sizes = np.diff(np.append(begins, len(query)))
+                place = np.arange(len(query)) - np.repeat(begins, sizes)
+                full = begins[sizes >= k] + k - 1
+                kth[repo][query[full]] = score[full]
+                best = place < k
+                asking = sent[repo][-1].take(pa.array(query[best]))
+                repos = pa.array([repo], pa.string()).take(pa.array(np.zeros(len(asking), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [asking, repos, own["docs"].take(pa.array(doc[best])), pa.array(score[best] / float(SCORE_UNITS))],
+                    names=["query_id", "repo_id", "doc_id", "score"])
+
+    return index.rows.mapInArrow(scan, f"query_id {types[0]}, repo_id string, doc_id {types[1]}, score double")
+
+
+def _row_scores(own, sent):
+    """Document, question and summed products, for all pairs with a common term."""
+    words, starts, counts, number, query_weights, queries = sent
+    found = pc.fill_null(pc.index_in(own["terms"], value_set=words), -1).to_numpy(zero_copy_only=False)
+    term = found[own["term_no"]]
+    at = np.flatnonzero(term >= 0)
+    at = at[np.argsort(own["doc_no"][at], kind="stable")]
+    pairs, sums = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    # Documents are taken as long as their products fit.
+    doc_no, times = own["doc_no"][at], counts[term[at]]
+    share = np.cumsum(times) // PRODUCTS
+    begins = np.flatnonzero(np.append(True, doc_no[1:] != doc_no[:-1])) if len(at) else at
+    cuts = begins[np.append(True, share[begins][1:] != share[begins][:-1])] if len(at) else at
+    for first, after in zip(cuts, np.append(cuts[1:], len(at))):
+        some = at[first:after]
+        many = times[first:after]
+        asking = ragged(starts[term[some]], many)
+        products = np.floor(np.repeat(own["weights"][some], many) * query_weights[asking] * float(SCORE_UNITS))
+        pair, place = np.unique(np.repeat(doc_no[first:after].astype(np.int64), many) * len(queries) + number[asking], return_inverse=True)
+        pairs.append(pair)
+        sums.append(np.bincount(place, weights=products))  # whole numbers below 2 ** 53
+    pair = np.concatenate(pairs)
+    return pair // len(queries), pair % len(queries), np.concatenate(sums)
+
+
+def _best_of_blocks(asked: DataFrame, index: TfidfIndex, k: int) -> DataFrame:
+    """The same by joins.
+
     The k blocks of highest bounds hold at least k documents with a common
     term, if there are so many; the k-th best of them is the threshold. Of the
     other blocks only those with a bound at or above it are scored.

@@ -198,3 +198,27 @@ def test_dense_search_takes_whatever_the_store_got(tables, blocks):
                           (5, "r", [1.0]), (6, "none", [1.0, 0.0]))
     found = search_dense(queries, vectors, 5, *blocks).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in found) == [(1, 1, 1, 1.0), (1, 2, 9, 0.6), (1, 3, 8, 0.0), (2, 1, 7, 0.0)]
+
+
+@pytest.mark.parametrize("pad", [False, True])
+def test_rows_of_the_index_and_joins_give_the_same_hits(tables, monkeypatch, pad):
+    """Long texts that fill several rows, ids that repeat or are null, ties, and questions without an id."""
+    from archgraph.operators import tfidf
+
+    dice = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    long = [("r", i, " ".join(dice.choice(words, 40_000))) for i in (1, 2, 3)]
+    docs = [*long, *[("r", 10 + i % 50, " ".join(dice.choice(words, 6))) for i in range(90)], ("r", None, "w1 w2"), ("r", None, "w1"), ("s", 1, "w1 w1 w2"), ("s", 2, None)]
+    questions = [("a", "r", "w1 w2 w3 w4"), ("b", "r", "w5"), (None, "r", "w7 w8"), ("a", "s", "w1"), ("d", "s", "nothing")]
+    index = fit_tfidf(tables.rows("repo_id string, doc_id long, text string", *docs))
+    asked = tables.rows("query_id string, repo_id string, question string", *questions)
+    assert index.rows.filter("repo_id = 'r'").count() > 1
+    whole = index.weights.groupBy("repo_id", "doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("one")).collect()
+    assert {r.doc_id for r in whole if r.repo_id == "r"} == {d for r, d, _ in docs if r == "r" and d is not None}
+    assert [r.one for r in whole] == pytest.approx([1.0] * len(whole), abs=1e-6)
+    assert "Exchange" not in tfidf._best_of_rows(tfidf.question_weights(asked, index.vocabulary), index, 4)._jdf.queryExecution().executedPlan().toString()
+    ways = []
+    for sent in (tfidf.ASKED_SENT, 0):
+        monkeypatch.setattr(tfidf, "ASKED_SENT", sent)
+        ways.append(sorted(map(tuple, search(asked, index, 4, pad).collect()), key=repr))
+    assert ways[0] == ways[1] and len(ways[0]) >= 9
