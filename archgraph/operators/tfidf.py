@@ -1,7 +1,7 @@
 """TF-IDF index and exact cosine search, one corpus per repository.
 
 Neighbouring documents lie in one row of the index, whole, with their terms and
-weights. Questions of not too many terms are sent to the rows, so that no weight
+counts, lengths and idf; weights are made where a row is read. Questions of not too many terms are sent to the rows, so that no weight
 is shuffled. For more, the index marks the greatest weight of every term in
 blocks of documents: a question's weights times these bound the score of every
 document of a block. The blocks of highest bounds are scored first; the k-th
@@ -49,6 +49,8 @@ ROW_WORDS = 1 << 16
 BATCH_BYTES = 4 << 20
 # Question terms that are sent to every task; more meet the index in joins.
 ASKED_SENT = 100_000
+# Terms of most rows whose idf is sent to every task; that of the others meets the rows in a join.
+TERMS_SENT = 100_000
 # Products that a task holds at once.
 PRODUCTS = 1 << 21
 
@@ -58,7 +60,7 @@ class TfidfIndex(NamedTuple):
     weights: DataFrame  # repo_id, block, doc_id, term, weight (unit length per document)
     blocks: DataFrame  # repo_id, block, term, top_weight
     docs: DataFrame  # repo_id, doc_id
-    rows: DataFrame  # as written: neighbouring documents in one row, with their terms and weights
+    rows: DataFrame  # as written: neighbouring documents in one row, with their terms, counts, lengths and idf
 
 
 def search_documents(symbols: DataFrame) -> DataFrame:
@@ -106,14 +108,14 @@ def fit_tfidf(docs: DataFrame, max_terms: int | None = None) -> TfidfIndex:
 def term_vocabulary(per_term: DataFrame, docs: DataFrame, max_terms: int | None = None) -> DataFrame:
     """Terms of every repository with their idf = ln((1 + n) / (1 + df)) + 1, from parts (repo_id, term, df, total).
 
-    All terms; with ``max_terms`` those of most occurrences, ties by term.
+    All terms; with ``max_terms`` those of most occurrences, ties by term. ``parts`` tells how many there were of a term.
     """
     sizes = docs.groupBy("repo_id").agg(F.count("*").alias("n"))
-    best = per_term.groupBy("repo_id", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    best = per_term.groupBy("repo_id", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), F.count("*").alias("parts"))
     if max_terms is not None:
         best = top_k(best, ["repo_id"], [F.col("total").desc(), F.col("term")], max_terms).drop("rank")
     return best.join(sizes, "repo_id").select(
-        "repo_id", "term", "df", "total", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+        "repo_id", "term", "df", "total", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "parts")
 
 
 def index_of_counts(counts: DataFrame, docs: DataFrame, max_terms: int | None = None) -> TfidfIndex:
@@ -129,35 +131,89 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 
 def _index_of_rows(counted: DataFrame, docs: DataFrame, max_terms: int | None) -> TfidfIndex:
-    """Terms of a row meet the vocabulary once for all its documents, by their place in the row; whole postings
-    are shuffled once, packed in their rows."""
-    with settings(counted.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}):
+    """Terms of a row meet the vocabulary once for all its documents, by their place in the row; the commonest are
+    looked up where the row is, and whole postings are shuffled once, packed in their rows."""
+    with _small_batches(counted):
         counted = materialize(counted, "tfidf-counts")
-    listed = counted.select("repo_id", "part", F.posexplode(F.arrays_zip("terms", "dfs", "totals")).alias("place", "t"))
-    per_term = listed.select("repo_id", F.col("t.terms").alias("term"), F.col("t.dfs").alias("df"), F.col("t.totals").alias("total"))
-    vocabulary = materialize(term_vocabulary(per_term, docs, max_terms), "tfidf-vocabulary")
-    idf = (
-        listed.select("repo_id", "part", "place", F.col("t.terms").alias("term"))
-        .join(vocabulary.select("repo_id", "term", "idf"), ["repo_id", "term"]).select("repo_id", "part", "place", "idf").toDF("repo_id", "part", "place", "idf")
-    )
-    key, types = ["repo_id", "part"], dict(counted.dtypes)
-    schema = f"repo_id string, part long, docs {types['docs']}, blocks array<long>, terms array<string>, doc_no array<int>, term_no array<int>, weights array<double>, top array<boolean>"
-    rows = materialize(
-        counted.drop("dfs", "totals").groupBy(*key).cogroup(idf.groupBy(*key)).applyInArrow(_weighted, schema), "tfidf-weights")
+        per_term = counted.select("repo_id", "word_sizes", "words", "dfs", "totals").mapInArrow(_listed, "repo_id string, term string, df long, total long")
+        vocabulary = materialize(term_vocabulary(per_term, docs, max_terms), "tfidf-vocabulary")
+        sent, rest = _sent_terms(vocabulary)
+        others = counted.select("repo_id", "part", "word_sizes", "words").mapInArrow(_unsent(sent), "repo_id string, part long, place int, term string")
+        idf = others.join(rest, ["repo_id", "term"]).select("repo_id", "part", "place", "idf")
+        key, types = ["repo_id", "part"], dict(counted.dtypes)
+        schema = f"repo_id string, part long, docs {types['docs']}, idfs array<double>, lengths array<double>, {_PACKED}"
+        rows = materialize(
+            counted.drop("dfs", "totals").groupBy(*key).cogroup(idf.groupBy(*key)).applyInArrow(_measured(sent), schema), "tfidf-rows")
     doc_type = types["docs"][len("array<"):-1]
     weights = rows.mapInArrow(_unfold(["block", "doc_id", "term", "weight"], False), f"repo_id string, block long, doc_id {doc_type}, term string, weight double")
     blocks = rows.mapInArrow(_unfold(["block", "term", "top_weight"], True), "repo_id string, block long, term string, top_weight double")
-    return TfidfIndex(vocabulary, weights, blocks, docs, rows)
+    return TfidfIndex(vocabulary.drop("parts"), weights, blocks, docs, rows)
+
+
+def _small_batches(rows: DataFrame):
+    """Rows of the index go to Python a few at a time, whatever the session's batches are."""
+    return settings(rows.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES})
+
+
+def _sent_terms(vocabulary: DataFrame):
+    """idf of the terms of most rows, by repository and term, at most TERMS_SENT; and a table of the others."""
+    level = F.floor(F.log2("parts") * 8)
+    numbers = vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()  # a few hundred levels at most
+    least, free = None, TERMS_SENT
+    for row in sorted(numbers, key=lambda r: -r.level):
+        free -= row.n
+        if free < 0:
+            break
+        least = row.level
+    rest = vocabulary if least is None else vocabulary.filter(level < least)
+    sent = {}
+    if least is not None:
+        common = vocabulary.filter(level >= least).select("repo_id", "term", "idf").toArrow()  # counted before
+        for repo, term, idf in zip(*(column.to_pylist() for column in common.columns)):
+            sent.setdefault(repo, {})[term] = idf
+    return sent, rest.select("repo_id", "term", "idf")
+
+
+def _listed(batches):
+    """Terms of rows with their counts there."""
+    for batch in batches:
+        for row in _rows_of(batch):
+            terms = _terms(row)
+            yield pa.RecordBatch.from_arrays([_same(row["repo_id"], len(terms)), terms, pa.array(_wide(row["dfs"])), pa.array(_wide(row["totals"]))],
+                                             names=["repo_id", "term", "df", "total"])
+
+
+def _unsent(sent):
+    """Terms of rows whose idf was not sent, with their place in the row."""
+    def scan(batches):
+        for batch in batches:
+            for row in _rows_of(batch):
+                terms, known = _terms(row), sent.get(row["repo_id"].as_py(), {})
+                at = np.flatnonzero([term not in known for term in terms.to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [_same(row["repo_id"], len(at)), _same(row["part"], len(at)), pa.array(at.astype(np.int32)), terms.take(pa.array(at))],
+                    names=["repo_id", "part", "place", "term"])
+
+    return scan
+
+
+def _same(value, times: int):
+    return pa.array([value.as_py()], value.type).take(pa.array(np.zeros(times, dtype=np.int32)))
+
+
+_PACKED = "word_sizes binary, words binary, doc_terms binary, steps binary, tfs binary"
 
 
 def _counted_rows(texts: DataFrame) -> DataFrame:
     """Documents (repo_id, doc_id, place, terms, tf), in order and of one or several rows each, packed with their counts.
 
-    ``part`` numbers the rows of a repository; ``dfs`` and ``totals`` belong to
-    ``terms``, and ``doc_no``, ``term_no`` and ``tfs`` to the postings.
+    ``part`` numbers the rows of a repository and is the first block of the
+    row. The others are compressed lists: the terms as ``words``, end to end, and
+    their ``word_sizes``; ``dfs`` and ``totals`` of the terms; ``doc_terms``, how many
+    each document has; ``steps`` and ``tfs`` of the postings, in the order of the
+    documents. A step leads from the document's last term to the next one.
     """
-    schema = (f"repo_id string, part long, docs array<{dict(texts.dtypes)['doc_id']}>, blocks array<long>, terms array<string>, dfs array<long>, "
-              "totals array<long>, doc_no array<int>, term_no array<int>, tfs array<long>")
+    schema = f"repo_id string, part long, docs array<{dict(texts.dtypes)['doc_id']}>, dfs binary, totals binary, {_PACKED}"
     return texts.mapInArrow(_pack, schema)
 
 
@@ -175,7 +231,7 @@ def _pack(batches):
         table = pa.Table.from_batches(held).combine_chunks()
         last = int(_document_begins(table)[0][-1])  # it may go on in the next batch
         for row in _packed_rows(table.slice(0, last), block):
-            block = row.column("blocks")[0].values[-1].as_py() + 1
+            block = row.column("part")[0].as_py() + _blocks(len(row.column("docs")[0]))
             yield row
         rest = table.slice(last).combine_chunks()
         held, words = rest.to_batches(), 0
@@ -209,10 +265,14 @@ def _packed_rows(table, block: int):
         own = table.slice(begins[first], stop - begins[first]).combine_chunks()
         row = _packed_row(own, begins[first:after] - begins[first], lengths[begins[first]:stop], block)
         if row is not None:
-            block += -(-(after - first) >> BLOCK_BITS)
+            block += _blocks(int(after - first))
             yield row
 
 
+def _blocks(number: int) -> int:
+    return -(-number >> BLOCK_BITS)
+
+
 def _packed_row(own, begins, lengths, block: int):
     number = len(begins)
     of_row = np.repeat(np.arange(number), np.diff(np.append(begins, own.num_rows)))
@@ -227,27 +287,84 @@ def _packed_row(own, begins, lengths, block: int):
     postings, at = np.unique((np.repeat(of_row, lengths) * known + code)[kept], return_inverse=True)
     tfs = np.bincount(at, weights=np.repeat(own.column("tf").to_numpy(), lengths)[kept])
     used, term_no = np.unique(postings % known, return_inverse=True)
+    terms = words.dictionary.take(pa.array(used))
     lists = {
-        "docs": own.column("doc_id").combine_chunks().take(pa.array(begins)), "blocks": block + (np.arange(number) >> BLOCK_BITS),
-        "terms": words.dictionary.take(pa.array(used)), "dfs": np.bincount(term_no), "totals": np.bincount(term_no, weights=tfs).astype(np.int64),
-        "doc_no": (postings // known).astype(np.int32), "term_no": term_no.astype(np.int32), "tfs": tfs.astype(np.int64),
+        "docs": own.column("doc_id").combine_chunks().take(pa.array(begins)), "dfs": _narrow(np.bincount(term_no)), "totals": _narrow(np.bincount(term_no, weights=tfs).astype(np.int64)),
+        "word_sizes": _narrow(pc.binary_length(terms).to_numpy()), "words": _narrow(np.frombuffer("".join(terms.to_pylist()).encode(), dtype=np.uint8)),
+        **_packed_postings(postings // known, term_no, tfs.astype(np.int64), number),
     }
     return _row(own.column("repo_id")[0].as_py(), block, lists)
 
 
+def _packed_postings(doc_no, term_no, tfs, number: int) -> dict:
+    """Postings in the order of documents and terms."""
+    steps = np.diff(term_no, prepend=0)
+    first = np.flatnonzero(np.diff(doc_no, prepend=-1))
+    steps[first] = term_no[first]
+    return {"doc_terms": _narrow(np.bincount(doc_no, minlength=number)), "steps": _narrow(steps), "tfs": _narrow(tfs)}
+
+
+def _narrow(numbers) -> bytes:
+    """Whole numbers from 0 on, in the narrowest type that holds them all, compressed."""
+    width = np.min_scalar_type(int(numbers.max()) if len(numbers) else 0).itemsize
+    raw = numbers.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def _wide(held):
+    width, raw = _opened(held)
+    return np.frombuffer(raw, dtype=f"<u{width}").astype(np.int64)
+
+
+def _opened(held):
+    data = held.as_buffer()
+    size = int.from_bytes(data.slice(1, 8).to_pybytes(), "little")
+    return data[0], pa.decompress(data.slice(9), size, codec="zstd") if size else b""
+
+
 def _row(repo, part: int, lists: dict):
-    """One row with a list per column."""
+    """One row with a list or the bytes of one per column."""
     columns = [pa.array([repo], pa.string()), pa.array([part], pa.int64())]
     for values in lists.values():
+        if isinstance(values, bytes):
+            columns.append(pa.array([values], pa.binary()))
+            continue
         values = values if isinstance(values, pa.Array) else pa.array(values)
         columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
     return pa.RecordBatch.from_arrays(columns, names=["repo_id", "part", *lists])
 
 
-def _lists(row):
-    """The lists of a row as arrays; terms and ids stay Arrow arrays."""
-    own = {name: row[name].values for name in row if name not in ("repo_id", "part")}
-    return {name: v if name in ("docs", "terms") else v.to_numpy(zero_copy_only=False) for name, v in own.items()}
+def _terms(row):
+    sizes = _wide(row["word_sizes"])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(_opened(row["words"])[1]))
+
+
+def _counts(row):
+    """The documents and terms of a row, and document, term and count of its postings; terms and ids stay Arrow arrays."""
+    docs, doc_terms, steps = row["docs"].values, _wide(row["doc_terms"]), _wide(row["steps"])
+    reached = np.cumsum(steps)
+    first = np.cumsum(doc_terms)[doc_terms > 0] - doc_terms[doc_terms > 0]
+    return {"docs": docs, "terms": _terms(row), "doc_no": np.repeat(np.arange(len(docs)), doc_terms),
+            "term_no": reached - np.repeat((reached - steps)[first], doc_terms[doc_terms > 0]), "tfs": _wide(row["tfs"])}
+
+
+def _postings(row):
+    """The same of a row of the index, with the blocks of the documents and the weights of the postings."""
+    own = _counts(row)
+    idfs, lengths = (row[name].values.to_numpy(zero_copy_only=False) for name in ("idfs", "lengths"))
+    own["blocks"] = row["part"].as_py() + (np.arange(len(own["docs"])) >> BLOCK_BITS)
+    own["weights"] = own["tfs"] * idfs[own["term_no"]] / lengths[own["doc_no"]]
+    return own
+
+
+def _greatest(own):
+    """Postings of the greatest weight of every term in every block."""
+    block, term_no = own["blocks"][own["doc_no"]], own["term_no"]
+    order = np.lexsort((-own["weights"], term_no, block))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (block[order][1:] != block[order][:-1]) | (term_no[order][1:] != term_no[order][:-1])
+    return np.sort(order[first])
 
 
 def _rows_of(table):
@@ -255,32 +372,31 @@ def _rows_of(table):
         yield {name: table.column(name)[i] for name in table.schema.names}
 
 
-def _weighted(counted, idf):
-    """Rows with the weights of their documents; terms outside the vocabulary and documents without an id are left out."""
-    done = []
-    places, values = idf.column("place").to_numpy().astype(np.int64), idf.column("idf").to_numpy()
-    for row in _rows_of(counted):
-        own = _lists(row)
-        known = np.full(len(own["terms"]), np.nan)
-        known[places] = values
-        raw = own["tfs"] * known[own["term_no"]]
-        kept = ~np.isnan(raw) & own["docs"].is_valid().to_numpy(zero_copy_only=False)[own["doc_no"]]
-        raw, doc_no, term_no = raw[kept], own["doc_no"][kept], own["term_no"][kept]
-        weights = raw / _lengths(raw, doc_no, len(own["docs"]))[doc_no]
-        block = own["blocks"][doc_no]
-        order = np.lexsort((-weights, term_no, block))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = (block[order][1:] != block[order][:-1]) | (term_no[order][1:] != term_no[order][:-1])
-        top = np.zeros(len(order), dtype=bool)
-        top[order[first]] = True
-        lists = {"docs": own["docs"], "blocks": own["blocks"], "terms": own["terms"], "doc_no": doc_no, "term_no": term_no, "weights": weights, "top": top}
-        done.append(_row(row["repo_id"].as_py(), row["part"].as_py(), lists))
-    if done:
-        return pa.Table.from_batches(done)
-    schema = pa.schema([("repo_id", pa.string()), ("part", pa.int64()), ("docs", counted.schema.field("docs").type), ("blocks", pa.list_(pa.int64())),
-                        ("terms", pa.list_(pa.string())), ("doc_no", pa.list_(pa.int32())), ("term_no", pa.list_(pa.int32())),
-                        ("weights", pa.list_(pa.float64())), ("top", pa.list_(pa.bool_()))])
-    return schema.empty_table()
+def _measured(sent):
+    """Rows with the idf of their terms and the lengths of their documents; terms outside the vocabulary and documents
+    without an id are left out."""
+    def measured(counted, idf):
+        done = []
+        places, values = idf.column("place").to_numpy().astype(np.int64), idf.column("idf").to_numpy()
+        for row in _rows_of(counted):
+            own = _counts(row)
+            common = sent.get(row["repo_id"].as_py(), {})
+            known = np.array([common.get(term, np.nan) for term in own["terms"].to_pylist()], dtype=np.float64)
+            known[places] = values
+            raw = own["tfs"] * known[own["term_no"]]
+            kept = ~np.isnan(raw) & own["docs"].is_valid().to_numpy(zero_copy_only=False)[own["doc_no"]]
+            raw, doc_no = raw[kept], own["doc_no"][kept]
+            number = len(own["docs"])
+            lists = {"docs": own["docs"], "idfs": known, "lengths": _lengths(raw, doc_no, number), "word_sizes": row["word_sizes"].as_py(), "words": row["words"].as_py(),
+                     **_packed_postings(doc_no, own["term_no"][kept], own["tfs"][kept], number)}
+            done.append(_row(row["repo_id"].as_py(), row["part"].as_py(), lists))
+        if done:
+            return pa.Table.from_batches(done)
+        schema = pa.schema([("repo_id", pa.string()), ("part", pa.int64()), ("docs", counted.schema.field("docs").type), *((name, pa.list_(pa.float64())) for name in ("idfs", "lengths")),
+                            *((field.split()[0], pa.binary()) for field in _PACKED.split(", "))])
+        return schema.empty_table()
+
+    return measured
 
 
 def _lengths(raw, doc_no, number):
@@ -297,8 +413,8 @@ def _unfold(columns, only_top: bool):
     def unfold(batches):
         for batch in batches:
             for row in _rows_of(batch):
-                own = _lists(row)
-                at = np.flatnonzero(own["top"]) if only_top else np.arange(len(own["weights"]))
+                own = _postings(row)
+                at = _greatest(own) if only_top else np.arange(len(own["weights"]))
                 doc_no, term_no = own["doc_no"][at], own["term_no"][at]
                 if not len(at):
                     continue
@@ -381,7 +497,7 @@ def _best_of_rows(asked: DataFrame, index: TfidfIndex, k: int) -> DataFrame:
                 repo = row["repo_id"].as_py()
                 if repo not in sent:
                     continue
-                own = _lists(row)
+                own = _postings(row)
                 doc, query, score = _row_scores(own, sent[repo])
                 if not len(doc):
                     continue

@@ -222,3 +222,25 @@ def test_rows_of_the_index_and_joins_give_the_same_hits(tables, monkeypatch, pad
         monkeypatch.setattr(tfidf, "ASKED_SENT", sent)
         ways.append(sorted(map(tuple, search(asked, index, 4, pad).collect()), key=repr))
     assert ways[0] == ways[1] and len(ways[0]) >= 9
+
+
+def test_rows_of_the_index_are_packed_and_the_commonest_terms_are_sent(spark, tables, monkeypatch):
+    """A posting takes few bytes in the written index; however many terms are sent, the weights are the same to the last bit."""
+    from archgraph.operators import tfidf
+
+    dice = np.random.default_rng(17)
+    texts = [" ".join(f"wörd{w}" for w in (4_000 * dice.random(400) ** 3).astype(int)) for _ in range(400)]
+    docs = tables.rows("repo_id string, doc_id long, text string", *[(r, i, t) for i, t in enumerate(texts) for r in (["r", "s"] if i < 40 else ["r"])], (None, 1, "lost"))
+    written = []
+    for sent in (tfidf.TERMS_SENT, 3_000, 0):
+        monkeypatch.setattr(tfidf, "TERMS_SENT", sent)
+        index = fit_tfidf(docs)
+        common, rest = tfidf._sent_terms(materialize(index.vocabulary.withColumn("parts", F.col("df")), "vocabulary"))
+        assert sum(map(len, common.values())) + rest.count() == index.vocabulary.count() and sum(map(len, common.values())) <= sent
+        written.append(sorted(map(tuple, index.weights.drop("block").collect())))
+    assert written[0] == written[1] == written[2]
+    assert {r[0] for r in written[0]} == {"r", "s"}
+    schema = dict(index.rows.dtypes)
+    assert not {"weights", "terms"} & set(schema) and "array<string>" not in schema.values()
+    packed = index.rows.select(F.sum(sum(F.length(c) for c, kind in schema.items() if kind == "binary")).alias("bytes")).first().bytes
+    assert packed < 8 * len(written[0])
