@@ -470,9 +470,10 @@ def best_scores(asked: DataFrame, index: TfidfIndex, k: int, asked_sent: int | N
     best. More question terms go by blocks. Both ways give the same hits.
     """
     most = ASKED_SENT if asked_sent is None else asked_sent
-    if asked.limit(most + 1).count() <= most:
-        return materialize(_best_of_rows(asked, index, k), "row-scores")
-    return _best_of_blocks(asked, index, k)
+    with _small_batches(index.rows):
+        if asked.limit(most + 1).count() <= most:
+            return materialize(_best_of_rows(asked, index, k), "row-scores")
+        return _best_of_blocks(asked, index, k)
 
 
 def _best_of_rows(asked: DataFrame, index: TfidfIndex, k: int) -> DataFrame:
@@ -564,7 +565,7 @@ def _best_of_blocks(asked: DataFrame, index: TfidfIndex, k: int) -> DataFrame:
         .join(first, [*key, "block"], "left_anti")
     )
     left = materialize(left.select(*key, "block"), "later-blocks")
-    return scores if left.isEmpty() else scores.unionByName(scored_blocks(asked, index, left))
+    return scores if left.isEmpty() else scores.unionByName(materialize(scored_blocks(asked, index, left), "later-scores"))
 
 
 def search(questions: DataFrame, index: TfidfIndex, k: int = TOP_K, pad: bool = False) -> DataFrame:

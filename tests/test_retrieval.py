@@ -244,3 +244,16 @@ def test_rows_of_the_index_are_packed_and_the_commonest_terms_are_sent(spark, ta
     assert not {"weights", "terms"} & set(schema) and "array<string>" not in schema.values()
     packed = index.rows.select(F.sum(sum(F.length(c) for c, kind in schema.items() if kind == "binary")).alias("bytes")).first().bytes
     assert packed < 8 * len(written[0])
+
+
+def test_rows_of_the_index_go_to_python_a_few_at_a_time(spark, tables, monkeypatch):
+    from archgraph.operators import tfidf
+
+    index = fit_tfidf(tables.rows("repo_id string, doc_id long, text string", ("r", 1, "payment ledger")))
+    asked = tables.rows("query_id string, repo_id string, question string", ("q", "r", "ledger"))
+    seen, plain = [], tfidf._best_of_rows
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(tfidf, "_best_of_rows", lambda *a: seen.append(int(spark.conf.get(name))) or plain(*a))
+    before = spark.conf.get(name)
+    assert search(asked, index).count() == 1
+    assert seen == [tfidf.BATCH_BYTES] and spark.conf.get(name) == before
